@@ -66,3 +66,24 @@ def running_sum_by(df: DataFrame, keys: Sequence[str], order: str, values: dict[
         j = j.withColumn(name, F.col(f"_in_{name}") + F.col(f"_o_{name}"))
     drop = ["_chunk"] + [f"_{p}_{n}" for n in values for p in ("v", "in", "o")]
     return j.drop(*drop)
+
+
+def last_non_null_before(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str,
+                         chunk: int = DEFAULT_CHUNK) -> DataFrame:
+    """``last(value, ignorenulls) over (partition by keys order by order rows unbounded preceding
+    and 1 preceding)`` computed chunk-parallel: the as-of carry of the latest non-null value.
+
+    Used for as-of joins: union the "right" rows (value set) with the "left" rows (value null)
+    into one ordered sequence per key and read the carried value on the left rows.
+    """
+    keys = list(keys)
+    c = df.withColumn("_chunk", _chunk(order, chunk))
+    inner = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn(out, F.last(F.col(value), ignorenulls=True).over(inner))
+    carry_w = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    last_in = (c.filter(F.col(value).isNotNull()).groupBy(*keys, "_chunk")
+                .agg(F.max_by(F.col(value), F.col(order)).alias("_lv")))
+    chunks = c.select(*keys, "_chunk").distinct().join(last_in, [*keys, "_chunk"], "left")
+    chunks = chunks.select(*keys, "_chunk", F.last("_lv", ignorenulls=True).over(carry_w).alias("_carry"))
+    j = c.join(chunks, [*keys, "_chunk"], "left")
+    return j.withColumn(out, F.coalesce(F.col(out), F.col("_carry"))).drop("_chunk", "_carry")
