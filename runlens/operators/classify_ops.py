@@ -7,20 +7,31 @@ groups), so a hot category cannot overload one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import classify as C
 
 
+def _with_index(logs: DataFrame, text: str, index: Column) -> DataFrame:
+    """Add ``_text`` and the first-match index ``_k``.
+
+    ``_k`` comes out of a one-row ``inline`` generator rather than a plain projection: Catalyst
+    does not push filters on generator output below the generator, so a later filter such as
+    ``error_type = 'x'`` is evaluated on the computed index instead of being rewritten into a
+    second copy of the whole regex chain (which doubled the work and exceeded the 64 KB method
+    limit of generated code).
+    """
+    t = logs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    return t.select("*", F.inline(F.array(F.struct(index.alias("_k")))))
+
+
 def analyze_failure(logs: DataFrame, text: str = "logs") -> DataFrame:
     """the engine's analysis per log row (error_type, message, fixable, package, test, trace, severity)."""
     base = [c for c in logs.columns if c != text]
     t = F.col("_text")
-    a = (logs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-             .withColumn("_k", C.engine_index(t))
-             .select(*base, *C.engine_fields(t, F.col("_k"))))
+    a = _with_index(logs, text, C.engine_index(t)).select(*base, *C.engine_fields(t, F.col("_k")))
     return a.select(
         *base, "error_type", "error_message",
         F.col("error_type").isin(C.HEALABLE_TYPES).alias("fixable"),
@@ -46,9 +57,7 @@ def identify_pattern(logs: DataFrame, text: str = "logs") -> DataFrame:
     """analyzer taxonomy per log row."""
     base = [c for c in logs.columns if c != text]
     t = F.col("_text")
-    p = (logs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-             .withColumn("_k", C.analyzer_index(t))
-             .select(*base, *C.analyzer_fields(t, F.col("_k"))))
+    p = _with_index(logs, text, C.analyzer_index(t)).select(*base, *C.analyzer_fields(t, F.col("_k")))
     return p.withColumn("difficulty", C.difficulty_of(F.col("pattern_type"), unknown="hard"))
 
 
