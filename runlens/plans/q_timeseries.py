@@ -1,3 +1,109 @@
-"""Registered queries."""
+"""Registered queries: counter increase / rate, label sums, histogram quantiles, reducers, target
+health (Q1-Q7, P17, P18, A14)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import timeseries as TS
+from ..sources.tables import tables
+from .registry import register
+
+SERIES_AS_OF = "2024-01-20 00:00:00"
+SAS = f"timestamp '{SERIES_AS_OF}'"
+
+# Oracle building blocks: per-sample reset-corrected delta to the previous sample of its series.
+DELTAS = """select *, case when prev is null then null when value < prev then value else value - prev end as delta
+from (select *, lag(value) over (partition by job, address order by seq) as prev from {src}) x"""
+
+
+@register("counter_increase", f"""
+select job, address, coalesce(sum(delta), 0e0) as increase
+from ({DELTAS.format(src=f"(select * from counter_samples where ts > {SAS} - interval 24 hour and ts <= {SAS}) w")}) d
+group by job, address""")
+def counter_increase(spark, sf):
+    return TS.counter_increase(tables(spark, sf).counter_samples, SERIES_AS_OF, hours=24)
+
+
+WIN = f"""select job, address, make_timestamp(cast(ceil(epoch_us(ts) / 300000000e0) * 300000000 as bigint)) as window_end,
+  count(*) as samples, sum(coalesce(delta, 0e0)) - arg_min(coalesce(delta, 0e0), seq) as increase
+from ({DELTAS.format(src='counter_samples')}) d group by 1, 2, 3"""
+
+
+@register("counter_rate", f"select job, address, window_end, samples, increase, increase / 300e0 as rate from ({WIN}) w")
+def counter_rate(spark, sf):
+    return TS.counter_rate(tables(spark, sf).counter_samples, 300)
+
+
+@register("rate_by_label", f"select job, window_end, sum(increase / 300e0) as rate from ({WIN}) w group by job, window_end")
+def rate_by_label(spark, sf):
+    return TS.rate_by_label(tables(spark, sf).counter_samples, "job", 300)
+
+
+def _hq_sql(q: float) -> str:
+    return f"""(with b as (select day, le, cum_count as c, lag(le) over (partition by day order by le) as prev_le,
+      lag(cum_count) over (partition by day order by le) as prev_c from duration_buckets),
+  t as (select day, arg_max(cum_count, le) as total, max(le) filter (where le <> cast('Infinity' as double)) as max_finite
+        from duration_buckets group by day),
+  h as (select b.*, t.total, t.max_finite, {q}e0 * t.total as rank,
+          row_number() over (partition by b.day order by b.le) as rn
+        from b join t on b.day = t.day where b.c >= {q}e0 * t.total)
+  select day, case when total <= 0 then null when le = cast('Infinity' as double) then max_finite
+    when c = coalesce(prev_c, 0e0) then le
+    else coalesce(prev_le, 0e0) + (le - coalesce(prev_le, 0e0)) * (rank - coalesce(prev_c, 0e0)) / (c - coalesce(prev_c, 0e0)) end as quantile
+  from h where rn = 1)"""
+
+
+@register("histogram_quantile", f"""
+select cast(p95.day as timestamp) as day, p95.quantile as p95, p50.quantile as p50 from {_hq_sql(0.95)} p95 join {_hq_sql(0.5)} p50 on p95.day = p50.day""")
+def histogram_quantile(spark, sf):
+    b = tables(spark, sf).duration_buckets
+    p95 = TS.histogram_quantile(b, 0.95).withColumnRenamed("quantile", "p95")
+    p50 = TS.histogram_quantile(b, 0.5).withColumnRenamed("quantile", "p50")
+    return p95.join(p50, "day").withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
+@register("legend_calcs", """
+select job, address, arg_max(value, seq) as last, min(value) as min, max(value) as max from counter_samples group by job, address""")
+def legend_calcs(spark, sf):
+    return TS.legend_calcs(tables(spark, sf).counter_samples)
+
+
+@register("last_not_null", """
+select metric_name, last_value from (select metric_name, metric_value as last_value,
+  row_number() over (partition by metric_name order by timestamp desc, id desc) as rn from metrics where metric_value is not null) x
+where rn = 1""")
+def last_not_null(spark, sf):
+    return TS.last_not_null(tables(spark, sf).metrics, ["metric_name"], "metric_value", ["timestamp", "id"]) \
+             .withColumnRenamed("last_value", "last_value")
+
+
+LATEST = f"""(select job, address, value from (select *, row_number() over (partition by job, address order by seq desc) as rn
+  from counter_samples where ts <= {SAS}) x where rn = 1)"""
+
+
+@register("requests_by_instance", f"""
+select regexp_replace(address, '^([^:]+)(:[0-9]+)?$', '\\1') as instance, sum(value) as value from {LATEST} l group by 1""")
+def requests_by_instance(spark, sf):
+    return TS.requests_by_instance(tables(spark, sf).counter_samples, SERIES_AS_OF)
+
+
+@register("ratio_of_sums", f"""
+select sum(case when job = 'purchase' then value else 0e0 end) / sum(value) * 100 as ratio from {LATEST} l""")
+def ratio_of_sums(spark, sf):
+    return TS.ratio_of_sums(tables(spark, sf).counter_samples, "job", "purchase", SERIES_AS_OF)
+
+
+@register("relabel_instance", """
+select seq, address, regexp_replace(address, '^([^:]+)(:[0-9]+)?$', '\\1') as instance from counter_samples""")
+def relabel_instance(spark, sf):
+    s = tables(spark, sf).counter_samples
+    return s.select("seq", "address", TS.instance_of(F.col("address")).alias("instance"))
+
+
+@register("up_status", f"""
+select job, instance, last_seen, case when (epoch_us({SAS}) - epoch_us(last_seen)) / 1e6 <= 300 then 1 else 0 end as up
+from (select job, regexp_replace(address, '^([^:]+)(:[0-9]+)?$', '\\1') as instance, max(ts) as last_seen
+      from counter_samples where ts <= {SAS} group by 1, 2) g""")
+def up_status(spark, sf):
+    return TS.up_status(tables(spark, sf).counter_samples, SERIES_AS_OF)
