@@ -42,19 +42,23 @@ def lag_by(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str,
             .drop("_chunk", "_first", "_carry")
 
 
-def running_sum_by(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column],
-                   include_current: bool = False, chunk: int = DEFAULT_CHUNK) -> DataFrame:
+def running_sum_by(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], values: dict[str, Column],
+                   include_current: bool = False, chunk: int = DEFAULT_CHUNK,
+                   chunk_col: Column | None = None) -> DataFrame:
     """Running sums ``sum(v) over (partition by keys order by order rows ... )`` chunk-parallel.
 
     ``values`` maps output name -> numeric column. With ``include_current=False`` the sum covers
     strictly earlier rows (``unbounded preceding .. -1``), which is 0 for the first row.
+    ``order`` may be several columns; then ``chunk_col`` must give a chunk number that is
+    non-decreasing in that order (e.g. the day of a timestamp that leads the order).
     """
     keys = list(keys)
-    c = df.withColumn("_chunk", _chunk(order, chunk))
+    order = [order] if isinstance(order, str) else list(order)
+    c = df.withColumn("_chunk", chunk_col if chunk_col is not None else _chunk(order[0], chunk))
     for name, v in values.items():
         c = c.withColumn(f"_v_{name}", v.cast("double"))
     end = Window.currentRow if include_current else -1
-    inner = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, end)
+    inner = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     for name in values:
         c = c.withColumn(f"_in_{name}", F.coalesce(F.sum(f"_v_{name}").over(inner), F.lit(0.0)))
     summ = c.groupBy(*keys, "_chunk").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
