@@ -1,3 +1,93 @@
-"""Registered queries."""
+"""Registered queries: streaming operators, each read back as a table and checked against the
+SQL of its batch twin (M1-M7)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import runs as R
+from ..operators.healing import failure_risk_score  # noqa: F401  (M4 scoring rule)
+from ..sources.tables import tables
+from ..streaming import streams as S
+from .q_runs import AS_OF, AS_OF_SQL
+from .registry import register
+
+
+def _landed(t, name: str, order: str):
+    df = getattr(t, name)
+    return S.landing(df, name, order=order), df.schema
+
+
+@register("stream_webhook_upsert", "select * from pipeline_runs")
+def stream_webhook_upsert(spark, sf):
+    path, schema = _landed(tables(spark, sf), "events", "event_id")
+    return S.stream_run_upsert(spark, path, schema)
+
+
+@register("stream_first_observation", """
+select seq, id, name, status, conclusion from (
+  select *, row_number() over (partition by id order by seq) as rn from polled_runs where id is not null) x
+where rn = 1""")
+def stream_first_observation(spark, sf):
+    path, schema = _landed(tables(spark, sf), "polled_runs", "seq")
+    return S.stream_first_observation(spark, path, schema)
+
+
+@register("stream_counters", """
+select count(*) filter (where json_extract_string(payload, '$.action') in ('completed', 'failed')) as pipeline_runs_total,
+  count(*) filter (where json_extract_string(payload, '$.action') in ('completed', 'failed')
+                   and json_extract_string(payload, '$.workflow_run.conclusion') = 'success') as pipeline_success_total
+from webhooks""")
+def stream_counters(spark, sf):
+    path, schema = _landed(tables(spark, sf), "webhooks", "delivery_id")
+    return S.stream_counters(spark, path, schema)
+
+
+@register("stream_last_confidence", """
+select least(greatest(previous_failures * 0.15e0 + dependency_changes * 0.12e0 + (commit_size / 1000) * 0.10e0
+  + ((100 - test_coverage) / 100) * 0.08e0 + (code_complexity / 30) * 0.07e0, 0e0), 1e0) as last_confidence, id as last_id
+from run_features order by id desc limit 1""")
+def stream_last_confidence(spark, sf):
+    path, schema = _landed(tables(spark, sf), "run_features", "id")
+    return S.stream_last_confidence(spark, path, schema)
+
+
+@register("stream_failure_pipeline", "select id, run_id, error_type, error_message, stack_trace, severity, created_at from failure_logs")
+def stream_failure_pipeline(spark, sf):
+    t = tables(spark, sf)
+    path, schema = _landed(t, "job_logs", "log_id")
+    return S.stream_failure_pipeline(spark, path, schema, t.healing_actions)["failure_logs"]
+
+
+@register("stream_notifications", """
+select f.log_id, f.run_id, f.error_type, r.heal_probability, 'notify' as decision
+from failure_analysis f left join (select action_type, avg(cast(success as double)) as heal_probability
+  from healing_actions group by action_type) r on f.error_type = r.action_type
+where not coalesce(r.heal_probability > 0.7e0, false)""")
+def stream_notifications(spark, sf):
+    t = tables(spark, sf)
+    path, schema = _landed(t, "job_logs", "log_id")
+    return S.stream_failure_pipeline(spark, path, schema, t.healing_actions)["notifications"]
+
+
+@register("stream_rate_windows", """
+select window_start, window_start + interval 5 minute as window_end, event_type, count(*) as events, count(*) / 300e0 as rate
+from (select make_timestamp(cast((floor(epoch_us(ts) / 60000000e0) - k) * 60000000 as bigint)) as window_start, event_type
+      from events, range(0, 5) t(k)) x
+group by window_start, event_type""")
+def stream_rate_windows(spark, sf):
+    path, schema = _landed(tables(spark, sf), "events", "event_id")
+    return S.stream_rate_windows(spark, path, schema)
+
+
+@register("stream_retention", f"select * from pipeline_runs where not (created_at < {AS_OF_SQL} - interval 30 day) or created_at is null")
+def stream_retention(spark, sf):
+    t = tables(spark, sf)
+    base = S._fresh(spark, "tables", "retention_input")
+    src = {"runs": t.runs, "failure_logs": t.failure_logs, "healing_actions": t.healing_actions, "metrics": t.metrics}
+    paths = {}
+    for name, df in src.items():
+        paths[name] = f"{base}/{name}"
+        df.write.parquet(paths[name])
+    out = S.retention_job(spark, paths, S._fresh(spark, "tables", "retention_output"), AS_OF, days=30)
+    return spark.read.parquet(out["runs"])
