@@ -63,15 +63,35 @@ def assignment_pattern() -> str:
     return rf'(?i){_EDGE_L}({kws})(\s*[=:]\s*)"?[^\s"]+"?'
 
 
-def found_keywords(text: Column) -> Column:
-    """Keywords present in ``text``, in list order."""
-    return F.array_compact(F.array(*[F.when(text.rlike(keyword_pattern(k)), F.lit(k)) for k in SECRET_KEYWORDS]))
+# A case-insensitive pattern that starts with an alternation gives the regex engine no literal
+# to skip ahead with, so it tries every position of a long text. Each regex below runs only when
+# a plain substring search of the lower-cased text finds the keyword (a necessary condition).
 
+def _has(lowered: Column, kw: str) -> Column:
+    return F.instr(lowered, kw) > 0
 
-def redact(text: Column) -> Column:
+
+def _any_keyword(lowered: Column) -> Column:
+    out = _has(lowered, SECRET_KEYWORDS[0])
+    for k in SECRET_KEYWORDS[1:]:
+        out = out | _has(lowered, k)
+    return out
+
+
+def found_keywords(text: Column, lowered: Column | None = None) -> Column:
+    """Keywords present in ``text``, in list order. Pass ``lowered = lower(text)`` when it is
+    already a column, so the text is lower-cased once."""
+    low = F.lower(text) if lowered is None else lowered
+    return F.array_compact(F.array(*[F.when(_has(low, k) & text.rlike(keyword_pattern(k)), F.lit(k))
+                                     for k in SECRET_KEYWORDS]))
+
+
+def redact(text: Column, lowered: Column | None = None) -> Column:
     """Mask the value of every keyword assignment with ``***``."""
-    return F.regexp_replace(text, assignment_pattern(), "$1$2$3***")
+    low = F.lower(text) if lowered is None else lowered
+    return F.when(_any_keyword(low), F.regexp_replace(text, assignment_pattern(), "$1$2$3***")).otherwise(text)
 
 
-def count_assignments(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(assignment_pattern()))
+def count_assignments(text: Column, lowered: Column | None = None) -> Column:
+    low = F.lower(text) if lowered is None else lowered
+    return F.when(_any_keyword(low), F.regexp_count(text, F.lit(assignment_pattern()))).otherwise(F.lit(0))

@@ -262,9 +262,10 @@ def _kw_sql() -> str:
 @register("secret_scan", f"""
 select doc_id, {_kw_sql()} as keywords, len(regexp_extract_all(text, {q(SEC.assignment_pattern())})) as n_secrets from documents""")
 def secret_scan(spark, sf):
-    d = tables(spark, sf).documents
-    return d.select("doc_id", F.array_join(SEC.found_keywords(F.col("text")), ",").alias("keywords"),
-                    SEC.count_assignments(F.col("text")).cast("bigint").alias("n_secrets"))
+    d = tables(spark, sf).documents.select("doc_id", "text", F.lower("text").alias("_low"))
+    t, low = F.col("text"), F.col("_low")
+    return d.select("doc_id", F.array_join(SEC.found_keywords(t, low), ",").alias("keywords"),
+                    SEC.count_assignments(t, low).cast("bigint").alias("n_secrets"))
 
 
 @register("secret_redact", f"""
