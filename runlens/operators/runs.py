@@ -239,8 +239,14 @@ def consecutive_dedupe(polled: DataFrame, keys: tuple[str, ...] = ()) -> DataFra
 
 
 def first_observation(polled: DataFrame, key: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Keep the first observation of each key (safe monitor: only null ids are dropped)."""
+    """Keep the first observation of each key (safe monitor: only null ids are dropped).
+
+    ``key=("id", "effective_status")`` also processes a run again once its status changes
+    (a run first seen in progress is looked at again when it has concluded).
+    """
     seen = polled.filter(F.col("id").isNotNull())
+    if "effective_status" in key and "effective_status" not in polled.columns:
+        seen = seen.withColumn("effective_status", F.coalesce("conclusion", "status", F.lit("unknown")))
     cols = ["seq", "id", "name", "status", "conclusion"]
     g = seen.groupBy(*key).agg(F.min_by(F.struct(*cols), F.col("seq")).alias("o"))
     return g.select(*[F.col(f"o.{c}").alias(c) for c in cols])

@@ -66,6 +66,39 @@ def windowed_increase(samples: DataFrame, window_seconds: int, series: list[str]
                     (F.col("_sum") - F.col("_first")).alias("increase"))
 
 
+def extrapolated_increase(samples: DataFrame, window_seconds: int, series: list[str] = SERIES) -> DataFrame:
+    """Q1/Q2 with Prometheus' edge extrapolation, per series and tumbling window ``(t - w, t]``.
+
+    From the window's own samples (all aggregates): observed increase (reset-corrected), first
+    and last sample time, first value and count. The observed span is stretched to the window
+    edges when the gap to an edge is under 1.1 x the average sample spacing (else by half a
+    spacing), and not further back than the counter's extrapolated zero. Windows with fewer than
+    two samples give no result.
+    """
+    w = window_seconds * 1_000_000
+    d = with_deltas(samples, series)
+    m = _micros(F.col("ts"))
+    d = d.withColumn("_end", (F.ceil(m / F.lit(w)) * F.lit(w)).cast("bigint")).withColumn("_m", m)
+    g = d.groupBy(*series, "_end").agg(
+        (F.sum(F.coalesce("delta", F.lit(0.0))) - F.min_by(F.coalesce("delta", F.lit(0.0)), F.col("seq"))).alias("inc"),
+        F.min_by("_m", F.col("seq")).alias("t0"), F.max_by("_m", F.col("seq")).alias("t1"),
+        F.min_by("value", F.col("seq")).alias("v0"), F.count(F.lit(1)).alias("n"))
+    g = g.filter(F.col("n") >= 2)
+    sampled = (F.col("t1") - F.col("t0")) / 1e6
+    to_start = (F.col("t0") - (F.col("_end") - F.lit(w))) / 1e6
+    to_end = (F.col("_end") - F.col("t1")) / 1e6
+    avg_gap = sampled / (F.col("n") - 1)
+    to_zero = sampled * (F.col("v0") / F.col("inc"))
+    to_start = F.when((F.col("inc") > 0) & (F.col("v0") >= 0) & (to_zero < to_start), to_zero).otherwise(to_start)
+    thr = avg_gap * 1.1
+    ext = (sampled + F.when(to_start < thr, to_start).otherwise(avg_gap / 2)
+           + F.when(to_end < thr, to_end).otherwise(avg_gap / 2))
+    inc = F.when(sampled > 0, F.col("inc") * ext / sampled).otherwise(F.lit(None).cast("double"))
+    return g.select(*series, F.timestamp_micros("_end").cast("timestamp_ntz").alias("window_end"),
+                    F.col("n").alias("samples"), inc.alias("increase"),
+                    (inc / float(window_seconds)).alias("rate"))
+
+
 def counter_rate(samples: DataFrame, window_seconds: int = 300, series: list[str] = SERIES) -> DataFrame:
     """Q2: ``rate(counter[w])`` per series at every window end."""
     inc = windowed_increase(samples, window_seconds, series)

@@ -157,6 +157,15 @@ def first_observation(spark, sf):
     return R.first_observation(tables(spark, sf).polled_runs)
 
 
+@register("first_observation_by_status", """
+select seq, id, name, status, conclusion from (
+  select *, row_number() over (partition by id, coalesce(conclusion, status, 'unknown') order by seq) as rn
+  from polled_runs where id is not null) x
+where rn = 1""")
+def first_observation_by_status(spark, sf):
+    return R.first_observation(tables(spark, sf).polled_runs, key=("id", "effective_status"))
+
+
 RET_CUT = f"{AS_OF_SQL} - interval 30 day"
 OLD_RUNS = f"(select run_id from pipeline_runs where created_at < {RET_CUT})"
 

@@ -107,3 +107,21 @@ from (select job, regexp_replace(address, '^([^:]+)(:[0-9]+)?$', '\\1') as insta
       from counter_samples where ts <= {SAS} group by 1, 2) g""")
 def up_status(spark, sf):
     return TS.up_status(tables(spark, sf).counter_samples, SERIES_AS_OF)
+
+
+@register("counter_rate_extrapolated", f"""
+with d as ({DELTAS.format(src='counter_samples')}),
+g as (select job, address, cast(ceil(epoch_us(ts) / 300000000e0) * 300000000 as bigint) as e,
+        sum(coalesce(delta, 0e0)) - arg_min(coalesce(delta, 0e0), seq) as inc, arg_min(epoch_us(ts), seq) as t0,
+        arg_max(epoch_us(ts), seq) as t1, arg_min(value, seq) as v0, count(*) as n
+      from d group by 1, 2, 3 having count(*) >= 2),
+x as (select *, (t1 - t0) / 1e6 as sampled, (t0 - (e - 300000000)) / 1e6 as to_start0, (e - t1) / 1e6 as to_end from g),
+y as (select *, sampled / (n - 1) as avg_gap,
+        case when inc > 0 and v0 >= 0 and sampled * (v0 / inc) < to_start0 then sampled * (v0 / inc) else to_start0 end as to_start from x),
+z as (select *, sampled + case when to_start < avg_gap * 1.1e0 then to_start else avg_gap / 2 end
+                        + case when to_end < avg_gap * 1.1e0 then to_end else avg_gap / 2 end as ext from y)
+select job, address, make_timestamp(e) as window_end, n as samples,
+  case when sampled > 0 then inc * ext / sampled end as increase, case when sampled > 0 then inc * ext / sampled end / 300e0 as rate
+from z""")
+def counter_rate_extrapolated(spark, sf):
+    return TS.extrapolated_increase(tables(spark, sf).counter_samples, 300)
