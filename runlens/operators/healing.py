@@ -94,12 +94,10 @@ def percent_format(p: Column) -> Column:
     return F.concat(F.regexp_replace(F.format_number(p * 100, 2), ",", ""), F.lit("%"))
 
 
-def notifications(gated: DataFrame, plans: DataFrame | None = None) -> DataFrame:
-    """Failures that were not healed: gate said notify, or the healing was unsuccessful."""
-    if plans is None:
-        return gated.filter(F.col("decision") == "notify")
-    j = gated.join(plans.select("log_id", F.col("success").alias("healed")), "log_id", "left")
-    return j.filter((F.col("decision") == "notify") | ~F.coalesce(F.col("healed"), F.lit(False))).drop("healed")
+def notifications(gated_plans: DataFrame) -> DataFrame:
+    """Failures that were not healed: the gate said notify, or the healing was unsuccessful.
+    Input: ``plan_healing(..., rates)`` (plan and gate per failure)."""
+    return gated_plans.filter((F.col("decision") == "notify") | ~F.coalesce(F.col("success"), F.lit(False)))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -113,14 +111,27 @@ def repo_file_pivot(repo_files: DataFrame) -> DataFrame:
         pick(REQUIREMENTS).alias("requirements"), pick(PYTEST_INI).alias("pytest_ini"), pick(WORKFLOW).alias("workflow"))
 
 
-def plan_healing(analysis: DataFrame, files: DataFrame, rollback: DataFrame) -> DataFrame:
+def repo_context(files: DataFrame, last_good: DataFrame) -> DataFrame:
+    """One row per repository: its three files and the commit of its newest good run (the
+    rollback target). Both inputs are per-repository tables, so this is small and joined once."""
+    g = last_good.select("repo", F.substring("head_sha", 1, 7).alias("rollback_sha"))
+    return files.join(g, "repo", "full_outer")
+
+
+def plan_healing(analysis: DataFrame, context: DataFrame, rates: DataFrame | None = None) -> DataFrame:
     """F8: the plan of every analysed failure (``log_id, run_id, repo, error_type, error_message,
     missing_package, test_name``): success, action type, details and changes.
 
-    ``files`` is ``repo_file_pivot``; ``rollback`` is ``vcs.rollback_plan`` (per log_id).
+    ``context`` is ``repo_context`` (files + rollback target per repository). With ``rates``
+    (``action_type, heal_probability``) the gate decision (P10) is added in the same pass, so
+    the plan and the gate come from one evaluation of the analysis.
     """
-    rb = rollback.select("log_id", F.col("rollback_sha"))
-    j = analysis.join(files, "repo", "left").join(rb, "log_id", "left")
+    j = analysis.join(context, "repo", "left")
+    extra = []
+    if rates is not None:
+        j = j.join(rates, j["error_type"] == rates["action_type"], "left").drop("action_type")
+        p = F.col("heal_probability")
+        extra = [p, F.when(p.isNotNull() & (p > HEAL_THRESHOLD), "heal").otherwise("notify").alias("decision")]
     et, pkg, msg = F.col("error_type"), F.col("missing_package"), F.lower(F.col("error_message"))
     req = F.coalesce(F.col("requirements"), F.lit(""))
     test = F.coalesce(F.col("test_name"), F.lit("None"))
@@ -168,6 +179,7 @@ def plan_healing(analysis: DataFrame, files: DataFrame, rollback: DataFrame) ->
         F.when(et.isin(HEALABLE_TYPES), et).otherwise(F.lit("none")).alias("action_type"),
         chain(1).alias("details"),
         chain(2).alias("changes_made"),
+        *extra,
     )
 
 

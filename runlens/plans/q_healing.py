@@ -99,11 +99,14 @@ def _analysis_with_repo(t):
     return a.join(t.runs.select("run_id", "repo"), "run_id", "inner")
 
 
-def _plans(t):
+def _rates(t):
+    return t.healing_actions.groupBy("action_type").agg(F.avg(F.col("success").cast("double")).alias("heal_probability"))
+
+
+def _plans(t, with_gate: bool = False):
     a = _analysis_with_repo(t)
-    crashes = a.filter(F.col("error_type") == "deployment_crash").select("log_id", "run_id")
-    rb = V.rollback_plan(crashes, V.run_attributes(t.run_events, t.runs))
-    return H.plan_healing(a, H.repo_file_pivot(t.repo_files), rb)
+    ctx = H.repo_context(H.repo_file_pivot(t.repo_files), V.last_good_run(V.run_attributes(t.run_events, t.runs)))
+    return H.plan_healing(a, ctx, _rates(t) if with_gate else None)
 
 
 FILES = f"""select repo, max(case when path = '{H.REQUIREMENTS}' then content end) as requirements,
@@ -172,8 +175,8 @@ plans as ({_plan_sql()})
 select gate.* from gate left join plans on gate.log_id = plans.log_id
 where gate.decision = 'notify' or not coalesce(plans.success, false)""")
 def notifications(spark, sf):
-    t = tables(spark, sf)
-    return H.notifications(_gated(t), _plans(t))
+    p = _plans(tables(spark, sf), with_gate=True)
+    return H.notifications(p).select("log_id", "run_id", "error_type", "heal_probability", "decision")
 
 
 STRIP = "regexp_replace(coalesce(fl.requirements, ''), '^\\s+|\\s+$', '', 'g')"

@@ -9,6 +9,8 @@ downstream queries run on what the library computes.
 
 from __future__ import annotations
 
+import os
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,25 +22,41 @@ BASE_TABLES = [
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
-_registered: dict[int, str] = {}
+_registered: dict[int, tuple[str, set[str]]] = {}
 
 
-def register(spark: SparkSession, sf_dir: str, tables: list[str] | None = None) -> None:
-    """(Re)register base tables and derived views for ``sf_dir`` in this session."""
+def _deps(sql: str) -> list[str]:
+    names = [*BASE_TABLES, *VIEWS]
+    return [n for n in names if re.search(rf"\b{n}\b", sql)]
+
+
+def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> None:
+    """Register ``names`` (base tables or derived views) for ``sf_dir`` in this session, with
+    what they read, and nothing else. Switching to another folder starts over."""
     key = id(spark)
-    if _registered.get(key) == sf_dir:
-        return
-    import os
-    for name in tables or BASE_TABLES:
-        path = f"{sf_dir}/{name}.parquet"
-        if os.path.exists(path) or "://" in sf_dir:
-            spark.read.parquet(path).createOrReplaceTempView(name)
-    for name, sql in VIEWS.items():
-        if name in SPARK_BUILT:
-            SPARK_BUILT[name](spark).createOrReplaceTempView(name)
+    if key not in _registered or _registered[key][0] != sf_dir:
+        _registered[key] = (sf_dir, set())
+    done = _registered[key][1]
+
+    def ensure(name: str) -> None:
+        if name in done:
+            return
+        if name in BASE_TABLES:
+            path = f"{sf_dir}/{name}.parquet"
+            if os.path.exists(path) or "://" in sf_dir:
+                spark.read.parquet(path).createOrReplaceTempView(name)
         else:
-            spark.sql(sql).createOrReplaceTempView(name)
-    _registered[key] = sf_dir
+            for d in _deps(VIEWS[name]):
+                if d != name:
+                    ensure(d)
+            if name in SPARK_BUILT:
+                SPARK_BUILT[name](spark).createOrReplaceTempView(name)
+            else:
+                spark.sql(VIEWS[name]).createOrReplaceTempView(name)
+        done.add(name)
+
+    for n in names or []:
+        ensure(n)
 
 
 def _counter_samples(spark: SparkSession) -> DataFrame:
@@ -70,6 +88,7 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS or name in BASE_TABLES:
+            register(self.spark, self.sf_dir, [name])
             return self.spark.table(name)
         raise AttributeError(name)
 
@@ -77,13 +96,13 @@ class Tables:
     def runs(self) -> DataFrame:
         """Run table as produced by the upsert operator (equals the ``pipeline_runs`` view)."""
         from ..operators.runs import run_upsert
-        return run_upsert(self.spark.table("run_events"))
+        return run_upsert(self.run_events)
 
     @cached_property
     def failure_logs(self) -> DataFrame:
         """Failure-log table: the engine's analysis of every job log, appended as stored rows."""
         from ..operators.classify_ops import failure_log_rows
-        return failure_log_rows(self.spark.table("job_logs"))
+        return failure_log_rows(self.job_logs)
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
