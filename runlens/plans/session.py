@@ -61,3 +61,22 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder, for written tables and stream state."""
     base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/" + name
+
+
+def cluster_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 * 1024 * 1024,
+                 max_partitions: int = 200_000) -> dict[str, str]:
+    """Shuffle sizing for a cluster run, from the input size.
+
+    The initial shuffle partition count is set so that each partition holds about
+    ``partition_bytes`` of input (and there are at least three per core). AQE then coalesces
+    small partitions and splits skewed ones at run time, using the same advisory size, so a
+    partition fits in executor memory and a spill stays bounded. Scan splits use the same size.
+    """
+    parts = max(3 * total_cores, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(min(parts, max_partitions)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(partition_bytes // 4),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes * 2),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+    }
