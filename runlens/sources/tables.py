@@ -74,8 +74,50 @@ def _counter_samples(spark: SparkSession) -> DataFrame:
     return r.select("seq", "ts", "job", "address", "value")
 
 
+def _commit_files(spark: SparkSession) -> DataFrame:
+    """``commit_files``: up to four files per commit, as an ``explode`` (no cross join)."""
+    from pyspark.sql import functions as F
+    ev = spark.table("events")
+    ks = F.filter(F.array(*[F.lit(k) for k in range(4)]), lambda k: k < F.col("event_id") % 5)
+    e = ev.select(F.md5(F.col("event_id").cast("string")).alias("sha"), F.explode(ks).alias("k"))
+    return e.select("sha", F.concat(F.lit("src/f"), F.col("k").cast("string"), F.lit(".py")).alias("path"))
+
+
+DURATION_BOUNDS = [5.0, 10.0, 25.0, 50.0, 100.0, 250.0, float("inf")]
+
+
+def _duration_buckets(spark: SparkSession) -> DataFrame:
+    """``duration_buckets``: cumulative count per day and bound, as one aggregate per day with a
+    ``count_if`` per bound, then unpivoted (no cross join, no row expansion before the shuffle)."""
+    from pyspark.sql import functions as F
+    m = spark.table("metrics")
+    g = m.groupBy(F.to_date("timestamp").alias("day")).agg(
+        *[F.count_if(F.col("metric_value") <= F.lit(b)).cast("double").alias(f"c{i}") for i, b in enumerate(DURATION_BOUNDS)])
+    pairs = F.array(*[F.struct(F.lit(b).alias("le"), F.col(f"c{i}").alias("cum_count")) for i, b in enumerate(DURATION_BOUNDS)])
+    return g.select("day", F.inline(pairs))
+
+
+def _repo_files(spark: SparkSession) -> DataFrame:
+    """``repo_files``: three files per repository (one missing pytest.ini in five), via explode."""
+    from pyspark.sql import functions as F
+    r = spark.table("events").select((F.col("user_id") % 20).alias("r")).distinct()
+    paths = F.array(F.lit("requirements.txt"), F.lit("pytest.ini"), F.lit(".github/workflows/main.yml"))
+    x = r.select("r", F.explode(paths).alias("path")).filter(~((F.col("path") == "pytest.ini") & (F.col("r") % 5 == 4)))
+    nl = F.lit("\n")
+    content = (F.when(F.col("path") == "requirements.txt",
+                      F.concat(F.lit("requests==2.31.0"), nl, F.lit("pkg"), (F.col("r") % 9).cast("string"), nl))
+                .when(F.col("path") == "pytest.ini",
+                      F.when(F.col("r") % 2 == 0, F.concat(F.lit("[pytest]"), nl, F.lit("timeout = 60"), nl))
+                       .otherwise(F.concat(F.lit("[pytest]"), nl)))
+                .otherwise(F.when(F.col("r") % 3 == 0, F.concat(F.lit("jobs:"), nl, F.lit("  timeout-minutes: 10"), nl))
+                            .otherwise(F.concat(F.lit("jobs: {}"), nl))))
+    return x.select(F.concat(F.lit("org/repo-"), F.col("r").cast("string")).alias("repo"), F.lit("main").alias("branch"),
+                    "path", content.alias("content"))
+
+
 # Views whose Spark form is built with DataFrame operators (same rows as the SQL text).
-SPARK_BUILT = {"counter_samples": _counter_samples}
+SPARK_BUILT = {"counter_samples": _counter_samples, "commit_files": _commit_files,
+               "duration_buckets": _duration_buckets, "repo_files": _repo_files}
 
 
 class Tables:
