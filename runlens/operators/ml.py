@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.session import ensure_checkpoint_dir
 from .runs import ts_lit
 from .scan import running_sum_by
 from .stats import classifier_metrics
@@ -48,6 +49,9 @@ RISK_FACTORS = [
 NO_RISK_FACTORS = "No major risk factors"
 FOREST = {"numTrees": 100, "maxDepth": 15, "seed": 42}
 BOOSTING = {"maxIter": 150, "stepSize": 0.05, "maxDepth": 4, "seed": 42}
+# Deep trees and many boosting rounds build long lineages: cache node ids and checkpoint every
+# 10 iterations (to the shared ``spark.checkpoint.dir``) so a lost executor does not replay them.
+LINEAGE = {"cacheNodeIds": True, "checkpointInterval": 10}
 TRAIN_PERCENT = 80
 CV_FOLDS = 3
 MIN_HEALING_SAMPLES = 50
@@ -195,12 +199,13 @@ def failure_pipeline(features: list[str] = FEATURES, label: str = "label") -> Pi
     return Pipeline(stages=[
         VectorAssembler(inputCols=features, outputCol="raw_features", handleInvalid="keep"),
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-        RandomForestClassifier(featuresCol="features", labelCol=label, **FOREST),
+        RandomForestClassifier(featuresCol="features", labelCol=label, **FOREST, **LINEAGE),
     ])
 
 
 def train_failure_model(train: DataFrame, label: str = "label") -> PipelineModel:
     """L3: assembler -> scaler -> random forest (100 trees, depth 15, seed 42)."""
+    ensure_checkpoint_dir(train.sparkSession)
     return failure_pipeline(label=label).fit(train)
 
 
@@ -264,10 +269,11 @@ def train_healing_model(samples: DataFrame, label: str = "label") -> tuple[Pipel
     d = healing_decision(samples, label)
     if d["decision"] != "train":
         return None, d
+    ensure_checkpoint_dir(samples.sparkSession)
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=HEALING_FEATURES, outputCol="raw_features", handleInvalid="keep"),
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-        GBTClassifier(featuresCol="features", labelCol=label, **BOOSTING),
+        GBTClassifier(featuresCol="features", labelCol=label, **BOOSTING, **LINEAGE),
     ])
     return pipe.fit(samples), d
 

@@ -60,6 +60,15 @@ def poll_ingest(spark, sf):
     return I.poll_ingest(tables(spark, sf).poll_responses)
 
 
+@register("poll_ingest_drop_falsy", f"""
+select poll_id, idx, cast(json_extract(r, '$.id') as bigint) as id, json_extract_string(r, '$.name') as name,
+  json_extract_string(r, '$.status') as status, json_extract_string(r, '$.conclusion') as conclusion
+from ({POLL_RUNS}) x where json_type(r) = 'OBJECT' and json_extract(r, '$.id') is not null and json_type(r, '$.id') <> 'NULL'
+  and cast(json_extract(r, '$.id') as bigint) <> 0""")
+def poll_ingest_drop_falsy(spark, sf):
+    return I.poll_ingest(tables(spark, sf).poll_responses, drop_falsy_ids=True)
+
+
 @register("poll_ingest_summary", f"""
 select (select count(*) from poll_responses) as responses,
   (select count(*) from poll_responses) - (select count(*) from ({POLL_OK}) o) as malformed_responses,

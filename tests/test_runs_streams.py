@@ -61,3 +61,13 @@ def test_asof_join_brute_force(spark, sf):
         cands = [g for g in goods if g.repo == repo and g.created_at < f.created_at]
         want = max(cands, key=lambda g: (g.created_at, g.id)).head_sha if cands else None
         assert got[f.log_id] == want
+
+
+def test_watermark_dedupe_emits_each_id_once(spark, sf):
+    t = tables(spark, sf)
+    polled = t.polled_runs.join(t.events.select(F.col("event_id").alias("seq"), "ts"), "seq")
+    path = S.landing(polled, "polled_ts", order="seq")
+    stream = S.first_seen_within_watermark(S.source(spark, path, polled.schema))
+    table = S.run_changes(stream.select("id", "seq"), "watermark_dedupe", output_mode="append")
+    got = spark.read.parquet(table)
+    assert got.count() == got.select("id").distinct().count() == polled.filter("id is not null").select("id").distinct().count()
