@@ -30,6 +30,7 @@ HEADLINE = [
     "secret_scan",                # F13: whole documents
     "webhook_ingest",             # S1: JSON parse of every delivery
     "predict_failure",            # L6: model scoring
+    "stream_webhook_upsert",      # M1: streaming upsert, 4 micro-batches, state store + idempotent sink
 ]
 
 
