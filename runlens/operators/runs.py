@@ -84,7 +84,10 @@ def workflow_status(runs: DataFrame, run_ids: DataFrame) -> DataFrame:
 # P1, P2
 # ---------------------------------------------------------------------------------------------
 
-def active_runs(run_events: DataFrame) -> DataFrame:
+RUN_URL_BASE = "https://ci.example.com/"
+
+
+def active_runs(run_events: DataFrame, url_base: str = RUN_URL_BASE) -> DataFrame:
     """Runs whose latest state is ``in_progress`` with the nine run attributes."""
     g = run_events.groupBy("run_id").agg(
         F.max_by(F.struct("status", "repo", "head_branch", "head_sha", "event", "author"), F.col("seq")).alias("l"),
@@ -99,7 +102,7 @@ def active_runs(run_events: DataFrame) -> DataFrame:
         F.col("l.head_sha").alias("head_sha"),
         F.col("l.event").alias("event"),
         F.col("l.author").alias("author"),
-        F.concat(F.lit("https://github.com/"), F.col("l.repo"), F.lit("/actions/runs/"), F.col("run_id")).alias("url"),
+        F.concat(F.lit(url_base), F.col("l.repo"), F.lit("/actions/runs/"), F.col("run_id")).alias("url"),
     )
 
 

@@ -34,7 +34,7 @@ def table_scan(spark, sf):
 
 @register("active_runs", """
 select cast(l.run_id as bigint) as id, l.repo as name, l.status, f.created_at, l.head_branch, l.head_sha, l.event, l.author,
-  'https://github.com/' || l.repo || '/actions/runs/' || l.run_id as url
+  'https://ci.example.com/' || l.repo || '/actions/runs/' || l.run_id as url
 from (select *, row_number() over (partition by run_id order by seq desc) as rn from run_events) l
 join (select run_id, min(ts) as created_at from run_events group by run_id) f on l.run_id = f.run_id
 where l.rn = 1 and l.status = 'in_progress'""")

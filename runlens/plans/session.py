@@ -51,7 +51,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
-        current = tempfile.mkdtemp(prefix="runlens-ckpt-")
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (HDFS/S3/...) that every "
+                               "executor and the driver can reach; a machine-local folder would not survive "
+                               "a lost executor")
+        current = tempfile.mkdtemp(prefix="runlens-ckpt-")  # local mode only (tests)
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
