@@ -96,7 +96,7 @@ def rollback_plan(crashes: DataFrame, attrs: DataFrame) -> DataFrame:
          .otherwise(F.lit("No previous successful deployment found")).alias("details"))
 
 
-def last_good_run_asof(failures: DataFrame, attrs: DataFrame, chunk_micros: int = 86_400_000_000) -> DataFrame:
+def last_good_run_asof(failures: DataFrame, attrs: DataFrame, chunk_micros: int = 3_600_000_000) -> DataFrame:
     """For each failure (``log_id, run_id, created_at``) the newest good run of its repo
     created strictly before the failure. An as-of join: both sides in one ordered sequence per
     repo (good runs sort after failures at equal time, so "before" is strict), carrying the last

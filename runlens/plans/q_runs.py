@@ -92,6 +92,17 @@ def healing_history(spark, sf):
     return R.healing_history(t.runs, t.failure_logs, t.healing_actions)
 
 
+@register("healing_history_rows", """
+select r.run_id, c.kind, c.child_id, c.label, c.created_at from pipeline_runs r join (
+  select run_id, 'failure' as kind, id as child_id, error_type as label, created_at from failure_logs
+  union all
+  select run_id, 'healing_action' as kind, id as child_id, action_type as label, created_at from healing_actions) c
+on r.run_id = c.run_id""")
+def healing_history_rows(spark, sf):
+    t = tables(spark, sf)
+    return R.healing_history_rows(t.runs, t.failure_logs, t.healing_actions)
+
+
 @register("unhealed_failures", """
 select run_id, repo, created_at from pipeline_runs r
 where conclusion = 'failure' and not exists (select 1 from healing_actions a where a.run_id = r.run_id)""")
