@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import runs as R
 from ..operators.healing import failure_risk_score  # noqa: F401  (M4 scoring rule)
+from ..sources import store as ST
 from ..sources.tables import tables
 from ..streaming import streams as S
 from .q_runs import AS_OF, AS_OF_SQL
@@ -83,11 +84,6 @@ def stream_rate_windows(spark, sf):
 @register("stream_retention", f"select * from pipeline_runs where not (created_at < {AS_OF_SQL} - interval 30 day) or created_at is null")
 def stream_retention(spark, sf):
     t = tables(spark, sf)
-    base = S._fresh(spark, "tables", "retention_input")
-    src = {"runs": t.runs, "failure_logs": t.failure_logs, "healing_actions": t.healing_actions, "metrics": t.metrics}
-    paths = {}
-    for name, df in src.items():
-        paths[name] = f"{base}/{name}"
-        df.write.parquet(paths[name])
-    out = S.retention_job(spark, paths, S._fresh(spark, "tables", "retention_output"), AS_OF, days=30)
-    return spark.read.parquet(out["runs"])
+    paths = ST.write_tables(t.runs, t.failure_logs, t.healing_actions, t.metrics, S._fresh(spark, "tables", "retention"))
+    ST.apply_retention(spark, paths, AS_OF, days=30)  # drops old day partitions, rewrites the cutoff day
+    return spark.read.parquet(paths["runs"]).drop(ST.PART)
