@@ -21,6 +21,8 @@ FRAGMENTS = [
     "unexpected token", "PermissionError", "Permission denied", "Access denied", "Forbidden", "Configuration error",
     "Invalid configuration", "Missing required key in config", "KeyError: 'cfg'", "Traceback (most recent call last):",
     "\n", "\n\n", " ", "\t", "ünïcödé", "ß", "x", "_", "test_", "Error in test_abc", "test_q FAILED",
+    # non-ASCII letters that case-fold to ASCII pattern letters: these texts skip the literal guard
+    "Connection refu\u017fed", "OOM\u212Ailled", "Forb\u0131dden", "Acce\u017f\u017f denied",
 ]
 
 
