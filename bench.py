@@ -46,7 +46,8 @@ def main() -> None:
     small = "/root/testdata/sf0.001"
 
     # model trained once on the small fixture, reused for scoring at the bench scale
-    q_ml._MODELS[(id(spark), sf_dir)] = q_ml.models(spark, small)
+    from runlens.sources.tables import session_key
+    q_ml._MODELS[(*session_key(spark), sf_dir)] = q_ml.models(spark, small)
 
     for k in HEADLINE:  # warm-up: code generation and JIT
         qs[k](spark, small).write.format("noop").mode("overwrite").save()

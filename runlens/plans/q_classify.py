@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..operators import classify_ops as K

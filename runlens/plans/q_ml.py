@@ -16,13 +16,13 @@ from ..operators import healing as H
 from ..operators import ml as ML
 from ..operators import runs as R
 from ..plans.session import checkpoint_path
-from ..sources.tables import tables
+from ..sources.tables import session_key, tables
 from .q_healing import SCORED
 from .q_runs import AS_OF, AS_OF_SQL
 from .registry import register
 
 TRAINED_AT = "2024-02-01 00:00:00"
-_MODELS: dict[tuple[int, str], dict] = {}
+_MODELS: dict[tuple, dict] = {}
 
 
 def training_frame(t):
@@ -39,7 +39,7 @@ def healing_samples(t):
 
 
 def models(spark, sf):
-    key = (id(spark), sf)
+    key = (*session_key(spark), sf)
     if key not in _MODELS:
         t = tables(spark, sf)
         data = ML.split_train_test(training_frame(t))

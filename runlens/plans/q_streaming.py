@@ -3,10 +3,6 @@ SQL of its batch twin (M1-M7)."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from ..operators import runs as R
-from ..operators.healing import failure_risk_score  # noqa: F401  (M4 scoring rule)
 from ..sources import store as ST
 from ..sources.tables import tables
 from ..streaming import streams as S

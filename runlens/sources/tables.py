@@ -22,7 +22,13 @@ BASE_TABLES = [
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
-_registered: dict[int, tuple[str, set[str]]] = {}
+_registered: dict[tuple[str, int], tuple[str, set[str]]] = {}
+
+
+def session_key(spark: SparkSession) -> tuple[str, int]:
+    """Identity of a live session: its application id and object id (ids alone can be reused
+    after a session is stopped and another one created)."""
+    return spark.sparkContext.applicationId, id(spark)
 
 
 def _deps(sql: str) -> list[str]:
@@ -33,13 +39,13 @@ def _deps(sql: str) -> list[str]:
 def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> None:
     """Register ``names`` (base tables or derived views) for ``sf_dir`` in this session, with
     what they read, and nothing else. Switching to another folder starts over."""
-    key = id(spark)
+    key = session_key(spark)
     if key not in _registered or _registered[key][0] != sf_dir:
         _registered[key] = (sf_dir, set())
     done = _registered[key][1]
 
     def ensure(name: str) -> None:
-        if name in done:
+        if name in done and spark.catalog.tableExists(name):
             return
         if name in BASE_TABLES:
             path = f"{sf_dir}/{name}.parquet"

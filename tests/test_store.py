@@ -4,7 +4,6 @@ folders, the cutoff day rewritten)."""
 import uuid
 
 import pytest
-from pyspark.sql import functions as F
 
 from runlens.operators import runs as R
 from runlens.plans.session import checkpoint_path
