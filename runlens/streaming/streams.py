@@ -1,4 +1,5 @@
-"""Structured Streaming forms of the operators (M1-M7), each with a batch twin it must equal.
+"""Structured Streaming forms of the operators (M1-M6), each with a batch twin it must equal.
+The scheduled retention (M7) works on the day-partitioned tables of ``sources/store.py``.
 
 Pattern used throughout:
 * the source is a folder of parquet files (``landing`` writes one from the given tables, in
@@ -193,15 +194,3 @@ def stream_rate_windows(spark: SparkSession, events_path: str, schema, size: str
 def _seconds(interval: str) -> int:
     n, unit = interval.split()
     return int(n) * {"second": 1, "seconds": 1, "minute": 60, "minutes": 60, "hour": 3600, "hours": 3600}[unit]
-
-
-def retention_job(spark: SparkSession, paths: dict[str, str], out: str, as_of: str, days: int = 90) -> dict[str, str]:
-    """M7: the scheduled retention run: read the four tables, write their keep-sets as new
-    versions under ``out`` (parquet cannot delete in place; readers switch to the new version)."""
-    t = {k: spark.read.parquet(v) for k, v in paths.items()}
-    kept = R.retention(t["runs"], t["failure_logs"], t["healing_actions"], t["metrics"], as_of=as_of, days=days)
-    written = {}
-    for name, df in kept.items():
-        written[name] = f"{out}/{name}"
-        df.write.mode("overwrite").parquet(written[name])
-    return written
