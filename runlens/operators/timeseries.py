@@ -6,9 +6,10 @@ over ``(t - w, t]`` is the sum of reset-corrected deltas between consecutive sam
 window; the first sample inside a window is the baseline and counts 0; a drop in value is a
 reset and counts the new value. ``rate = increase / w``. No extrapolation to window edges.
 
-Per-sample deltas use a chunk-parallel lag (``scan.lag_by``); window sums are aggregates (sum of
-deltas minus the delta of the window's first sample), so neither a hot series nor a hot window
-puts its rows into one task.
+Windowed rates take the lag inside each (series, window) group, since a window's first sample is
+its baseline. A hot series is then split into one group per window, and the aggregate reuses that
+partitioning. The single-window increase (Q1) uses the chunk-parallel lag (``scan.lag_by``),
+so a hot series inside one long window is still split across tasks.
 """
 
 from __future__ import annotations
@@ -52,18 +53,27 @@ def counter_increase(samples: DataFrame, as_of: str, hours: int = 24, series: li
     return per
 
 
+def _window_deltas(samples: DataFrame, window_seconds: int, series: list[str]) -> DataFrame:
+    """Samples with their window end ``_end`` (``(t - w, t]`` on the w grid) and the
+    reset-corrected delta to the previous sample *of the same window* (null for the first: it is
+    the window's baseline). Partitioned by series and window, so a hot series is split into as
+    many groups as it has windows, and the aggregate that follows reuses the partitioning."""
+    w = window_seconds * 1_000_000
+    m = _micros(F.col("ts"))
+    d = samples.withColumn("_m", m).withColumn("_end", (F.ceil(m / F.lit(w)) * F.lit(w)).cast("bigint"))
+    prev = F.lag("value").over(Window.partitionBy(*series, "_end").orderBy("seq"))
+    delta = F.when(prev.isNull(), F.lit(None).cast("double")).when(F.col("value") < prev, F.col("value")) \
+             .otherwise(F.col("value") - prev)
+    return d.withColumn("delta", delta)
+
+
 def windowed_increase(samples: DataFrame, window_seconds: int, series: list[str] = SERIES) -> DataFrame:
     """Increase per series and tumbling window ``(t - w, t]`` (t on the w grid)."""
-    w = window_seconds * 1_000_000
-    d = with_deltas(samples, series)
-    end = (F.ceil(_micros(F.col("ts")) / F.lit(w)) * F.lit(w)).cast("bigint")
-    d = d.withColumn("_end", end)
-    g = d.groupBy(*series, "_end").agg(
-        F.sum(F.coalesce("delta", F.lit(0.0))).alias("_sum"),
-        F.min_by(F.coalesce("delta", F.lit(0.0)), F.col("seq")).alias("_first"),
-        F.count(F.lit(1)).alias("samples"))
+    d = _window_deltas(samples, window_seconds, series)
+    g = d.groupBy(*series, "_end").agg(F.coalesce(F.sum("delta"), F.lit(0.0)).alias("increase"),
+                                       F.count(F.lit(1)).alias("samples"))
     return g.select(*series, F.timestamp_micros("_end").cast("timestamp_ntz").alias("window_end"), "samples",
-                    (F.col("_sum") - F.col("_first")).alias("increase"))
+                    "increase")
 
 
 def extrapolated_increase(samples: DataFrame, window_seconds: int, series: list[str] = SERIES) -> DataFrame:
@@ -76,11 +86,9 @@ def extrapolated_increase(samples: DataFrame, window_seconds: int, series: list[
     two samples give no result.
     """
     w = window_seconds * 1_000_000
-    d = with_deltas(samples, series)
-    m = _micros(F.col("ts"))
-    d = d.withColumn("_end", (F.ceil(m / F.lit(w)) * F.lit(w)).cast("bigint")).withColumn("_m", m)
+    d = _window_deltas(samples, window_seconds, series)
     g = d.groupBy(*series, "_end").agg(
-        (F.sum(F.coalesce("delta", F.lit(0.0))) - F.min_by(F.coalesce("delta", F.lit(0.0)), F.col("seq"))).alias("inc"),
+        F.coalesce(F.sum("delta"), F.lit(0.0)).alias("inc"),
         F.min_by("_m", F.col("seq")).alias("t0"), F.max_by("_m", F.col("seq")).alias("t1"),
         F.min_by("value", F.col("seq")).alias("v0"), F.count(F.lit(1)).alias("n"))
     g = g.filter(F.col("n") >= 2)
