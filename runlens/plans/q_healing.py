@@ -105,7 +105,7 @@ def _rates(t):
 
 def _plans(t, with_gate: bool = False):
     a = _analysis_with_repo(t)
-    ctx = H.repo_context(H.repo_file_pivot(t.repo_files), V.last_good_run(V.run_attributes(t.run_events, t.runs)))
+    ctx = H.repo_context(H.repo_file_pivot(t.repo_files), V.last_good_run(V.run_attributes(t.run_events)))
     return H.plan_healing(a, ctx, _rates(t) if with_gate else None)
 
 

@@ -84,7 +84,7 @@ from failure_logs f join attrs a on f.run_id = a.run_id left join good g on a.re
 where f.error_type = 'deployment_crash'""")
 def last_good_run(spark, sf):
     t = tables(spark, sf)
-    return V.rollback_plan(_crashes(t), V.run_attributes(t.run_events, t.runs))
+    return V.rollback_plan(_crashes(t), V.run_attributes(t.run_events))
 
 
 @register("last_good_run_asof", f"""
@@ -96,7 +96,7 @@ select fails.log_id, fails.run_id, fails.repo, fails.failed_at, good.head_sha, s
 from fails asof left join good on fails.repo = good.repo and fails.failed_at > good.created_at""")
 def last_good_run_asof(spark, sf):
     t = tables(spark, sf)
-    return V.last_good_run_asof(_crashes(t), V.run_attributes(t.run_events, t.runs))
+    return V.last_good_run_asof(_crashes(t), V.run_attributes(t.run_events))
 
 
 @register("test_results", """

@@ -49,7 +49,7 @@ def test_stream_first_observation_equals_batch(spark, sf):
 
 def test_asof_join_brute_force(spark, sf):
     t = tables(spark, sf)
-    attrs = V.run_attributes(t.run_events, t.runs)
+    attrs = V.run_attributes(t.run_events)
     fails = t.failure_logs.select(F.col("id").alias("log_id"), "run_id", "created_at")
     got = {r.log_id: r.head_sha for r in V.last_good_run_asof(fails, attrs, chunk_micros=3_600_000_000).collect()}
     a = {r.run_id: r for r in attrs.collect()}
