@@ -45,12 +45,28 @@ def with_deltas(samples: DataFrame, series: list[str] = SERIES) -> DataFrame:
     return lagged.withColumn("delta", d).drop("_prev")
 
 
-def counter_increase(samples: DataFrame, as_of: str, hours: int = 24, series: list[str] = SERIES) -> DataFrame:
-    """Q1: ``sum(increase(counter[hours]))`` at ``as_of``: total and per series."""
+def _reset_delta(v: Column, prev: Column) -> Column:
+    return F.when(prev.isNull(), F.lit(None).cast("double")).when(v < prev, v).otherwise(v - prev)
+
+
+def counter_increase(samples: DataFrame, as_of: str, hours: int = 24, series: list[str] = SERIES,
+                     bucket_seconds: int = 3600) -> DataFrame:
+    """Q1: ``increase(counter[hours])`` per series at ``as_of`` (sum over series = the panel).
+
+    Exact and split: the window is cut into buckets; inside a bucket the lag is local, and the
+    step between consecutive non-empty buckets comes from a per-bucket (first, last) summary.
+    Only sums are needed, so nothing is joined back to the samples, and a hot series is spread
+    over its buckets.
+    """
     win = samples.filter((F.col("ts") > cutoff(as_of, hours=hours)) & (F.col("ts") <= ts_lit(as_of)))
-    d = with_deltas(win, series)  # lag inside the window: first sample is the baseline
-    per = d.groupBy(*series).agg(F.coalesce(F.sum("delta"), F.lit(0.0)).alias("increase"))
-    return per
+    b = win.withColumn("_b", F.floor(_micros(F.col("ts")) / F.lit(bucket_seconds * 1_000_000)).cast("bigint"))
+    prev = F.lag("value").over(Window.partitionBy(*series, "_b").orderBy("seq"))
+    per = b.withColumn("_d", _reset_delta(F.col("value"), prev)).groupBy(*series, "_b").agg(
+        F.coalesce(F.sum("_d"), F.lit(0.0)).alias("_within"),
+        F.min_by("value", F.col("seq")).alias("_first"), F.max_by("value", F.col("seq")).alias("_last"))
+    step = _reset_delta(F.col("_first"), F.lag("_last").over(Window.partitionBy(*series).orderBy("_b")))
+    per = per.withColumn("_step", F.coalesce(step, F.lit(0.0)))
+    return per.groupBy(*series).agg((F.sum("_within") + F.sum("_step")).alias("increase"))
 
 
 def _window_deltas(samples: DataFrame, window_seconds: int, series: list[str]) -> DataFrame:
