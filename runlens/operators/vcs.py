@@ -68,13 +68,14 @@ def deployment_status(deployments: DataFrame, statuses: DataFrame, limit: int =
 
 def run_attributes(run_events: DataFrame) -> DataFrame:
     """Per run, in one aggregate over its events: repo and creation time from the first event
-    (as the upsert keeps them), conclusion, commit and trigger event from the latest one."""
+    (as the upsert keeps them), conclusion, commit, trigger event and author from the latest one."""
     g = run_events.groupBy("run_id").agg(
         F.min_by(F.struct("repo", "ts"), F.col("seq")).alias("f"),
-        F.max_by(F.struct("conclusion", "head_sha", "event"), F.col("seq")).alias("l"))
+        F.max_by(F.struct("conclusion", "head_sha", "event", "author"), F.col("seq")).alias("l"))
     return g.select("run_id", F.col("run_id").cast("bigint").alias("id"), F.col("f.repo").alias("repo"),
                     F.col("l.conclusion").alias("conclusion"), F.col("f.ts").alias("created_at"),
-                    F.col("l.head_sha").alias("head_sha"), F.col("l.event").alias("event"))
+                    F.col("l.head_sha").alias("head_sha"), F.col("l.event").alias("event"),
+                    F.col("l.author").alias("author"))
 
 
 def good_runs(attrs: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from ..operators import classify_ops as K
 from ..operators import healing as H
 from ..operators import ml as ML
 from ..operators import runs as R
+from ..operators import vcs as V
 from ..plans.session import checkpoint_path
 from ..sources.tables import session_key, tables
 from .q_healing import SCORED
@@ -136,8 +137,7 @@ EARLIER = "rows between unbounded preceding and 1 preceding"
 
 
 def _runs_with_author(t):
-    a = t.run_events.groupBy("run_id").agg(F.max_by("author", "seq").alias("author"))
-    return t.runs.join(a, "run_id", "inner")
+    return V.run_attributes(t.run_events)  # one aggregate: run fields and the latest author
 
 
 @register("previous_failures", f"""
