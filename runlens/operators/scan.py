@@ -85,9 +85,10 @@ def last_non_null_before(df: DataFrame, keys: Sequence[str], order: str, value:
     inner = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     c = c.withColumn(out, F.last(F.col(value), ignorenulls=True).over(inner))
     carry_w = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    last_in = (c.filter(F.col(value).isNotNull()).groupBy(*keys, "_chunk")
-                .agg(F.max_by(F.col(value), F.col(order)).alias("_lv")))
-    chunks = c.select(*keys, "_chunk").distinct().join(last_in, [*keys, "_chunk"], "left")
+    # one aggregate lists every chunk and its last non-null value (rows with a null value get a
+    # null ordering key, which max_by skips; a chunk without values yields null)
+    has = F.col(value).isNotNull()
+    chunks = c.groupBy(*keys, "_chunk").agg(F.max_by(F.col(value), F.when(has, F.col(order))).alias("_lv"))
     chunks = chunks.select(*keys, "_chunk", F.last("_lv", ignorenulls=True).over(carry_w).alias("_carry"))
     j = c.join(chunks, [*keys, "_chunk"], "left")
     return j.withColumn(out, F.coalesce(F.col(out), F.col("_carry"))).drop("_chunk", "_carry")
