@@ -88,7 +88,12 @@ def _poll_parsed(responses: DataFrame, raw: str) -> DataFrame:
 def poll_ingest(responses: DataFrame, raw: str = "raw", drop_falsy_ids: bool = False) -> DataFrame:
     """Valid runs of every poll response. A response must be an object whose
     ``workflow_runs`` is a list; a run must be an object with an id (with ``drop_falsy_ids`` an id
-    of 0 is dropped too, as the first poll loop does)."""
+    of 0 is dropped too, as the first poll loop does).
+
+    Ids are integers (as the CI API returns them); a non-integral id is treated as missing.
+    Spark's JSON reader stops after the first complete value, so text trailing a valid object
+    is ignored rather than making the response invalid.
+    """
     p = _poll_parsed(responses, raw).filter(F.col("_p.workflow_runs").isNotNull())
     e = p.select("poll_id", F.posexplode("_p.workflow_runs").alias("idx", "_r"))
     r = e.select("poll_id", "idx", F.from_json("_r", POLLED_RUN, {"mode": "PERMISSIVE"}).alias("run"))

@@ -71,3 +71,14 @@ def test_watermark_dedupe_emits_each_id_once(spark, sf):
     table = S.run_changes(stream.select("id", "seq"), "watermark_dedupe", output_mode="append")
     got = spark.read.parquet(table)
     assert got.count() == got.select("id").distinct().count() == polled.filter("id is not null").select("id").distinct().count()
+
+
+def test_poll_ingest_malformed_inputs(spark):
+    from runlens.sources import ingest as I
+    raws = ['[{"workflow_runs":[{"id":1}]}]', '{"workflow_runs":[1, "x", {"id":0}, {"id":null}, {"id":5}, [7]]}',
+            '{"workflow_runs":{"id":3}}', 'null', '', 'not json', '{"workflow_runs":[]}', '{}']
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "poll_id long, raw string")
+    assert sorted((r.poll_id, r.id) for r in I.poll_ingest(df).collect()) == [(1, 0), (1, 5)]
+    assert sorted((r.poll_id, r.id) for r in I.poll_ingest(df, drop_falsy_ids=True).collect()) == [(1, 5)]
+    s = I.poll_ingest_summary(df).first()
+    assert (s.responses, s.malformed_responses, s.runs_kept, s.runs_dropped) == (8, 6, 2, 4)
