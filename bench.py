@@ -43,7 +43,8 @@ def main() -> None:
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(cpus, 8), app="runlens-bench")
     registry.load_all()
     qs = registry.QUERIES
-    small = "/root/testdata/sf0.001"
+    sibling = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
+    small = sibling if os.path.exists(os.path.join(sibling, "events.parquet")) else sf_dir
 
     # model trained once on the small fixture, reused for scoring at the bench scale
     from runlens.sources.tables import session_key
