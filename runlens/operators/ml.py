@@ -242,6 +242,24 @@ def cross_validate_f1(train: DataFrame, id_col: str = "id", label: str = "label"
     return df.select("fold", "f1", F.avg("f1").over(w).alias("mean_f1"), (2 * F.stddev_pop("f1").over(w)).alias("two_std"))
 
 
+def fit_with_cross_validator(train: DataFrame, label: str = "label", folds: int = CV_FOLDS, parallelism: int = 1):
+    """L3 as the service configures it: a grid of one point, ``folds``-fold cross validation on
+    the F1 of the positive class, then the forest refit on all training rows. Returns the
+    ``CrossValidatorModel`` (``bestModel``, ``avgMetrics``). ``cross_validate_f1`` gives the
+    same measurement on reproducible hash folds."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    ensure_checkpoint_dir(train.sparkSession)
+    pipe = failure_pipeline(label=label)
+    forest = pipe.getStages()[-1]
+    grid = ParamGridBuilder().addGrid(forest.numTrees, [FOREST["numTrees"]]).build()
+    evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=evaluator, numFolds=folds,
+                        seed=FOREST["seed"], parallelism=parallelism)
+    return cv.fit(train)
+
+
 def feature_importance(model: PipelineModel, spark: SparkSession, features: list[str] = FEATURES) -> DataFrame:
     """Importances by feature name, sorted descending."""
     imp = model.stages[-1].featureImportances.toArray().tolist()

@@ -47,3 +47,12 @@ def test_risk_levels(spark):
     df = spark.createDataFrame([(0.85,), (0.8,), (0.6,), (0.5,), (0.2,), (0.19,)], "p double")
     got = [r.r for r in df.select(ML.risk_level(F.col("p")).alias("r")).collect()]
     assert got == ["very_high", "very_high", "high", "medium", "low", "very_low"]
+
+
+def test_cross_validator_path(spark, sf):
+    from runlens.sources.tables import tables
+    d = ML.split_train_test(q_ml.training_frame(tables(spark, sf)))
+    cvm = ML.fit_with_cross_validator(d.filter("split = 'train'"))
+    assert len(cvm.avgMetrics) == 1 and cvm.avgMetrics[0] > 0.8
+    m = ML.evaluate(cvm.bestModel, d.filter("split = 'test'")).first()
+    assert m.f1 > 0.8
