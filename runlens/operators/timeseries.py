@@ -123,15 +123,20 @@ def extrapolated_increase(samples: DataFrame, window_seconds: int, series: list[
                     (inc / float(window_seconds)).alias("rate"))
 
 
-def counter_rate(samples: DataFrame, window_seconds: int = 300, series: list[str] = SERIES) -> DataFrame:
-    """Q2: ``rate(counter[w])`` per series at every window end."""
+def counter_rate(samples: DataFrame, window_seconds: int = 300, series: list[str] = SERIES,
+                 extrapolate: bool = False) -> DataFrame:
+    """Q2: ``rate(counter[w])`` per series at every window end. ``extrapolate=True`` stretches the
+    observed increase to the window edges as Prometheus does (``extrapolated_increase``)."""
+    if extrapolate:
+        return extrapolated_increase(samples, window_seconds, series)
     inc = windowed_increase(samples, window_seconds, series)
     return inc.withColumn("rate", F.col("increase") / float(window_seconds))
 
 
-def rate_by_label(samples: DataFrame, label: str = "job", window_seconds: int = 300) -> DataFrame:
+def rate_by_label(samples: DataFrame, label: str = "job", window_seconds: int = 300,
+                  extrapolate: bool = False) -> DataFrame:
     """Q3: ``sum by (label) (rate(counter[w]))`` per window end."""
-    r = counter_rate(samples, window_seconds)
+    r = counter_rate(samples, window_seconds, extrapolate=extrapolate)
     return r.groupBy(label, "window_end").agg(F.sum("rate").alias("rate"))
 
 

@@ -80,3 +80,14 @@ def test_extrapolated_increase_matches_python(spark):
             assert end not in got or got[end] is None
         else:
             assert math.isclose(got[end], want, rel_tol=1e-9, abs_tol=1e-9), end
+
+
+def test_rate_extrapolate_option(spark):
+    rows = [(i, i * 15, "j", "h:1", float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "seq long, t long, job string, address string, value double") \
+              .withColumn("ts", F.timestamp_seconds("t").cast("timestamp_ntz")).drop("t")
+    a = {r.window_end: r.rate for r in TS.counter_rate(df, 300, extrapolate=True).collect()}
+    b = {r.window_end: r.rate for r in TS.extrapolated_increase(df, 300).collect()}
+    assert a == b
+    lbl = TS.rate_by_label(df, "job", 300, extrapolate=True).collect()
+    assert {r.window_end for r in lbl} == set(a)
