@@ -82,3 +82,13 @@ def test_poll_ingest_malformed_inputs(spark):
     assert sorted((r.poll_id, r.id) for r in I.poll_ingest(df, drop_falsy_ids=True).collect()) == [(1, 5)]
     s = I.poll_ingest_summary(df).first()
     assert (s.responses, s.malformed_responses, s.runs_kept, s.runs_dropped) == (8, 6, 2, 4)
+
+
+def test_first_observation_by_status_reprocesses_concluded_runs(spark):
+    rows = [(1, 7, "ci", "in_progress", None), (2, 7, "ci", "in_progress", None), (3, 7, "ci", "completed", "failure"),
+            (4, 8, None, None, None), (5, 7, "ci", "completed", "failure"), (6, None, "x", "queued", None)]
+    df = spark.createDataFrame(rows, "seq long, id long, name string, status string, conclusion string")
+    by_id = sorted(r.seq for r in R.first_observation(df).collect())
+    by_status = sorted(r.seq for r in R.first_observation(df, key=("id", "effective_status")).collect())
+    assert by_id == [1, 4]          # parity: a run seen in progress is never looked at again
+    assert by_status == [1, 3, 4]   # K5 option: seen again once it has concluded
