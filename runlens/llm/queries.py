@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, quality
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,10 @@ def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = mixing.repetitions(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return r.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs")).alias("taken"),
                     F.explode(F.sequence(F.lit(1), F.col("n"))).alias("row")).drop("row")
+
+
+@query("op2_quality_divergence")
+def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return quality.judge(docs).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                                      "base_failed", "kept", "char_distance", "word_distance")
