@@ -38,7 +38,7 @@ class Mix:
     max_epochs: int = 2
     seed: str = "mix-1"
     large_share: int = 200        # a document above 1/200 of its source is decided first
-    rows_per_range: int = 20_000
+    rows_per_range: int = 2_000
 
 
 MIX = Mix()
