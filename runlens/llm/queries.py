@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, spotsigs
+from . import mixing, packing, quality, secret_spans, spotsigs
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def op3_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_spotsigs")
 def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op9_secret_spans")
+def op9_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans.digests(secret_spans.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
