@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, secret_spans, spotsigs
+from . import mixing, packing, quality, secret_spans, spotsigs, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,19 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_secret_spans")
 def op9_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans.digests(secret_spans.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+WARC_SQL = """
+with p as (select page_id, coalesce(html, '') html from pages),
+d as (select page_id, octet_length(encode(html))::bigint payload_bytes, sha1(html) payload_digest from p),
+r as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest, payload_bytes >= 1000)
+              else page_id end first from d)
+select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end record_type,
+       case when page_id <> first then first end refers_to
+from r
+"""
+
+
+@query("op10_warc_bundles", WARC_SQL)
+def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html")), payloads=False)
