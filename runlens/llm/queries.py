@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, secret_spans, spotsigs, warc
+from . import line_templates, mixing, packing, quality, secret_spans, spotsigs, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,12 @@ from r
 @query("op10_warc_bundles", WARC_SQL)
 def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html")), payloads=False)
+
+
+@query("op6_line_templates")
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = line_templates.without_templates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return r.select("row.doc_id", F.size(F.split("row.text", "\n", -1)).cast("bigint").alias("n_lines"),
+                    F.coalesce(F.size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
+                    F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped_lines"),
+                    F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
