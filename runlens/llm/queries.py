@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_templates, mixing, packing, quality, secret_spans, spotsigs, warc
+from . import line_templates, mixing, order_minhash, packing, quality, secret_spans, spotsigs, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.coalesce(F.size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
                     F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped_lines"),
                     F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op7_order_minhash")
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
