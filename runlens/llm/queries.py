@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_templates, mixing, order_minhash, packing, quality, secret_spans, spotsigs, warc
+from . import (line_templates, mixing, order_minhash, packing, quality, secret_spans, spotsigs, token_attribution, token_shards,
+               warc)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +122,13 @@ def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_order_minhash")
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
+@query("op5_token_shards")
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.segments(token_shards.write(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op8_token_attribution")
+def op8_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_attribution.attribute(table(spark, sf_dir, "documents").select("doc_id", "text"))
