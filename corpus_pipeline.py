@@ -1,11 +1,32 @@
-"""The corpus pipeline: stages over ``documents``, each a Spark job over all that the one before kept."""
+"""The corpus pipeline: five stages over ``documents``, each a Spark job over all that the one before kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+``documents``, whatever they are. Each one calls one operator of ``runlens.llm``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from runlens.llm import line_templates, mixing, order_minhash, packing, quality
+from runlens.llm.common import WORD, staged, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality rules (operator 2): documents that the base rule or the divergence rejects go."""
+    return quality.keep(docs)
+
 
-from runlens.llm import mixing
-from runlens.llm.common import staged, table
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup (operator 6): recurring lines go from all documents but the first that has them; a
+    document of which no word is left goes too, as it has nothing of its own."""
+    return line_templates.drop_templates(docs).where(F.col("text").rlike(WORD))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup (operator 7): one document of each class stays."""
+    return order_minhash.one_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,15 +34,25 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing (operator 3): where each piece of each document lies."""
+    return packing.pack(docs)
+
+
 STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
     ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
 ]
 
-#: SQL cannot express the stages' Python parts; tests/llm/test_pipeline.py holds them against brute force.
+#: SQL cannot express the stages; tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``, writing what each one keeps to the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
