@@ -4,7 +4,7 @@ Equal texts are one class first, by a hash of the text. A text is then its seque
 (five words in small letters), each labelled with its occurrence number in the text, so repeats
 count. A sketch takes the ``picked`` least of them under its own hash function and keeps them in
 text order; ``sketches`` such keys per text make the buckets. Two texts of similarity s meet in a
-sketch with probability of about s^picked, so at 0.8 with 4 of 32 they meet in none of them once in 10^7.
+sketch with probability of about s^picked, so at 0.8 with 6 of 64 they meet in none of them once in 10^8.
 
 Similarity of two texts is the ordered Jaccard index m / (n1 + n2 - m), m being the longest common
 subsequence of their labelled k-mers inside a band of the diagonal wide enough for every pair at
@@ -45,10 +45,10 @@ from .components import components
 @dataclass(frozen=True)
 class Sketching:
     k: int = 5
-    picked: int = 4
-    sketches: int = 32
+    picked: int = 6
+    sketches: int = 64
     at_least: float = 0.8
-    draws: tuple[int, int] = (1, 7)  # per bucket in the first and in each later round, besides its middle
+    draws: int = 8        # per bucket in the second round, besides its middle; one in the first, then doubling
     seed: int = 11
 
 
@@ -84,14 +84,13 @@ def kmers(text: bytes, p: Sketching = SKETCHING) -> np.ndarray:
 
 def sketch(x: np.ndarray, p: Sketching = SKETCHING) -> np.ndarray:
     """One key per sketch: the ``picked`` least k-mers of each hash function, in text order."""
-    seeds = _stir(np.arange(1, p.sketches + 1, dtype=np.uint64) + np.uint64(p.seed << 32))
+    factors = _stir(np.arange(1, p.sketches + 1, dtype=np.uint64) + np.uint64(p.seed << 32)) | np.uint64(1)
     out = []
-    for some in np.array_split(seeds, min(p.sketches, 1 + p.sketches * len(x) // _CELLS)):
+    for some in np.array_split(factors, min(p.sketches, 1 + p.sketches * len(x) // _CELLS)):
         key = some.copy()
         if len(x) > p.picked:
-            v = (x[None, :] ^ some[:, None]) * _M1
-            v ^= v >> np.uint64(32)
-            at = np.sort(np.argpartition(v, p.picked - 1, axis=1)[:, :p.picked], axis=1)
+            v = x[None, :] * some[:, None]
+            at = _least(v, p.picked)
         else:
             at = np.broadcast_to(np.arange(len(x)), (len(some), len(x)))
         for i in range(at.shape[1]):
@@ -100,6 +99,19 @@ def sketch(x: np.ndarray, p: Sketching = SKETCHING) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _least(v: np.ndarray, many: int) -> np.ndarray:
+    """Columns of the ``many`` least values of each row, ascending."""
+    rows, n = v.shape
+    if n > 8 * many:
+        # few values are under a bound that about 4 * many of a row should pass
+        r, c = np.nonzero(v < np.uint64(4 * many / n * 2.0 ** 64))
+        if (np.bincount(r, minlength=rows) >= many).all():
+            order = np.lexsort((v[r, c], r))
+            first = np.searchsorted(r, np.arange(rows))
+            return np.sort(c[order[first[:, None] + np.arange(many)]], axis=1)
+    return np.sort(np.argpartition(v, many - 1, axis=1)[:, :many], axis=1)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, at_least: float) -> float:
     """Ordered Jaccard index of two sequences of labelled k-mers by banded alignment; 0 as soon as it
     must be below ``at_least``."""
@@ -169,7 +181,8 @@ def links(docs: DataFrame, p: Sketching = SKETCHING) -> tuple[DataFrame, DataFra
     while True:
         # drawn are the member that meets the most, and those whose hashes, turned by a constant of the
         # draw, are least; the turn is undone to get the hash back
-        turns = [F.lit(int(t)) for t in _stir(np.arange(1, p.draws[min(round_, 1)] + 1, dtype=np.uint64) + np.uint64(round_ << 20)).view(np.int64)]
+        n = p.draws << min(round_ - 1, 4) if round_ else 1
+        turns = [F.lit(int(t)) for t in _stir(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(round_ << 20)).view(np.int64)]
         drawn = live.groupBy("key").agg(F.max_by("tid", F.struct("weight", "tid")).alias("middle"),
                                         *[F.min(F.col("tid").bitwiseXOR(t)).alias(f"r{i}") for i, t in enumerate(turns)])
         drawn = staged(drawn.select("key", F.explode(F.array_distinct(F.array(
@@ -184,12 +197,12 @@ def links(docs: DataFrame, p: Sketching = SKETCHING) -> tuple[DataFrame, DataFra
         pairs = staged(pairs, "omh-pairs")
         asked = pairs if asked is None else asked.unionByName(pairs)
         new = staged(verified(pairs, sequences, p), "omh-links")
-        found = new if found is None else found.unionByName(new)
+        if found is None or not new.isEmpty():
+            found = new if found is None else found.unionByName(new)
+            labels = components(found).withColumnRenamed("node", "tid")
         # a bucket is done when its texts are in one class; the drawn ones have met all others
-        labels = components(found).withColumnRenamed("node", "tid")
         left = (live.drop("label").join(labels, "tid", "left").withColumn("label", F.coalesce("label", "tid"))
                 .join(drawn.withColumnRenamed("rep", "tid"), ["key", "tid"], "left_anti"))
-        left = staged(left, "omh-left")
         split = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
         live, round_ = staged(left.join(split, "key"), "omh-live"), round_ + 1
         if live.isEmpty():
