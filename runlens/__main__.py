@@ -39,9 +39,8 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     from pyspark.sql import SparkSession
 
-    from .plans.session import build_session
-    active = SparkSession.getActiveSession()
-    spark = active or build_session()
+    from .plans.session import cluster_session
+    spark = SparkSession.getActiveSession() or cluster_session()
     df = registry.QUERIES[a.key](spark, a.tables_dir.rstrip("/"))
     if a.out:
         df.write.mode("overwrite").format(a.format).save(a.out)

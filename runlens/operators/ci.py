@@ -32,12 +32,13 @@ def flatten_jobs(nested: DataFrame) -> DataFrame:
 
 def test_results(steps: DataFrame) -> DataFrame:
     """A4: per run, over steps whose lower-cased name contains ``test``: passed / failed / skipped
-    (other conclusions ignored) and their total. Failed test steps as rows: ``failed_test_steps``."""
-    t = steps.filter(F.lower("step_name").contains("test"))
-    g = t.groupBy("run_id").agg(
-        F.count_if(F.col("conclusion") == "success").alias("passed"),
-        F.count_if(F.col("conclusion") == "failure").alias("failed"),
-        F.count_if(F.col("conclusion") == "skipped").alias("skipped"),
+    (other conclusions ignored) and their total; a run without such steps has zeros. Failed test
+    steps as rows: ``failed_test_steps``."""
+    test = F.lower("step_name").contains("test")
+    g = steps.groupBy("run_id").agg(
+        F.count_if(test & (F.col("conclusion") == "success")).alias("passed"),
+        F.count_if(test & (F.col("conclusion") == "failure")).alias("failed"),
+        F.count_if(test & (F.col("conclusion") == "skipped")).alias("skipped"),
     )
     return g.withColumn("total_tests", F.col("passed") + F.col("failed") + F.col("skipped"))
 

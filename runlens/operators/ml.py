@@ -82,7 +82,7 @@ def prediction_payload(polled: DataFrame) -> DataFrame:
 
 
 def extract_features(rows: DataFrame, as_of: str, keep: list[str] | None = None) -> DataFrame:
-    """The 12 model features in fixed order; absent columns take the service defaults;
+    """The 12 model features in fixed order; absent columns and null values take the service defaults;
     hour and weekday (Monday = 0) of ``created_at`` (null -> 2025-01-01); branch age in whole
     days to ``as_of``, floored (negative ages floor down)."""
     created = F.coalesce(F.col("created_at"), ts_lit(DEFAULT_CREATED_AT))
@@ -93,13 +93,12 @@ def extract_features(rows: DataFrame, as_of: str, keep: list[str] | None = None)
         elif name == "day_of_week":
             cols.append(F.weekday(created).cast("double").alias(name))
         elif name == "branch_age_days":
-            if name in rows.columns:
-                cols.append(F.col(name).cast("double").alias(name))
-            else:
-                age = (F.unix_micros(ts_lit(as_of).cast("timestamp")) - F.unix_micros(created.cast("timestamp"))) / 86_400_000_000
-                cols.append(F.floor(age).cast("double").alias(name))
+            age = (F.unix_micros(ts_lit(as_of).cast("timestamp")) - F.unix_micros(created.cast("timestamp"))) / 86_400_000_000
+            age = F.floor(age).cast("double")
+            given = F.col(name).cast("double") if name in rows.columns else F.lit(None).cast("double")
+            cols.append(F.coalesce(given, age).alias(name))
         elif name in rows.columns:
-            cols.append(F.col(name).cast("double").alias(name))
+            cols.append(F.coalesce(F.col(name).cast("double"), F.lit(FEATURE_DEFAULTS[name])).alias(name))
         else:
             cols.append(F.lit(FEATURE_DEFAULTS[name]).alias(name))
     return rows.select(*(keep or []), *cols)

@@ -47,7 +47,7 @@ def run_upsert(updates: DataFrame, target: DataFrame | None = None, seq: str = "
         F.max_by(F.struct(F.col("status"), F.col("conclusion"), F.col("ts")), F.col(seq)).alias("l"),
     )
     new = g.select(
-        F.col("run_id").cast("bigint").alias("id"), "run_id", F.col("f.repo").alias("repo"),
+        F.col("run_id").try_cast("bigint").alias("id"), "run_id", F.col("f.repo").alias("repo"),
         F.col("l.status").alias("status"), F.col("l.conclusion").alias("conclusion"),
         F.col("f.ts").alias("started_at"),
         F.when(F.col("l.status") == "completed", F.col("l.ts")).alias("completed_at"),
@@ -94,7 +94,7 @@ def active_runs(run_events: DataFrame, url_base: str = RUN_URL_BASE) -> DataFram
         F.min("ts").alias("created_at"),
     )
     return g.filter(F.col("l.status") == "in_progress").select(
-        F.col("run_id").cast("bigint").alias("id"),
+        F.col("run_id").try_cast("bigint").alias("id"),
         F.col("l.repo").alias("name"),
         F.col("l.status").alias("status"),
         "created_at",

@@ -22,6 +22,19 @@ def _chunk(order: str, chunk: int) -> Column:
     return F.floor(F.col(order) / F.lit(chunk)).cast("bigint")
 
 
+def _join_back(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with their chunk's summary; null keys and a null chunk (null order) match themselves,
+    as they form a window partition of their own."""
+    names = [*keys, "_chunk"]
+    s = summary.select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(names)],
+                       *[c for c in summary.columns if c not in names])
+    same = [F.col(k).eqNullSafe(F.col(f"_s{i}")) for i, k in enumerate(names)]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return rows.join(s, on, "left").drop(*[f"_s{i}" for i in range(len(names))])
+
+
 def lag_by(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str,
            chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """``lag(value) over (partition by keys order by order)`` computed chunk-parallel.
@@ -37,7 +50,7 @@ def lag_by(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str,
     summ = c.groupBy(*keys, "_chunk").agg(F.max_by(F.col(value), F.col(order)).alias("_last"))
     prev = Window.partitionBy(*keys).orderBy("_chunk")
     summ = summ.select(*keys, "_chunk", F.lag("_last").over(prev).alias("_carry"))
-    j = c.join(summ, [*keys, "_chunk"], "left")
+    j = _join_back(c, summ, keys)
     return j.withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col(out))) \
             .drop("_chunk", "_first", "_carry")
 
@@ -65,7 +78,7 @@ def running_sum_by(df: DataFrame, keys: Sequence[str], order: str | Sequence[str
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     summ = summ.select(*keys, "_chunk", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0.0)).alias(f"_o_{n}")
                                           for n in values])
-    j = c.join(summ, [*keys, "_chunk"], "left")
+    j = _join_back(c, summ, keys)
     for name in values:
         j = j.withColumn(name, F.col(f"_in_{name}") + F.col(f"_o_{name}"))
     drop = ["_chunk"] + [f"_{p}_{n}" for n in values for p in ("v", "in", "o")]
@@ -90,5 +103,5 @@ def last_non_null_before(df: DataFrame, keys: Sequence[str], order: str, value:
     has = F.col(value).isNotNull()
     chunks = c.groupBy(*keys, "_chunk").agg(F.max_by(F.col(value), F.when(has, F.col(order))).alias("_lv"))
     chunks = chunks.select(*keys, "_chunk", F.last("_lv", ignorenulls=True).over(carry_w).alias("_carry"))
-    j = c.join(chunks, [*keys, "_chunk"], "left")
+    j = _join_back(c, chunks, keys)
     return j.withColumn(out, F.coalesce(F.col(out), F.col("_carry"))).drop("_chunk", "_carry")

@@ -109,22 +109,24 @@ def healing_success_rate(actions: DataFrame) -> DataFrame:
 
 
 def healing_durations(runs: DataFrame, actions: DataFrame) -> DataFrame:
-    """Per action: seconds from the run's start to the action (the healing duration series)."""
-    j = actions.join(runs.select("run_id", "started_at"), "run_id", "inner")
+    """Per action: seconds from the run's start to the action (the healing duration series); null when
+    the run is unknown."""
+    j = actions.join(runs.select("run_id", "started_at"), "run_id", "left")
     micros = F.unix_micros(F.col("created_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))
     return j.select("id", "run_id", "created_at", "success", micros.alias("duration_micros"))
 
 
 def exact_mean_seconds(micros: Column) -> Column:
     """Mean of integer microseconds in seconds: the sum stays an exact long, one division."""
-    return F.sum(micros) / F.count(micros) / 1e6
+    return F.try_divide(F.sum(micros), F.count(micros)) / 1e6
 
 
 def avg_healing_time(runs: DataFrame, actions: DataFrame) -> DataFrame:
-    """Average healing duration in seconds (integer micros averaged exactly)."""
+    """Average healing duration in seconds (integer micros averaged exactly) over the actions that
+    have one, and their number."""
     d = healing_durations(runs, actions)
     return d.agg(exact_mean_seconds(F.col("duration_micros")).alias("avg_healing_seconds"),
-                 F.count(F.lit(1)).alias("actions"))
+                 F.count("duration_micros").alias("actions"))
 
 
 def savings_total(actions: DataFrame) -> DataFrame:

@@ -194,10 +194,11 @@ def requests_by_instance(samples: DataFrame, as_of: str | None = None) -> DataFr
 
 
 def ratio_of_sums(samples: DataFrame, label: str, match: str, as_of: str | None = None) -> DataFrame:
-    """Q7: ``sum(counter{label=match}) / sum(counter) * 100`` over the latest samples."""
+    """Q7: ``sum(counter{label=match}) / sum(counter) * 100`` over the latest samples; null while all
+    counters are 0."""
     l = latest_per_series(samples, as_of)
-    return l.agg((F.sum(F.when(F.col(label) == match, F.col("value")).otherwise(0.0)) / F.sum("value") * 100)
-                 .alias("ratio"))
+    part = F.sum(F.when(F.col(label) == match, F.col("value")).otherwise(0.0))
+    return l.agg((F.try_divide(part, F.sum("value")) * 100).alias("ratio"))
 
 
 def up_status(samples: DataFrame, as_of: str, staleness_seconds: int = STALENESS_SECONDS) -> DataFrame:

@@ -72,7 +72,7 @@ def run_attributes(run_events: DataFrame) -> DataFrame:
     g = run_events.groupBy("run_id").agg(
         F.min_by(F.struct("repo", "ts"), F.col("seq")).alias("f"),
         F.max_by(F.struct("conclusion", "head_sha", "event", "author"), F.col("seq")).alias("l"))
-    return g.select("run_id", F.col("run_id").cast("bigint").alias("id"), F.col("f.repo").alias("repo"),
+    return g.select("run_id", F.col("run_id").try_cast("bigint").alias("id"), F.col("f.repo").alias("repo"),
                     F.col("l.conclusion").alias("conclusion"), F.col("f.ts").alias("created_at"),
                     F.col("l.head_sha").alias("head_sha"), F.col("l.event").alias("event"),
                     F.col("l.author").alias("author"))
@@ -90,8 +90,9 @@ def last_good_run(attrs: DataFrame) -> DataFrame:
 
 
 def rollback_plan(crashes: DataFrame, attrs: DataFrame) -> DataFrame:
-    """For each crash (rows with ``run_id``), roll back to the repo's newest good commit."""
-    c = crashes.join(attrs.select("run_id", "repo"), "run_id", "inner")
+    """For each crash (rows with ``run_id``), roll back to the repo's newest good commit. A crash
+    whose run is unknown has no repo and finds none."""
+    c = crashes.join(attrs.select("run_id", "repo"), "run_id", "left")
     j = c.join(last_good_run(attrs), "repo", "left")
     sha7 = F.substring("head_sha", 1, 7)
     return j.select(
@@ -104,12 +105,15 @@ def last_good_run_asof(failures: DataFrame, attrs: DataFrame, chunk_micros: int
     """For each failure (``log_id, run_id, created_at``) the newest good run of its repo
     created strictly before the failure. An as-of join: both sides in one ordered sequence per
     repo (good runs sort after failures at equal time, so "before" is strict), carrying the last
-    good sha forward, chunk-parallel so a hot repo is split across tasks.
+    good sha forward, chunk-parallel so a hot repo is split across tasks. Of good runs at one
+    instant the one with the largest id counts. A failure whose run is unknown has no commit.
     """
-    f = failures.join(attrs.select("run_id", "repo"), "run_id", "inner").select(
+    f = failures.join(attrs.select("run_id", "repo"), "run_id", "left").select(
         "repo", "log_id", "run_id", F.col("created_at").alias("t"), F.lit(None).cast("string").alias("sha"))
-    g = good_runs(attrs).select("repo", F.lit(None).cast("bigint").alias("log_id"), F.lit(None).cast("string").alias("run_id"),
-                                F.col("created_at").alias("t"), F.col("head_sha").alias("sha"))
+    g = good_runs(attrs).filter(F.col("repo").isNotNull() & F.col("created_at").isNotNull()).groupBy("repo", "created_at") \
+        .agg(F.max_by("head_sha", F.struct("id", "run_id")).alias("sha"))
+    g = g.select("repo", F.lit(None).cast("bigint").alias("log_id"), F.lit(None).cast("string").alias("run_id"),
+                 F.col("created_at").alias("t"), "sha")
     u = f.unionByName(g).withColumn(
         "_o", F.unix_micros(F.col("t").cast("timestamp")) * 2 + F.when(F.col("sha").isNotNull(), 1).otherwise(0))
     # within one micro-second both kinds may meet; order key keeps failures first

@@ -81,7 +81,7 @@ RATE_BY_TYPE = "select action_type, avg(cast(success as double)) as heal_probabi
 
 def _gated(t):
     a = K.analyze_failure(t.job_logs)
-    rate = t.healing_actions.groupBy("action_type").agg(F.avg(F.col("success").cast("double")).alias("heal_probability"))
+    rate = _rates(t)
     j = a.join(rate, a["error_type"] == rate["action_type"], "left")
     return H.heal_gate(j.select("log_id", "run_id", "error_type", "heal_probability"), "heal_probability")
 
@@ -94,9 +94,10 @@ def heal_gate_by_type(spark, sf):
     return _gated(tables(spark, sf))
 
 
-def _analysis_with_repo(t):
-    a = K.analyze_failure(t.job_logs)
-    return a.join(t.runs.select("run_id", "repo"), "run_id", "inner")
+def _analysis_with_repo(t, attrs=None):
+    """Analysed failures with their run's repository (null when the run is unknown)."""
+    attrs = V.run_attributes(t.run_events) if attrs is None else attrs
+    return K.analyze_failure(t.job_logs).join(attrs.select("run_id", "repo"), "run_id", "left")
 
 
 def _rates(t):
@@ -104,9 +105,9 @@ def _rates(t):
 
 
 def _plans(t, with_gate: bool = False):
-    a = _analysis_with_repo(t)
-    ctx = H.repo_context(H.repo_file_pivot(t.repo_files), V.last_good_run(V.run_attributes(t.run_events)))
-    return H.plan_healing(a, ctx, _rates(t) if with_gate else None)
+    attrs = V.run_attributes(t.run_events)
+    ctx = H.repo_context(H.repo_file_pivot(t.repo_files), V.last_good_run(attrs))
+    return H.plan_healing(_analysis_with_repo(t, attrs), ctx, _rates(t) if with_gate else None)
 
 
 FILES = f"""select repo, max(case when path = '{H.REQUIREMENTS}' then content end) as requirements,
@@ -151,7 +152,7 @@ def _plan_sql() -> str:
 with attrs as ({RUN_ATTRS}),
 good as (select repo, head_sha from (select *, row_number() over (partition by repo order by created_at desc, id desc) as rn
          from attrs where event = 'push' and conclusion = 'success') g where rn = 1),
-a as (select f.*, r.repo from failure_analysis f join pipeline_runs r on f.run_id = r.run_id),
+a as (select f.*, r.repo from failure_analysis f left join pipeline_runs r on f.run_id = r.run_id),
 j as (select a.*, fl.requirements, fl.pytest_ini, fl.workflow,
         case when a.error_type = 'deployment_crash' then substr(g.head_sha, 1, 7) end as rollback_sha
       from a left join ({FILES}) fl on a.repo = fl.repo left join good g on a.repo = g.repo)
@@ -186,7 +187,7 @@ STRIP = "regexp_replace(coalesce(fl.requirements, ''), '^\\s+|\\s+$', '', 'g')"
 select a.log_id, a.repo, a.missing_package as package,
   case when contains(coalesce(fl.requirements, ''), a.missing_package) then coalesce(fl.requirements, '')
        else regexp_replace({STRIP} || chr(10) || a.missing_package || chr(10), '^\\n+', '') end as new_content
-from (select f.*, r.repo from failure_analysis f join pipeline_runs r on f.run_id = r.run_id) a
+from (select f.*, r.repo from failure_analysis f left join pipeline_runs r on f.run_id = r.run_id) a
 left join ({FILES}) fl on a.repo = fl.repo
 where a.error_type = 'missing_dependency' and coalesce(a.missing_package, '') <> ''""")
 def rewrite_requirements(spark, sf):
@@ -203,7 +204,7 @@ select a.log_id, a.repo,
   case when fl.pytest_ini is null then '[pytest]' || chr(10) || 'timeout = 300' || chr(10)
        when contains(fl.pytest_ini, 'timeout') then regexp_replace(fl.pytest_ini, 'timeout\\s*=\\s*\\d+', 'timeout = 300', 'g')
        else fl.pytest_ini || chr(10) || '[pytest]' || chr(10) || 'timeout = 300' || chr(10) end as new_content
-from (select f.*, r.repo from failure_analysis f join pipeline_runs r on f.run_id = r.run_id) a
+from (select f.*, r.repo from failure_analysis f left join pipeline_runs r on f.run_id = r.run_id) a
 left join ({FILES}) fl on a.repo = fl.repo
 where a.error_type = 'test_timeout'""")
 def rewrite_pytest_timeout(spark, sf):

@@ -20,8 +20,8 @@ select delivery_id, {J.format('$.action')} as action,
   case when {J.format('$.action')} in ('completed', 'failed') then {J.format('$.repository.full_name')} end as repo,
   case when {J.format('$.action')} in ('completed', 'failed') then {J.format('$.workflow_run.status')} end as status,
   case when {J.format('$.action')} in ('completed', 'failed') then {J.format('$.workflow_run.conclusion')} end as conclusion,
-  case when {J.format('$.action')} in ('completed', 'failed') then cast({J.format('$.workflow_run.created_at')} as timestamp) end as started_at,
-  case when {J.format('$.action')} in ('completed', 'failed') then cast({J.format('$.workflow_run.updated_at')} as timestamp) end as completed_at
+  case when {J.format('$.action')} in ('completed', 'failed') then try_cast({J.format('$.workflow_run.created_at')} as timestamp) end as started_at,
+  case when {J.format('$.action')} in ('completed', 'failed') then try_cast({J.format('$.workflow_run.updated_at')} as timestamp) end as completed_at
 from webhooks""")
 def webhook_ingest(spark, sf):
     return I.webhook_ingest(tables(spark, sf).webhooks)
@@ -71,7 +71,9 @@ def poll_ingest_drop_falsy(spark, sf):
 
 @register("poll_ingest_summary", f"""
 select (select count(*) from poll_responses) as responses,
-  (select count(*) from poll_responses) - (select count(*) from ({POLL_OK}) o) as malformed_responses,
+  (select count(*) from poll_responses) - (select count(*) from ({POLL_OK}) o) - (select count(*) from poll_responses
+    where case when json_valid(raw) then json_type(raw) = 'OBJECT' and coalesce(json_type(raw, '$.workflow_runs'), 'NULL') = 'NULL' else false end)
+    as malformed_responses,
   (select count(*) from ({POLL_RUNS}) x where json_type(r) = 'OBJECT' and json_type(r, '$.id') is not null and json_type(r, '$.id') <> 'NULL') as runs_kept,
   (select count(*) from ({POLL_RUNS}) x where not (json_type(r) = 'OBJECT' and json_type(r, '$.id') is not null and json_type(r, '$.id') <> 'NULL')) as runs_dropped""")
 def poll_ingest_summary(spark, sf):

@@ -20,7 +20,7 @@ def run_upsert(spark, sf):
     t = tables(spark, sf)
     ev = t.run_events
     older = ev.filter(F.col("ts") < R.ts_lit(SPLIT_TS))
-    newer = ev.filter(~(F.col("ts") < R.ts_lit(SPLIT_TS)))
+    newer = ev.filter(~(F.col("ts") < R.ts_lit(SPLIT_TS)) | F.col("ts").isNull())
     return R.run_upsert(newer, target=R.run_upsert(older))
 
 

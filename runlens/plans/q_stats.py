@@ -94,8 +94,8 @@ DUR = "(epoch_us(a.created_at) - epoch_us(r.started_at))"
 
 
 @register("avg_healing_time", f"""
-select cast(sum({DUR}) as bigint) / count({DUR}) / 1e6 as avg_healing_seconds, count(*) as actions
-from healing_actions a join pipeline_runs r on a.run_id = r.run_id""")
+select cast(sum({DUR}) as bigint) / count({DUR}) / 1e6 as avg_healing_seconds, count({DUR}) as actions
+from healing_actions a left join pipeline_runs r on a.run_id = r.run_id""")
 def avg_healing_time(spark, sf):
     t = tables(spark, sf)
     return S.avg_healing_time(t.runs, t.healing_actions)
@@ -128,7 +128,7 @@ select day, success_rate, {_color('success_rate', S.SUCCESS_RATE_THRESHOLDS)} as
   hours_saved, {_color('hours_saved', S.HOURS_SAVED_THRESHOLDS)} as hours_color
 from (select date_trunc('day', a.created_at) as day, avg(cast(a.success as double)) * 100 as success_rate,
         cast(sum({DUR}) as bigint) / count({DUR}) / 1e6 as avg_healing_seconds, count(*) filter (where a.success) * 15 / 60e0 as hours_saved
-      from healing_actions a join pipeline_runs r on a.run_id = r.run_id group by 1) g""")
+      from healing_actions a left join pipeline_runs r on a.run_id = r.run_id group by 1) g""")
 def threshold_color(spark, sf):
     t = tables(spark, sf)
     return S.daily_panel_colors(t.runs, t.healing_actions)

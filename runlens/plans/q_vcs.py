@@ -80,7 +80,7 @@ good as (select repo, run_id as good_run_id, head_sha from (
 select f.id as log_id, f.run_id, a.repo, g.head_sha is not null as success, substr(g.head_sha, 1, 7) as rollback_sha,
   case when g.head_sha is not null then 'Rolled back to commit ' || substr(g.head_sha, 1, 7)
        else 'No previous successful deployment found' end as details
-from failure_logs f join attrs a on f.run_id = a.run_id left join good g on a.repo = g.repo
+from failure_logs f left join attrs a on f.run_id = a.run_id left join good g on a.repo = g.repo
 where f.error_type = 'deployment_crash'""")
 def last_good_run(spark, sf):
     t = tables(spark, sf)
@@ -89,9 +89,10 @@ def last_good_run(spark, sf):
 
 @register("last_good_run_asof", f"""
 with attrs as ({RUN_ATTRS}),
-good as (select repo, created_at, head_sha from attrs where event = 'push' and conclusion = 'success'),
+good as (select repo, created_at, max_by(head_sha, id) as head_sha from attrs where event = 'push' and conclusion = 'success'
+         group by repo, created_at),
 fails as (select f.id as log_id, f.run_id, a.repo, f.created_at as failed_at
-          from failure_logs f join attrs a on f.run_id = a.run_id where f.error_type = 'deployment_crash')
+          from failure_logs f left join attrs a on f.run_id = a.run_id where f.error_type = 'deployment_crash')
 select fails.log_id, fails.run_id, fails.repo, fails.failed_at, good.head_sha, substr(good.head_sha, 1, 7) as rollback_sha
 from fails asof left join good on fails.repo = good.repo and fails.failed_at > good.created_at""")
 def last_good_run_asof(spark, sf):
@@ -103,7 +104,7 @@ def last_good_run_asof(spark, sf):
 select run_id, count(*) filter (where conclusion = 'success') as passed, count(*) filter (where conclusion = 'failure') as failed,
   count(*) filter (where conclusion = 'skipped') as skipped,
   count(*) filter (where conclusion in ('success', 'failure', 'skipped')) as total_tests
-from steps where contains(lower(step_name), 'test') group by run_id""")
+from (select run_id, case when contains(lower(step_name), 'test') then conclusion end as conclusion from steps) t group by run_id""")
 def test_results(spark, sf):
     return CI.test_results(tables(spark, sf).steps)
 

@@ -50,6 +50,23 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     return spark
 
 
+def cluster_session(app: str = "runlens") -> SparkSession:
+    """The session of a submitted job: the master and every setting that the cluster or the user
+    gave stay as they are; only settings that are not set take this library's defaults."""
+    spark = SparkSession.builder.appName(app).getOrCreate()
+    fill_unset(spark)
+    ensure_checkpoint_dir(spark)
+    return spark
+
+
+def fill_unset(spark: SparkSession) -> None:
+    """Set the session settings of ``DEFAULT_CONF`` that nobody has set."""
+    given = {k for k, _ in spark.sparkContext.getConf().getAll()}
+    for k, v in DEFAULT_CONF.items():
+        if k not in given and spark.conf.isModifiable(k):
+            spark.conf.set(k, v)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -75,8 +92,7 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
     return base.rstrip("/") + "/" + name
 
 
-def cluster_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 * 1024 * 1024,
-                 max_partitions: int = 200_000) -> dict[str, str]:
+def cluster_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
     """Shuffle sizing for a cluster run, from the input size.
 
     The initial shuffle partition count is set so that each partition holds about
@@ -86,7 +102,7 @@ def cluster_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256
     """
     parts = max(3 * total_cores, -(-input_bytes // partition_bytes))
     return {
-        "spark.sql.shuffle.partitions": str(min(parts, max_partitions)),
+        "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(partition_bytes // 4),
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes * 2),

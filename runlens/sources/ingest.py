@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,12 +36,21 @@ WEBHOOK = T.StructType([
 ACCEPTED_ACTIONS = ["completed", "failed"]
 
 
+def utc_timestamp(text: Column) -> Column:
+    """A timestamp text as UTC without zone: an offset (``Z``, ``+02:00``) is applied, none means
+    UTC; text that is no timestamp is null, never an error. The session's zone plays no part."""
+    zoned = F.regexp_like(text, F.lit(r"(Z|[+-]\d{2}:?\d{2})$"))
+    moment = F.when(zoned, F.try_to_timestamp(text)).cast("timestamp_ntz")
+    moment = F.convert_timezone(F.current_timezone(), F.lit("UTC"), moment)
+    return F.when(zoned, moment).otherwise(text.try_cast("timestamp_ntz"))
+
+
 def webhook_ingest(webhooks: DataFrame, payload: str = "payload") -> DataFrame:
     """One row per delivery: ``received`` with the typed run fields, or ``ignored``."""
     p = webhooks.withColumn("_p", F.from_json(F.col(payload), WEBHOOK, {"mode": "PERMISSIVE"}))
     ok = F.col("_p.action").isin(ACCEPTED_ACTIONS)
     w = lambda c: F.when(ok, c)
-    ts = lambda c: F.to_timestamp_ntz(c)
+    ts = utc_timestamp
     return p.select(
         "delivery_id", F.col("_p.action").alias("action"),
         F.when(ok, F.lit("received")).otherwise(F.lit("ignored")).alias("outcome"),
@@ -104,11 +113,15 @@ def poll_ingest(responses: DataFrame, raw: str = "raw", drop_falsy_ids: bool = F
 
 
 def poll_ingest_summary(responses: DataFrame, raw: str = "raw") -> DataFrame:
-    """S4 counts: responses, malformed responses, runs kept, runs dropped."""
+    """S4 counts: responses, malformed responses, runs kept, runs dropped. An object without
+    ``workflow_runs``, or with null there, is a valid answer without runs."""
     p = _poll_parsed(responses, raw)
+    listed = F.get_json_object(F.col(raw), "$.workflow_runs")
+    empty = F.from_json(F.col(raw), "map<string,string>").isNotNull() & listed.isNull()
     runs = F.coalesce(F.col("_p.workflow_runs"), F.array().cast("array<string>"))
     kept = F.size(F.filter(runs, lambda r: F.from_json(r, POLLED_RUN)["id"].isNotNull()))
-    g = p.select(F.col("_p.workflow_runs").isNull().alias("bad"), F.size(runs).alias("n"), kept.alias("k"))
+    bad = F.col("_p.workflow_runs").isNull() & ~F.coalesce(empty, F.lit(False))
+    g = p.select(bad.alias("bad"), F.size(runs).alias("n"), kept.alias("k"))
     return g.agg(
         F.count(F.lit(1)).alias("responses"), F.count_if("bad").alias("malformed_responses"),
         F.sum("k").cast("bigint").alias("runs_kept"), (F.sum("n") - F.sum("k")).cast("bigint").alias("runs_dropped"))

@@ -48,13 +48,14 @@ select seq as log_id, run_id, ts as created_at, case seq % 17
   when 12 then 'KeyError: ''cfg' || cast(seq % 3 as string) || ''''
   when 13 then 'assertionerror: lower case still matches'
   when 14 then 'NO LOGS' when 15 then '' else 'all good' end as logs
-from run_events where conclusion = 'failure'
+from (select seq, ts, conclusion, case when seq % 23 = 5 then 'gone-' || run_id else run_id end as run_id from run_events) r where conclusion = 'failure'
 """
 
 VIEWS["healing_actions"] = """
 select seq as id, run_id, case seq % 4 when 0 then 'missing_dependency' when 1 then 'test_timeout' when 2 then 'build_failure' else 'network_timeout' end as action_type,
-  value < 30 as success, '{"seq": ' || cast(seq as string) || '}' as details, ts as created_at
-from run_events where conclusion = 'failure' and seq % 3 <> 0
+  value < case when seq % 4 = 1 then 1000 else 30 end as success, '{"seq": ' || cast(seq as string) || '}' as details, ts as created_at
+from (select seq, ts, value, conclusion, case when seq % 31 = 5 then 'gone-' || run_id else run_id end as run_id from run_events) r
+where conclusion = 'failure' and seq % 3 <> 0
 """
 
 VIEWS["metrics"] = """
@@ -145,7 +146,9 @@ group by 1, 2
 VIEWS["webhooks"] = """
 select event_id as delivery_id, ts, case event_id % 5 when 0 then 'push' when 1 then 'pull_request' when 2 then 'issues' else 'workflow_run' end as event_type,
   '{"action":"' || case event_id % 4 when 0 then 'requested' when 1 then 'failed' else 'completed' end || '","ref":"refs/heads/main","workflow_run":{"id":' || cast(event_id as string)
-  || ',"status":"completed","conclusion":"' || case when event_type = 'error' then 'failure' else 'success' end || '"},"repository":{"full_name":"org/repo-' || cast(user_id % 20 as string) || '"}}' as payload
+  || ',"status":"completed"' || case event_id % 6 when 0 then ',"created_at":"2024-01-05T10:00:00Z","updated_at":"2024-01-05 10:05:00"'
+    when 1 then ',"created_at":"2024-01-05T10:00:00+02:00","updated_at":"garbage"' when 2 then ',"created_at":null'
+    when 3 then ',"created_at":"2024-13-45T99:00:00Z","updated_at":"2024-01-05T10:05:00-03:30"' else '' end || ',"conclusion":"' || case when event_type = 'error' then 'failure' else 'success' end || '"},"repository":{"full_name":"org/repo-' || cast(user_id % 20 as string) || '"}}' as payload
 from events
 """
 

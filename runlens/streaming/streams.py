@@ -47,7 +47,9 @@ def landing(df: DataFrame, name: str, order: str = "seq", slices: int = DEFAULT_
         if lo is not None:
             part = part.filter(F.col(order) > F.lit(lo))
         if hi is not None:
-            part = part.filter(F.col(order) <= F.lit(hi))
+            upto = F.col(order) <= F.lit(hi)
+            # rows without an order value arrive with the first slice
+            part = part.filter(upto if lo is not None else upto | F.col(order).isNull())
         part.write.mode("append").parquet(path)
     return path
 
