@@ -13,6 +13,14 @@ from .registry import register
 J = "json_extract_string(payload, '{}')"
 
 
+def _utc(path: str) -> str:
+    """The text at ``path`` as UTC: its offset, if it has one, is taken off (a plain cast ignores it)."""
+    x = J.format(path)
+    part = lambda i: f"regexp_extract({x}, '([+-])([0-9]{{2}}):?([0-9]{{2}})$', {i})"
+    minutes = f"coalesce(try_cast({part(1)} || (try_cast({part(2)} as int) * 60 + try_cast({part(3)} as int)) as int), 0)"
+    return f"(try_cast(regexp_replace({x}, '(Z|[+-][0-9]{{2}}:?[0-9]{{2}})$', '') as timestamp) - to_minutes({minutes}))"
+
+
 @register("webhook_ingest", f"""
 select delivery_id, {J.format('$.action')} as action,
   case when {J.format('$.action')} in ('completed', 'failed') then 'received' else 'ignored' end as outcome,
@@ -20,8 +28,8 @@ select delivery_id, {J.format('$.action')} as action,
   case when {J.format('$.action')} in ('completed', 'failed') then {J.format('$.repository.full_name')} end as repo,
   case when {J.format('$.action')} in ('completed', 'failed') then {J.format('$.workflow_run.status')} end as status,
   case when {J.format('$.action')} in ('completed', 'failed') then {J.format('$.workflow_run.conclusion')} end as conclusion,
-  case when {J.format('$.action')} in ('completed', 'failed') then try_cast({J.format('$.workflow_run.created_at')} as timestamp) end as started_at,
-  case when {J.format('$.action')} in ('completed', 'failed') then try_cast({J.format('$.workflow_run.updated_at')} as timestamp) end as completed_at
+  case when {J.format('$.action')} in ('completed', 'failed') then {_utc('$.workflow_run.created_at')} end as started_at,
+  case when {J.format('$.action')} in ('completed', 'failed') then {_utc('$.workflow_run.updated_at')} end as completed_at
 from webhooks""")
 def webhook_ingest(spark, sf):
     return I.webhook_ingest(tables(spark, sf).webhooks)
