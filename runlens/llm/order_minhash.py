@@ -23,7 +23,8 @@ a join on the key, and each pair's k-mers join to it afterwards. Text hashes are
 
 Edge cases: null text counts as empty; texts without a k-mer (fewer than five words) are near their
 equals in words only; the empty texts are one class. A class is named by its least id; null ids
-come last. Rows that repeat are in one class. Empty tables give empty results.
+come last. Classes whose least ids are null or equal share that name and differ in their label.
+Rows that repeat are in one class. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -226,17 +227,20 @@ def verified(pairs: DataFrame, sequences: DataFrame, p: Sketching = SKETCHING) -
 
 
 def classes(docs: DataFrame, p: Sketching = SKETCHING) -> DataFrame:
-    """``docs(doc_id, text)`` -> doc_id, tid (hash of its text), class_id (least id of its class)."""
+    """``docs(doc_id, text)`` -> doc_id, tid (hash of its text), class_id (least id of its class), label
+    (the class itself: ids may be null or shared, so two classes can have one class_id)."""
     members, _, labels = links(docs, p)
     named = members.join(labels, "tid", "left").withColumn("label", F.coalesce("label", "tid"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return named.join(least, "label").select("doc_id", "tid", "class_id")
+    return named.join(least, "label").select("doc_id", "tid", "class_id", "label")
 
 
 def one_each(docs: DataFrame, p: Sketching = SKETCHING) -> DataFrame:
-    """The documents with the least id of their classes, columns unchanged; of rows that share that id, one."""
-    kept = classes(docs, p).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("tid").alias("_tid"))
-    kept = kept.select(F.col("class_id").alias("_id"), "_tid")
+    """One document of each class, columns unchanged: the one with the least id (null ids last), then with
+    the least text hash; of rows that repeat, one."""
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "tid")
+    kept = classes(docs, p).groupBy("label").agg(F.min_by(F.struct("doc_id", "tid"), order).alias("one"))
+    kept = kept.select(F.col("one.doc_id").alias("_id"), F.col("one.tid").alias("_tid"))
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"))
     rows = rows.join(kept, F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("tid") == F.col("_tid")))
     return rows.dropDuplicates(["_id", "_tid"]).select("row.*")

@@ -121,7 +121,7 @@ def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_order_minhash")
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+    return order_minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "label")
 
 
 @query("op5_token_shards")

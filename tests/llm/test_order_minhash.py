@@ -139,6 +139,16 @@ def test_edges(spark, edge, empty):
     assert O.classes(empty).count() == 0 and O.one_each(empty).count() == 0
 
 
+def test_classes_without_an_id_of_their_own(spark):
+    """Unlike texts with null ids, or with one id, are classes of their own: none may take another with it."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [doc(None, a), doc(None, a), doc(None, b), doc(7, c), doc(7, d), doc(8, d + " more"), doc(None, c)]
+    df = spark.createDataFrame(rows, schema()).repartition(3)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in O.one_each(df).collect()) == [(0, a), (0, b), (7, c), (7, d)]
+    label = {(r["doc_id"], r["tid"]): r["label"] for r in O.classes(df).collect()}
+    assert len(label) == 6 and len(set(label.values())) == 4
+
+
 def test_components(spark):
     rng = random.Random(0)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1100)]
