@@ -5,6 +5,10 @@ Equal texts are one class first, by a hash of the text. A text is then its seque
 count. A sketch takes the ``picked`` least of them under its own hash function and keeps them in
 text order; ``sketches`` such keys per text make the buckets. Two texts of similarity s meet in a
 sketch with probability of about s^picked, so at 0.8 with 6 of 64 they meet in none of them once in 10^8.
+Short texts fall short of that, as picking is without replacement. Those of up to ``doubled`` k-mers get
+twice the sketches, and those of up to ``exact`` have their whole sequence as a key, and the sequence
+without any one, two, ... k-mers, as many as a pair at the limit may leave unmatched on one side: what
+a pair has in common is then a key of both texts, and none with a union of up to ``exact`` is missed.
 
 Similarity of two texts is the ordered Jaccard index m / (n1 + n2 - m), m being the longest common
 subsequence of their labelled k-mers inside a band of the diagonal wide enough for every pair at
@@ -31,7 +35,9 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +55,8 @@ class Sketching:
     picked: int = 6
     sketches: int = 64
     at_least: float = 0.8
+    exact: int = 14       # k-mers of texts that meet by what they have in common
+    doubled: int = 80     # k-mers of texts that get twice the sketches
     draws: int = 8        # per bucket in the second round, besides its middle; one in the first, then doubling
     seed: int = 11
 
@@ -113,6 +121,27 @@ def _least(v: np.ndarray, many: int) -> np.ndarray:
     return np.sort(np.argpartition(v, many - 1, axis=1)[:, :many], axis=1)
 
 
+@lru_cache
+def _kept(n: int, out: int) -> np.ndarray:
+    """Places that stay, one row per way to leave ``out`` of ``n`` away."""
+    return np.array(list(combinations(range(n), n - out)), np.int64)
+
+
+def bucket_keys(x: np.ndarray, p: Sketching = SKETCHING) -> np.ndarray:
+    """All bucket keys of a text: its sketches, and for few k-mers the sequences it may share with a near text."""
+    n, out = len(x), []
+    if n <= p.exact:
+        for away in range(int((1 - p.at_least) * n + 1e-9) + 1):
+            at = _kept(n, away)
+            key = np.full(len(at), p.seed, np.uint64)
+            for i in range(at.shape[1]):
+                key = _stir(key + x[at[:, i]])
+            out.append(key)
+    if n >= p.at_least * (p.exact + 1) - 1e-9:  # shorter ones have no near text with a larger union
+        out.append(sketch(x, replace(p, sketches=2 * p.sketches) if n <= p.doubled else p))
+    return np.concatenate(out)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, at_least: float) -> float:
     """Ordered Jaccard index of two sequences of labelled k-mers by banded alignment; 0 as soon as it
     must be below ``at_least``."""
@@ -153,15 +182,15 @@ def _sequences(texts: DataFrame, p: Sketching) -> DataFrame:
 
 
 def buckets(texts: DataFrame, p: Sketching = SKETCHING) -> DataFrame:
-    """``texts(tid, text)`` -> tid, key: one row per text and sketch; none for the empty text."""
+    """``texts(tid, text)`` -> tid, key: one row per text and bucket key; none for the empty text."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
             xs = [kmers(t, p) for t in texts_of(b.column("text"))]
             of = np.array([i for i, x in enumerate(xs) if len(x)], np.int64)
             if len(of):
-                keys = np.concatenate([sketch(xs[i], p) for i in of])
-                yield pa.RecordBatch.from_arrays([b.column("tid").take(pa.array(np.repeat(of, p.sketches))), pa.array(keys.view(np.int64))],
-                                                 names=["tid", "key"])
+                keys = [bucket_keys(xs[i], p) for i in of]
+                tids = b.column("tid").take(pa.array(np.repeat(of, [len(k) for k in keys])))
+                yield pa.RecordBatch.from_arrays([tids, pa.array(np.concatenate(keys).view(np.int64))], names=["tid", "key"])
     return texts.select("tid", "text").mapInArrow(make, "tid bigint, key bigint")
 
 

@@ -139,6 +139,31 @@ def test_edges(spark, edge, empty):
     assert O.classes(empty).count() == 0 and O.one_each(empty).count() == 0
 
 
+def test_short_texts_against_brute_force(spark):
+    """All pairs of few k-mers that the contract calls near share a key, and are one class: 8 and 9 words, 9 and 10."""
+    rng = random.Random(5)
+    near = 0
+    for words in range(5, 23):
+        for _ in range(40):
+            a = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+            b = list(a)
+            for _ in range(rng.choice([1, 1, 2])):
+                at = rng.choice([0, len(b), rng.randrange(len(b))])
+                b = b[:at] + ["new"] + b[at:] if rng.random() < 0.6 else b[:at] + b[at + 1:]
+            x, y = O.kmers(" ".join(a).encode()), O.kmers(" ".join(b).encode())
+            if len(x) and len(y) and O.similarity(x, y, 0.8) >= 0.8 - 1e-9:
+                near += 1
+                assert np.intersect1d(O.bucket_keys(x), O.bucket_keys(y)).size, (a, b)
+    assert near > 100
+    text = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, text("a", 8)), (2, text("a", 9)), (3, text("b", 9)), (4, text("b", 10)), (5, "x " + text("c", 8)),
+            (6, text("c", 8)), (7, text("d", 7)), (8, text("d", 8)), (9, text("e", 13)), (10, "x " + text("e", 12))]
+    df = spark.createDataFrame([doc(*r) for r in rows], schema())
+    got = {r["doc_id"]: r["class_id"] for r in O.classes(df).collect()}
+    assert got == {i: c for (i, _), c in brute(rows).items()}
+    assert got[2] == 1 and got[4] == 3 and got[6] == 5 and got[8] == 8
+
+
 def test_classes_without_an_id_of_their_own(spark):
     """Unlike texts with null ids, or with one id, are classes of their own: none may take another with it."""
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
