@@ -8,6 +8,10 @@ template whose other tokens are all equal. (A streaming template miner merges li
 first template that is alike enough, which depends on their order and needs the leaf in one
 place; here a template is a key, and templates are counted like words.)
 
+A line is data and no template if variable fields are most of it: with fewer than ``min_constant``
+other tokens, or more fields than others, only the line as it stands is its key (rows of a number
+table differ in nothing but their fields). The same holds for what an open third leaves.
+
 A template that occurs in ``min_docs`` documents or more recurs: its lines are dropped, except in the
 document with the least id that has it. Lines of fewer than ``min_tokens`` tokens are never
 dropped, and only lines of ``min_open`` or more are generalised, so short common phrases stay.
@@ -43,6 +47,7 @@ class Tree:
     min_tokens: int = 5
     min_open: int = 12
     min_docs: int = 6
+    min_constant: int = 3  # tokens without a digit that a template with variable fields needs, and half of all
 
 
 TREE = Tree()
@@ -53,20 +58,31 @@ _LAST = (1 << 63) - 1  # stands for a null id in comparisons
 
 def templates(line: bytes, p: Tree = TREE) -> list[bytes]:
     """The templates of a line, its own first; none for a short line."""
-    if _DIGIT.search(line):
-        line = _FIELD.sub(b"<*>", line)
     tokens = line.split()
     n = len(tokens)
     if n < p.min_tokens:
         return []
+    if _DIGIT.search(line):
+        masked = _FIELD.sub(b"<*>", line).split()
+
+        def few(kept: list[bytes]) -> bool:
+            constant = sum(t != b"<*>" for t in kept)
+            return constant < p.min_constant or 2 * constant < len(kept)
+
+        if few(masked):
+            return [b"= " + b" ".join(tokens)]
+        tokens = masked
+    else:
+        def few(kept: list[bytes]) -> bool:
+            return False
     out = [b" ".join(tokens)]
     if n >= p.min_open:
         rest = n - p.depth
         a, b = p.depth + rest // 3, p.depth + 2 * rest // 3
         # the borders of the open stretch follow from n, which the key holds
-        out.append(b"%d 1 " % n + b" ".join(tokens[:p.depth]) + b" * " + b" ".join(tokens[a:]))
-        out.append(b"%d 2 " % n + b" ".join(tokens[:a]) + b" * " + b" ".join(tokens[b:]))
-        out.append(b"%d 3 " % n + b" ".join(tokens[:b]) + b" *")
+        for k, (lo, hi) in enumerate(((p.depth, a), (a, b), (b, n)), 1):
+            if not few(tokens[:lo] + tokens[hi:]):
+                out.append(b"%d %d " % (n, k) + b" ".join([*tokens[:lo], b"*", *tokens[hi:]]))
     return out
 
 

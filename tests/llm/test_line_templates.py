@@ -59,3 +59,14 @@ def test_planted_and_edges(spark, edge, empty):
     assert all(n is None or n == len(t) for (_, n), t in out.items())
     assert L.drop_templates(empty).count() == 0
     assert L.drop_templates(edge).count() == len(EDGE_ROWS)
+
+
+def test_rows_of_numbers_stay(spark):
+    """Rows that differ in their numbers are data; the same row in many documents recurs like any line."""
+    wide = " ".join(["{0}{1}"] * 14)
+    kinds = ["{0} 3{1} 7 {0}4 1.{1}", "Oslo {0} 3{1} 7 {0}4", "New York City {0} {1} 7 {0}4 {1}5", "a b c {0} {1} 7 8 9 1 2 3 4 5 6", wide]
+    rows = [doc(i, "\n".join([k.format(i, 7 * i) for k in kinds] + ["1 2 3 4 5 6"])) for i in range(10)]
+    out = {r["doc_id"]: r["text"] for r in L.drop_templates(spark.createDataFrame(rows, schema()).repartition(3)).collect()}
+    assert out[0] == rows[0][1]
+    assert all(out[i] == rows[i][1].removesuffix("\n1 2 3 4 5 6") for i in range(1, 10))
+    assert L.templates(b"job 17 of host h9 done in 3.5 s") == [b"job <*> of host <*> done in <*> s"]
