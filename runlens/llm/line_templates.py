@@ -14,7 +14,9 @@ table differ in nothing but their fields). The same holds for what an open third
 
 A template that occurs in ``min_docs`` documents or more recurs: its lines are dropped, except in the
 document with the least id that has it. Lines of fewer than ``min_tokens`` tokens are never
-dropped, and only lines of ``min_open`` or more are generalised, so short common phrases stay.
+dropped. With ``long_tokens`` set, a line of so many tokens recurs as soon as two distinct texts have
+its own template (open thirds still need ``min_docs``; copies of a whole document count as one text).
+Only lines of ``min_open`` or more are generalised, so short common phrases stay.
 
 Scale: one row per document and template with 64-bit keys, counted with partial aggregation; a
 line that stands in a third of all documents is one key with one count per task. The rows of
@@ -48,9 +50,11 @@ class Tree:
     min_open: int = 12
     min_docs: int = 6
     min_constant: int = 3  # tokens without a digit that a template with variable fields needs, and half of all
+    long_tokens: int | None = None  # lines of so many tokens recur if two distinct texts have them
 
 
 TREE = Tree()
+CORPUS = Tree(long_tokens=50)
 _FIELD = re.compile(rb"\S*[0-9]\S*")
 _DIGIT = re.compile(rb"[0-9]")
 _LAST = (1 << 63) - 1  # stands for a null id in comparisons
@@ -87,33 +91,41 @@ def templates(line: bytes, p: Tree = TREE) -> list[bytes]:
 
 
 def keyed(docs: DataFrame, p: Tree = TREE) -> DataFrame:
-    """``docs(doc_id, text)`` -> key, doc_id, text_key, lines: one row per document and template."""
+    """``docs(doc_id, text)`` -> key, doc_id, text_key, long, lines: one row per document and template;
+    long: the own template of a line of ``long_tokens`` or more."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
-            of, keys, numbers = [], [], []
+            of, keys, long, numbers = [], [], [], []
             for row, text in enumerate(texts_of(b.column("text"))):
                 found: dict[int, list[int]] = {}
+                own: set[int] = set()
                 for number, line in enumerate(text.split(b"\n")):
-                    for t in templates(line, p):
-                        found.setdefault(xxh3_64_intdigest(t), []).append(number)
+                    made = [xxh3_64_intdigest(t) for t in templates(line, p)]
+                    for k in made:
+                        found.setdefault(k, []).append(number)
+                    if made and p.long_tokens is not None and len(line.split()) >= p.long_tokens:
+                        own.add(made[0])
                 of += [row] * len(found)
                 keys += found
+                long += [k in own for k in found]
                 numbers += found.values()
             of = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.array(keys, np.uint64).view(np.int64)), b.column("doc_id").take(of), b.column("text_key").take(of),
-                 pa.array(numbers, pa.list_(pa.int32()))], names=["key", "doc_id", "text_key", "lines"])
+                 pa.array(long, pa.bool_()), pa.array(numbers, pa.list_(pa.int32()))],
+                names=["key", "doc_id", "text_key", "long", "lines"])
 
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return d.mapInArrow(rows, "key bigint, doc_id bigint, text_key bigint, lines array<int>")
+    return d.mapInArrow(rows, "key bigint, doc_id bigint, text_key bigint, long boolean, lines array<int>")
 
 
 def dropped(docs: DataFrame, p: Tree = TREE) -> DataFrame:
     """doc_id, text_key, lines (numbers from 0 of the lines that go) of documents that lose any."""
     made = staged(keyed(docs, p), "line-keys")
     order = F.coalesce("doc_id", F.lit(_LAST))
-    recurring = staged(made.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("first"))
-                       .where(F.col("n") >= p.min_docs).select(F.col("key").alias("_key"), "first"), "line-recurring")
+    two_texts = F.bool_or("long") & (F.min("text_key") < F.max("text_key"))
+    recurring = staged(made.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("first"), two_texts.alias("long"))
+                       .where((F.col("n") >= p.min_docs) | F.col("long")).select(F.col("key").alias("_key"), "first"), "line-recurring")
     hits = made.join(recurring, (F.col("key") == F.col("_key")) & (order != F.col("first")))
     # one row per document and template: at most as many as the document has templates
     return hits.groupBy("doc_id", "text_key").agg(

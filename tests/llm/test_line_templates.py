@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 from runlens.llm import line_templates as L
+from runlens.llm import queries
 
 from .conftest import EDGE_ROWS, doc, schema
 
@@ -70,3 +71,16 @@ def test_rows_of_numbers_stay(spark):
     assert out[0] == rows[0][1]
     assert all(out[i] == rows[i][1].removesuffix("\n1 2 3 4 5 6") for i in range(1, 10))
     assert L.templates(b"job 17 of host h9 done in 3.5 s") == [b"job <*> of host <*> done in <*> s"]
+
+
+def test_long_passage_in_few_documents(spark, tmp_path):
+    """A passage of 50 words that 2, 3 or 5 documents share stays in the first only; copies of a document stay whole."""
+    passage = {k: " ".join(f"{k}{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(50)) for k in "pqr"}
+    rows = [doc(10 * n + i, f"own words {n} {i}\n{passage[k]}\nend of {n} {i}") for k, n in zip("pqr", (2, 3, 5)) for i in range(n)]
+    short = " ".join(passage["p"].split()[:20])
+    rows += [doc(90, f"one {short}"), doc(91, f"one {short}"), doc(92, f"two\none {short}"), doc(None, passage["q"])]
+    copy = " ".join(f"c{'abcdefghij'[i % 10]}" for i in range(60))
+    rows += [doc(93, copy), doc(94, copy)]
+    spark.createDataFrame(rows, schema()).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["dropped_lines"] for r in queries.QUERIES["op6_line_templates"](spark, str(tmp_path)).collect()}
+    assert got == {10 * n + i: "1" if i else "" for n in (2, 3, 5) for i in range(n)} | {None: "0", 90: "", 91: "", 92: "", 93: "", 94: ""}
