@@ -63,6 +63,17 @@ def assignment_pattern() -> str:
     return rf'(?i){_EDGE_L}({kws})(\s*[=:]\s*)"?[^\s"]+"?'
 
 
+# The Spark side masks more than ``assignment_pattern``, which the SQL holds: a quoted value as a whole
+# (to its closing quote on the line, over escaped ones), a quoted keyword, one after an underscore.
+_VALUE = r"""(?:"[^"\\\r\n]++(?:\\.[^"\\\r\n]*+)*+"|"(?:\\.[^"\\\r\n]*+)++"|'[^'\\\r\n]++(?:\\.[^'\\\r\n]*+)*+'|"?[^\s"]+"?)"""
+
+
+def masked_pattern() -> str:
+    """``<keyword> = value`` / ``"<keyword>": "a value"`` / ``DB_<keyword>='a value'`` with the value to mask."""
+    kws = "|".join(SECRET_KEYWORDS)
+    return rf"""(?i)(\A|[^A-Za-z0-9])({kws})(["']?\s*[=:]\s*){_VALUE}"""
+
+
 # A case-insensitive pattern that starts with an alternation gives the regex engine no literal
 # to skip ahead with, so it tries every position of a long text. Each regex below runs only when
 # a plain substring search of the lower-cased text finds the keyword (a necessary condition).
@@ -89,9 +100,9 @@ def found_keywords(text: Column, lowered: Column | None = None) -> Column:
 def redact(text: Column, lowered: Column | None = None) -> Column:
     """Mask the value of every keyword assignment with ``***``."""
     low = F.lower(text) if lowered is None else lowered
-    return F.when(_any_keyword(low), F.regexp_replace(text, assignment_pattern(), "$1$2$3***")).otherwise(text)
+    return F.when(_any_keyword(low), F.regexp_replace(text, masked_pattern(), "$1$2$3***")).otherwise(text)
 
 
 def count_assignments(text: Column, lowered: Column | None = None) -> Column:
     low = F.lower(text) if lowered is None else lowered
-    return F.when(_any_keyword(low), F.regexp_count(text, F.lit(assignment_pattern()))).otherwise(F.lit(0))
+    return F.when(_any_keyword(low), F.regexp_count(text, F.lit(masked_pattern()))).otherwise(F.lit(0))

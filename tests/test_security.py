@@ -37,3 +37,13 @@ def test_secret_scan_and_redact(spark):
     assert r[1].k == "password,token" and r[1].n == 2
     assert r[1].red == "token = *** and Password: ***"
     assert r[2].k == "" and r[2].red == "tokens are fine"
+
+
+def test_redact_masks_whole_values(spark):
+    cases = [('password = "two words here" and more', "password = *** and more"), ('{"token": "x", "a": 1}', '{"token": ***, "a": 1}'),
+             ("DB_PASSWORD=x\nrest", "DB_PASSWORD=***\nrest"), ("secret: 'a b' c", "secret: *** c"),
+             (r'api_key="a \" b" c', "api_key=*** c"), ('token="open value', "token=*** value"), ("mytoken=x tokens: y", None),
+             ('password = ""', None), ("token = plain rest", "token = *** rest")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, text string")
+    got = {r.i: (r.red, r.n) for r in df.select("i", SEC.redact(F.col("text")).alias("red"), SEC.count_assignments(F.col("text")).alias("n")).collect()}
+    assert got == {i: (want or text, int(want is not None)) for i, (text, want) in enumerate(cases)}
