@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (line_templates, mixing, order_minhash, packing, quality, secret_spans, spotsigs, token_attribution, token_shards,
-               warc)
-from .common import table
+from . import (line_templates, mixing, order_minhash, packing, periodic_runs, quality, secret_spans, spotsigs, token_attribution,
+               token_shards, warc)
+from .common import WORD, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,64 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_token_attribution")
 def op8_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_attribution.attribute(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def crc32_sql(number: str) -> str:
+    """DuckDB SQL: unsigned CRC-32 of a number's decimal text."""
+    byte = "list_transform(range(1, len(s) + 1), lambda i: ord(s[i])::bigint)"
+    step = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)"
+    return f"(select xor(list_reduce(list_prepend(4294967295::bigint, {byte}), lambda c, b: {step}), 4294967295) from (select ({number})::varchar s))"
+
+
+PERIODIC_SQL = rf"""
+with d as materialized (
+  select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w, {crc32_sql('doc_id')} h from documents
+), g as (
+  select rid, doc_id, w, len(w) n, h // 10 g, h % 10 = 0 and len(w) > 0 made from d
+), r as (
+  select *, case when made then g % n end a, case when made then 1 + (n - g % n) // (3 + g % 8) end p from g
+), x as materialized (
+  select rid, doc_id, n, case when made then list_transform(range(n), lambda i: w[(case when i < a then i else a + (i - a) % p end) + 1]) else w end w from r
+), t as materialized (
+  select rid, n, unnest(w) word, unnest(range(n)) i from x
+), q as (
+  select b.rid, b.i, b.i - a.i q from t a join t b on a.rid = b.rid and a.word = b.word and a.i < b.i and 4 * (b.i - a.i) <= a.n
+), s as (
+  select rid, q, min(i) - q as start, count(*) + q as length
+  from (select *, i - row_number() over (partition by rid, q order by i) island from q) y group by rid, q, island
+), u as materialized (
+  select rid, start, length, min(q) period from s where length >= greatest(6, 4 * q) group by rid, start, length
+), agg as (
+  select rid, count(*) n_runs, min_by(struct_pack(start, length, period), struct_pack(l := -length, s := start, p := period)) best,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) listed
+  from u group by rid
+), gone as (
+  select distinct rid, unnest(range(start + period, start + length)) i from u
+), c as (
+  select rid, string_agg(word, ' ' order by i) kept from t anti join gone using (rid, i) group by rid
+)
+select doc_id, coalesce(n_runs, 0)::bigint n_runs, best.start::bigint as start, best.length::bigint as length, best.period::bigint as period,
+       (1000 * best.length // best.period)::bigint exponent_milli, sha256(coalesce(listed, '')) runs_sha256, sha256(coalesce(kept, '')) collapsed_sha256
+from x left join agg using (rid) left join c using (rid)
+"""
+
+
+@query("op13_periodic_runs", PERIODIC_SQL)
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    # a tenth of the documents is made periodic from word a on, with period p
+    docs = docs.withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    docs = docs.withColumn("n", F.when(F.size("w") > 0, F.size("w").cast("bigint"))).withColumn("g", F.floor(F.col("h") / 10))
+    docs = docs.withColumn("a", F.col("g") % F.col("n"))
+    docs = docs.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    a, rest = F.col("a").cast("int"), (F.col("n") - F.col("a")).cast("int")
+    root = F.slice("w", a + 1, F.col("p"))
+    made = F.concat(F.slice("w", F.lit(1), a), F.slice(F.flatten(F.array_repeat(root, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest))
+    found = periodic_runs.detect(docs.select("doc_id", F.when(F.col("n").isNull(), F.col("text")).otherwise(F.array_join(made, " ")).alias("text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    found = found.withColumn("best", longest)
+    start, length, period = -F.col("best.s"), F.col("best.length"), -F.col("best.p")
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), start.alias("start"), length.alias("length"),
+                        period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+                        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
