@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (line_templates, mixing, order_minhash, packing, periodic_runs, quality, secret_spans, spotsigs, token_attribution,
-               token_shards, warc)
+from . import (line_templates, mixing, order_minhash, packing, periodic_runs, quality, secret_spans, simhash_grid, spotsigs,
+               token_attribution, token_shards, warc)
 from .common import WORD, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,6 +134,12 @@ def op8_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_attribution.attribute(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op12_simhash_grid")
+def op12_simhash_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = simhash_grid.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return r.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def crc32_sql(number: str) -> str:
     """DuckDB SQL: unsigned CRC-32 of a number's decimal text."""
     byte = "list_transform(range(1, len(s) + 1), lambda i: ord(s[i])::bigint)"
