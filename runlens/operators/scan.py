@@ -5,16 +5,22 @@ may hold a third of the table, that task would sort a third of the data alone. T
 split each key into chunks of consecutive ``seq`` (``floor(seq / chunk)``), compute within
 chunks in parallel, and carry what crosses chunk borders through a per-chunk summary table that
 is ``chunk`` times smaller than the input.
+
+``running`` does without a chunk rule: it deals the rows out by sampled ranges of (key, order), so a
+part holds about the same number of rows however they are spread over keys and time.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.session import checkpoint_path
+
 DEFAULT_CHUNK = 1 << 20  # rows of consecutive seq per chunk when seq is dense
 
 
@@ -105,3 +111,62 @@ def last_non_null_before(df: DataFrame, keys: Sequence[str], order: str, value:
     chunks = chunks.select(*keys, "_chunk", F.last("_lv", ignorenulls=True).over(carry_w).alias("_carry"))
     j = _join_back(c, chunks, keys)
     return j.withColumn(out, F.coalesce(F.col(out), F.col("_carry"))).drop("_chunk", "_carry")
+
+
+def ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
+    """``df`` with ``_part``, its number among ``parts`` sampled ranges of (keys, order), ascending, nulls
+    first. Rows equal in all of them share a part.
+
+    The result is a written table: borders come from a sample, so a second evaluation might draw others.
+    """
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id())
+    path = checkpoint_path(spark, f"ranges/{uuid.uuid4().hex}")
+    out.write.parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column] | None = None,
+            xors: dict[str, Column] | None = None, last: dict[str, Column] | None = None,
+            include_current: bool = False, parts: int | None = None) -> DataFrame:
+    """Running aggregates per key in ``order``, by rows: ``sums`` (0 when there is no earlier row), ``xors`` (0)
+    and ``last`` (the latest non-null value; null), over the earlier rows or, with ``include_current``,
+    up to the row itself. ``order`` must be unique within a key, or its ties alike in all values.
+
+    Two levels: a window inside each (part, key), and what a key brings along from its earlier parts. Only
+    the first key of a part can have any, so that table has a row per part at most and is broadcast.
+    """
+    keys, order = list(keys), list(order)
+    kinds = {"sum": sums or {}, "xor": xors or {}, "last": last or {}}
+    named = [(kind, name) for kind, values in kinds.items() for name in values]
+    held = df.select("*", *[kinds[kind][name].alias(f"_v_{name}") for kind, name in named])
+    held = ranges(held, keys, order, parts)
+
+    def over(kind: str, value: Column, window) -> Column:
+        if kind == "last":
+            return F.last(value, ignorenulls=True).over(window)
+        return F.coalesce((F.sum(value) if kind == "sum" else F.bit_xor(value)).over(window), F.lit(0))
+
+    end = Window.currentRow if include_current else -1
+    inner = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    rows = held.select("*", *[over(kind, F.col(f"_v_{name}"), inner).alias(f"_in_{name}") for kind, name in named])
+    total = {"sum": F.sum, "xor": F.bit_xor,
+             "last": lambda v: F.max_by(v, F.when(v.isNotNull(), F.struct(*order)))}
+    parts_of = held.groupBy(*keys, "_part").agg(*[total[kind](F.col(f"_v_{name}")).alias(f"_t_{name}") for kind, name in named])
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_part"))
+    carried = parts_of.select(*keys, "_part", nth.alias("_nth"),
+                              *[over(kind, F.col(f"_t_{name}"), before).alias(f"_c_{name}") for kind, name in named])
+    carried = F.broadcast(carried.where("_nth > 1").drop("_nth"))
+    same = F.col("_part") == F.col("_cp")
+    for i, k in enumerate(keys):
+        carried = carried.withColumnRenamed(k, f"_k{i}")
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    rows = rows.join(carried.withColumnRenamed("_part", "_cp"), same, "left")
+    out = []
+    for kind, name in named:
+        here, there = F.col(f"_in_{name}"), F.col(f"_c_{name}")
+        out.append({"sum": here + F.coalesce(there, F.lit(0)), "xor": here.bitwiseXOR(F.coalesce(there, F.lit(0))),
+                    "last": F.coalesce(here, there)}[kind].alias(name))
+    return rows.select(*[c for c in df.columns if c not in {n for _, n in named}], *out)
