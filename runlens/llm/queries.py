@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (line_templates, mixing, order_minhash, packing, periodic_runs, quality, secret_spans, simhash_grid, spotsigs,
-               token_attribution, token_shards, warc)
+from . import (line_templates, mixing, order_minhash, packing, periodic_runs, prefix_trie, quality, secret_spans, simhash_grid,
+               spotsigs, token_attribution, token_shards, warc)
 from .common import WORD, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,6 +147,54 @@ def crc32_sql(number: str) -> str:
     return f"(select xor(list_reduce(list_prepend(4294967295::bigint, {byte}), lambda c, b: {step}), 4294967295) from (select ({number})::varchar s))"
 
 
+TRIE_SQL = rf"""
+with t as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first) pos
+  from conversations where conv_id is not null
+), n as (
+  select conv_id, count(*) n, conv_id - conv_id % 20 base from t group by conv_id
+), c as materialized (
+  select n.conv_id, n.base, h, least(h, coalesce(b.n, 0)) head
+  from (select *, {crc32_sql('conv_id')} % 4 h from n) n left join n b on b.conv_id = n.base
+), r as materialized (
+  select c.conv_id, t.pos, t.role, t.text from c join t on t.conv_id = c.base and t.pos <= c.head
+  union all
+  select c.conv_id, t.pos - c.h + c.head, t.role, t.text from c join t on t.conv_id = c.conv_id and t.pos > c.h
+), p as materialized (
+  select conv_id, pos d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) w,
+         sha256(string_agg(len(role) || ':' || role || len(text) || ':' || text, '' order by pos) over (partition by conv_id order by pos)) k
+  from (select * from r) x
+  union all
+  select conv_id, 0, 0, '' from c
+), m as (
+  select conv_id, max(d) m from p group by conv_id
+), e as (
+  select p.d, p.k, string_agg(p.conv_id::varchar, ',' order by p.conv_id) listed from p join m on m.conv_id = p.conv_id and m.m = p.d group by p.d, p.k
+), q as materialized (
+  select d, k, min(conv_id) conv_id, count(*) n_convs, any_value(w) w from p group by d, k
+), u as materialized (
+  select q.*, a.k parent_k, a.conv_id parent_conv_id
+  from q left join p on p.conv_id = q.conv_id and p.d = q.d - 1 left join q a on a.d = p.d and a.k = p.k
+), kids as (
+  select d - 1 d, parent_k k, count(*) n_children from u where d > 0 group by all
+), v as materialized (
+  select u.*, coalesce(n_children, 0) n_children from u left join kids on kids.d = u.d and kids.k = u.k
+), totals as (
+  select p.d, p.k, sum((v.n_convs - 1) * v.w) saved, sum((v.n_children = 0)::int) leaves
+  from v join p on p.conv_id = v.conv_id and p.d <= v.d group by p.d, p.k
+)
+select v.conv_id, v.d::bigint depth, v.parent_conv_id, v.n_convs, v.n_children::bigint n_children, leaves::bigint n_leaves, saved::bigint saved_tokens,
+       sha256(coalesce(listed, '')) ends_sha256
+from v join totals t on t.d = v.d and t.k = v.k left join e on e.d = v.d and e.k = v.k
+"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.positions(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return prefix_trie.trie(*prefix_trie.with_shared_heads(turns, every=20, heads=4))
+
+
 PERIODIC_SQL = rf"""
 with d as materialized (
   select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w, {crc32_sql('doc_id')} h from documents

@@ -8,16 +8,19 @@ from runlens.llm import queries
 OPS = sorted(queries.QUERIES, key=lambda k: int(k[2:].split("_")[0]))
 
 
-def test_ten_operators():
-    assert [int(k[2:].split("_")[0]) for k in OPS] == list(range(1, 11))
+def test_operators():
+    assert [int(k[2:].split("_")[0]) for k in OPS] == list(range(1, 14))
     assert [s for s, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "mix_sources", "pack_sequences"]
 
 
 @pytest.mark.parametrize("name", OPS)
 def test_query_covers_its_whole_table(spark, sf, name):
     df = queries.QUERIES[name](spark, sf)
-    key = "page_id" if "page_id" in df.columns else "doc_id"
-    whole = spark.read.parquet(f"{sf}/{'pages' if key == 'page_id' else 'documents'}.parquet")
+    key = next(k for k in ("page_id", "conv_id", "doc_id") if k in df.columns)
+    whole = spark.read.parquet(f"{sf}/{ {'page_id': 'pages', 'conv_id': 'conversations', 'doc_id': 'documents'}[key] }.parquet").select(key).distinct()
+    if key == "conv_id":  # a row per node: every conversation is a member of the root
+        assert df.where("depth = 0").first()["n_convs"] == whole.count()
+        return
     assert df.select(key).distinct().count() == whole.count()
 
 
@@ -27,7 +30,7 @@ def test_oracle(spark, sf, name, at):
     import duckdb
     path = os.path.join(os.path.dirname(sf), at)
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{path}/{t}.parquet')")
     df = queries.QUERIES[name](spark, path)
     rel = con.sql(queries.ORACLES[name])
