@@ -1,104 +1,134 @@
-"""Day-partitioned storage for the four tables, and retention by partition (S10/M7 at scale).
-
-Layout: ``runs`` are partitioned by ``run_day`` (the day of ``created_at``); ``failure_logs`` and
-``healing_actions`` by the ``run_day`` of *their run* (retention removes children with their run,
-not by their own time); ``metrics`` by the day of their own ``timestamp``. Rows without a day
-(null times, orphans) land in the default partition and are always kept.
-
-Retention then touches almost nothing: every partition whose day is wholly before the cutoff is
-deleted as a folder, and only the one partition containing the cutoff instant is rewritten with
-its keep-set. Days come to the driver as a short list of partition values, never rows.
+"""The four tables as stored: parts by day in a ``Store``, with retention (S10/M7) and the run upsert (S9) as
+one published version each.
+
+Layout: ``runs`` are parted by the day of ``created_at``; ``failure_logs`` and ``healing_actions`` by
+the day of *their run* (retention removes children with their run, not by their own time);
+``metrics`` by the day of their own ``timestamp``. Rows without a day (null times, orphans) are
+in a part without one, which retention never touches.
+
+Retention names no part wholly before the cutoff any more and rewrites only the part with the cutoff instant. The
+upsert finds the parts that may hold a run by each part's range of run ids and rewrites only those. Either is
+visible when its version is, for all four tables at once; before that the old version stands. Lists of parts (one
+per day) come to the driver, never rows.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.runs import cutoff
-from ..plans.session import checkpoint_path
+from ..operators.runs import cutoff, run_upsert
+from .versioned import Store
 
 PART = "run_day"
-METRIC_PART = "day"
+TABLES = ("runs", "failure_logs", "healing_actions", "metrics")
 
 
-def write_tables(runs: DataFrame, failure_logs: DataFrame, actions: DataFrame, metrics: DataFrame, base: str) -> dict[str, str]:
-    """Write the four tables day-partitioned under ``base``; return their paths."""
+def write_tables(runs: DataFrame, failure_logs: DataFrame, actions: DataFrame, metrics: DataFrame, base: str) -> Store:
+    """Publish the four tables as the next version of the store at ``base``."""
+    store = Store(runs.sparkSession, base)
     days = runs.select("run_id", F.to_date("created_at").alias(PART))
-    paths = {k: f"{base}/{k}" for k in ("runs", "failure_logs", "healing_actions", "metrics")}
-    runs.withColumn(PART, F.to_date("created_at")).write.mode("overwrite").partitionBy(PART).parquet(paths["runs"])
-    failure_logs.join(days, "run_id", "left").write.mode("overwrite").partitionBy(PART).parquet(paths["failure_logs"])
-    actions.join(days, "run_id", "left").write.mode("overwrite").partitionBy(PART).parquet(paths["healing_actions"])
-    metrics.withColumn(METRIC_PART, F.to_date("timestamp")).write.mode("overwrite").partitionBy(METRIC_PART) \
-           .parquet(paths["metrics"])
-    return paths
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _partition_days(spark: SparkSession, path: str, col: str) -> list[_dt.date]:
-    """Partition values present (a short list: one per day)."""
-    fs, p = _fs(spark, path)
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith(f"{col}=") and "__HIVE_DEFAULT_PARTITION__" not in name:
-            out.append(_dt.date.fromisoformat(name.split("=", 1)[1]))
-    return sorted(out)
-
-
-def _delete_partition(spark: SparkSession, path: str, col: str, day: _dt.date) -> None:
-    fs, _ = _fs(spark, path)
-    fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{col}={day.isoformat()}"), True)
-
-
-def _rewrite_partition(spark: SparkSession, path: str, col: str, day: _dt.date, keep: DataFrame) -> None:
-    """Replace one partition with ``keep`` (staged first: a path cannot be read and overwritten
-    in one job)."""
-    stage = checkpoint_path(spark, f"tables/retention-stage-{uuid.uuid4().hex}")
-    keep.drop(col).write.parquet(stage)
-    _delete_partition(spark, path, col, day)
-    staged = spark.read.parquet(stage)
-    if staged.limit(1).count():
-        staged.write.mode("overwrite").parquet(f"{path}/{col}={day.isoformat()}")
-
-
-def apply_retention(spark: SparkSession, paths: dict[str, str], as_of: str, days: int = 90) -> dict[str, int]:
-    """S10 on day-partitioned tables: drop partitions before the cutoff day, rewrite the
-    cutoff day's partition with its keep-set. Returns how many partitions were dropped per table."""
+    store.write({"runs": runs.withColumn(PART, F.to_date("created_at")),
+                 "failure_logs": failure_logs.join(days, "run_id", "left"),
+                 "healing_actions": actions.join(days, "run_id", "left"),
+                 "metrics": metrics.withColumn(PART, F.to_date("timestamp"))}, by=dict.fromkeys(TABLES, PART))
+    _note_ids(store)
+    return store
+
+
+def _ids_of(store: Store, parts: list[dict], state: dict) -> dict[str, dict]:
+    """Least and greatest run id of each part of ``runs``, and whether it has runs without a number."""
+    if not parts:
+        return {}
+    name = F.element_at(F.split(F.input_file_name(), "/data/"), -1)
+    rows = store.frame("runs", parts, state).select("id", F.concat(F.lit("data/"), F.regexp_replace(name, "/[^/]*$", "")).alias("path"))
+    rows = rows.groupBy("path").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count_if(F.col("id").isNull()).alias("other"))
+    return {r["path"]: {"lo": r["lo"], "hi": r["hi"], "other": r["other"]} for r in rows.collect()}
+
+
+def _note_ids(store: Store) -> None:
+    """Add the id ranges to the parts of ``runs`` that lack them."""
+    state = store.state()
+    new = [p for p in state["tables"]["runs"]["parts"] if "other" not in p]
+    ids = _ids_of(store, new, state)
+
+    def change(state: dict) -> dict:
+        for p in state["tables"]["runs"]["parts"]:
+            p.update(ids.get(p["path"], {}))
+        return state
+    if ids:
+        store.commit(change)
+
+
+def apply_retention(store: Store, as_of: str, days: int = 90) -> dict[str, int]:
+    """Publish a version without the parts before the cutoff day and with the keep-sets of that day's.
+    Returns how many parts were dropped per table."""
+    spark = store.spark
     cut_ts = _dt.datetime.fromisoformat(as_of) - _dt.timedelta(days=days)
-    cut_day = cut_ts.date()
-    cut = cutoff(as_of, days=days)
-    dropped = {}
-    boundary_old = None
-    if cut_ts != _dt.datetime.combine(cut_day, _dt.time()):
-        # runs of the cutoff day created before the cutoff instant: their children go too
-        runs_day = spark.read.parquet(paths["runs"]).filter(F.col(PART) == F.lit(cut_day))
-        boundary_old = runs_day.filter(F.col("created_at") < cut).select("run_id")
-        stage = checkpoint_path(spark, f"tables/retention-old-{uuid.uuid4().hex}")
-        boundary_old.write.parquet(stage)
-        boundary_old = spark.read.parquet(stage)
-    for name, col in (("runs", PART), ("failure_logs", PART), ("healing_actions", PART), ("metrics", METRIC_PART)):
-        path = paths[name]
-        days_present = _partition_days(spark, path, col)
-        old = [d for d in days_present if d < cut_day]
-        for d in old:
-            _delete_partition(spark, path, col, d)
-        dropped[name] = len(old)
-        if boundary_old is not None and cut_day in days_present:
-            part = spark.read.parquet(path).filter(F.col(col) == F.lit(cut_day))
-            if name == "runs":
-                keep = part.filter(~(F.col("created_at") < cut) | F.col("created_at").isNull())
-            elif name == "metrics":
-                keep = part.filter(~(F.col("timestamp") < cut) | F.col("timestamp").isNull())
+    cut_day, cut = cut_ts.date().isoformat(), cutoff(as_of, days=days)
+    state = store.state()
+    parts = {t: state["tables"][t]["parts"] for t in TABLES}
+    old = {t: [p for p in parts[t] if p["by"] is not None and p["by"] < cut_day] for t in TABLES}
+    border = {t: [p for p in parts[t] if p["by"] == cut_day] for t in TABLES}
+    kept: dict[str, list[dict]] = {t: [] for t in TABLES}
+    if cut_ts != _dt.datetime.combine(cut_ts.date(), _dt.time()):
+        gone = store.frame("runs", border["runs"], state).where(F.col("created_at") < cut).select("run_id")
+        for t in TABLES:
+            if not border[t]:
+                continue
+            rows = store.frame(t, border[t], state)
+            if t in ("runs", "metrics"):
+                time = F.col("created_at" if t == "runs" else "timestamp")
+                rows = rows.where(~(time < cut) | time.isNull())
             else:
-                keep = part.join(boundary_old, "run_id", "left_anti")
-            _rewrite_partition(spark, path, col, cut_day, keep)
-    return dropped
+                rows = rows.join(gone, "run_id", "left_anti")
+            kept[t] = store.stage(rows.withColumn(PART, F.lit(cut_day)), by=PART)
+        if kept["runs"]:
+            ids = _ids_of(store, kept["runs"], state)
+            kept["runs"] = [{**p, **ids.get(p["path"], {})} for p in kept["runs"]]
+    else:
+        border = {t: [] for t in TABLES}
+
+    def change(now: dict) -> dict:
+        for t in TABLES:
+            have = {p["path"] for p in now["tables"][t]["parts"]}
+            if any(p["path"] not in have for p in [*old[t], *border[t]]):
+                raise RuntimeError(f"{t} was rewritten while retention ran; run it again")
+            store.put(now, t, spark.createDataFrame([], "run_id string").schema, kept[t], instead=[*old[t], *border[t]])
+        return now
+
+    store.commit(change)
+    return {t: len(old[t]) for t in TABLES}
+
+
+def touched(store: Store, updates: DataFrame, state: dict) -> list[dict]:
+    """Parts of ``runs`` whose range of ids has an id of ``updates``."""
+    parts = state["tables"]["runs"]["parts"]
+    ids = updates.select(F.col("run_id").try_cast("bigint").alias("id")).distinct()
+    ranges = store.spark.createDataFrame([(p["path"], p.get("lo"), p.get("hi"), bool(p.get("other", 1))) for p in parts],
+                                         "path string, lo long, hi long, other boolean")
+    inside: Column = F.col("id").between(F.col("lo"), F.col("hi")) | (F.col("id").isNull() & F.col("other"))
+    hit = {r["path"] for r in F.broadcast(ranges).join(ids, inside, "left_semi").collect()} if parts else set()
+    return [p for p in parts if p["path"] in hit or "other" not in p]
+
+
+def upsert_runs(store: Store, updates: DataFrame) -> list[dict]:
+    """S9 into the stored runs: fold run events (``seq, run_id, ts, repo, status, conclusion``) into the parts that may
+    hold their runs, publish one version and return the parts that were read."""
+    state = store.state()
+    parts = touched(store, updates, state)
+    now = run_upsert(updates, store.frame("runs", parts, state))
+    schema = store.frame("runs", [], state).schema
+    new = store.stage(now.select(*schema.names, F.to_date("created_at").alias(PART)), by=PART)
+
+    def change(latest: dict) -> dict:
+        have = {p["path"] for p in latest["tables"]["runs"]["parts"]}
+        if any(p["path"] not in have for p in parts):
+            raise RuntimeError("runs were rewritten while the upsert ran; run it again")
+        return store.put(latest, "runs", schema, new, instead=parts)
+
+    store.commit(change)
+    _note_ids(store)
+    return parts

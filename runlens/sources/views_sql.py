@@ -53,7 +53,7 @@ from (select seq, ts, conclusion, case when seq % 23 = 5 then 'gone-' || run_id
 
 VIEWS["healing_actions"] = """
 select seq as id, run_id, case seq % 4 when 0 then 'missing_dependency' when 1 then 'test_timeout' when 2 then 'build_failure' else 'network_timeout' end as action_type,
-  value < case when seq % 4 = 1 then 1000 else 30 end as success, '{"seq": ' || cast(seq as string) || '}' as details, ts as created_at
+  value < case seq % 4 when 3 then 1000 when 2 then 90 else 30 end as success, '{"seq": ' || cast(seq as string) || '}' as details, ts as created_at
 from (select seq, ts, value, conclusion, case when seq % 31 = 5 then 'gone-' || run_id else run_id end as run_id from run_events) r
 where conclusion = 'failure' and seq % 3 <> 0
 """
@@ -152,6 +152,15 @@ select event_id as delivery_id, ts, case event_id % 5 when 0 then 'push' when 1
 from events
 """
 
+VIEWS["run_deliveries"] = """
+select event_id as delivery_id, ts, 'workflow_run' as event_type, case when event_id % 97 = 5 then 'not json' else
+  '{"action":"' || case event_id % 5 when 0 then 'requested' when 1 then 'failed' else 'completed' end || '","workflow_run":{"id":' || cast(cast(floor(event_id / 3) as bigint) as string)
+  || ',"status":"' || case event_id % 3 when 0 then 'in_progress' else 'completed' end || '","created_at":"2024-01-05T10:00:0' || cast(event_id % 10 as string) || 'Z","updated_at":'
+  || case when event_id % 4 = 0 then 'null' else '"2024-01-05T10:05:00+0' || cast(event_id % 3 as string) || ':00"' end || ',"conclusion":'
+  || case when event_id % 3 = 0 then 'null' when event_type = 'error' then '"failure"' else '"success"' end || '},"repository":{"full_name":"org/repo-' || cast(user_id % 20 as string) || '"}}' end as payload
+from events
+"""
+
 VIEWS["polled_runs"] = """
 select event_id as seq, cast(floor(event_id / 4) as bigint) as id, case when event_id % 6 = 0 then null else 'ci-' || event_type end as name,
   case when event_id % 8 = 1 then null else 'completed' end as status, case when event_id % 4 < 2 then null when event_type = 'error' then 'failure' else 'success' end as conclusion,

@@ -1,16 +1,7 @@
-"""Structured Streaming forms of the operators (M1-M6), each with a batch twin it must equal.
-The scheduled retention (M7) works on the day-partitioned tables of ``sources/store.py``.
-
-Pattern used throughout:
-* the source is a folder of parquet files (``landing`` writes one from the given tables, in
-  ``seq`` order, several files, so each micro-batch sees a slice);
-* stateful work is a streaming aggregation in ``update`` mode (``min_by``/``max_by``/counts
-  merge their partial state across micro-batches, so results do not depend on arrival order);
-* the sink is ``foreachBatch`` writing the batch's changed rows to ``<table>/batch_id=<n>`` with
-  overwrite: a replayed batch rewrites the same folder, so the sink is idempotent;
-* reading the table back takes the newest row per key (an aggregate over the change log).
-Checkpoints and tables live under the shared ``spark.checkpoint.dir``; a restarted query resumes
-from its checkpoint. Tests run the queries with ``availableNow`` and read the result back.
+"""Arrival folders, file sources and change-log sinks for Structured Streaming, and the low-latency form of M2.
+
+The restartable forms of M1-M6 are in ``live.py``; the scheduled retention (M7) works on the tables of
+``sources/store.py``.
 """
 
 from __future__ import annotations
@@ -20,11 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import classify_ops as K
-from ..operators import runs as R
-from ..operators.healing import heal_gate
 from ..plans.session import checkpoint_path
-from ..sources.ingest import ACCEPTED_ACTIONS, WEBHOOK
 
 DEFAULT_SLICES = 4
 
@@ -33,14 +20,17 @@ def _fresh(spark: SparkSession, kind: str, name: str) -> str:
     return checkpoint_path(spark, f"{kind}/{name}-{uuid.uuid4().hex}")
 
 
-def landing(df: DataFrame, name: str, order: str = "seq", slices: int = DEFAULT_SLICES) -> str:
-    """Write ``df`` as ``slices`` appends split by ranges of ``order`` (an arrival folder).
+def landing(df: DataFrame, name: str, order: str = "seq", slices: int = DEFAULT_SLICES, cuts: list | None = None,
+            path: str | None = None) -> str:
+    """Write ``df`` as ``slices`` appends split by ranges of ``order`` (an arrival folder), or by the given
+    ``cuts`` (a slice holds the values up to its cut); ``path`` adds to a folder that exists.
 
     The slices are written one after the other, so file modification times (the file source's
     arrival order) follow ``order``; only ``slices - 1`` boundary values come to the driver.
     """
-    path = _fresh(df.sparkSession, "landing", name)
-    cuts = df.approxQuantile(order, [i / slices for i in range(1, slices)], 0.0001)
+    path = path or _fresh(df.sparkSession, "landing", name)
+    if cuts is None:
+        cuts = df.approxQuantile(order, [i / slices for i in range(1, slices)], 0.0001)
     bounds = [None, *cuts, None]
     for lo, hi in zip(bounds, bounds[1:]):
         part = df
@@ -82,46 +72,11 @@ def latest(spark: SparkSession, table: str, keys: list[str], schema_cols: list[s
     return g.select(*keys, "r.*")
 
 
-# ---------------------------------------------------------------------------------------------
-# Event projections applied on the stream (stateless, one row in -> at most one row out)
-# ---------------------------------------------------------------------------------------------
-
-def run_event_rows(events: DataFrame) -> DataFrame:
-    """The ``run_events`` projection of raw events, as a per-row transform usable on streams."""
-    eid = F.col("event_id")
-    run_id = F.floor(eid / 4).cast("bigint")
-    k = eid % 4
-    return events.filter(~((run_id % 13 == 0) & (k >= 2))).select(
-        eid.alias("seq"), run_id.cast("string").alias("run_id"), "ts",
-        F.when(k == 0, "requested").when(k == 1, "in_progress").otherwise("completed").alias("action"),
-        F.when(k == 0, "queued").when(k == 1, "in_progress").otherwise("completed").alias("status"),
-        F.when(k < 2, F.lit(None).cast("string")).when(F.col("event_type") == "error", "failure")
-         .when(F.col("event_type") == "view", "cancelled").otherwise("success").alias("conclusion"),
-        F.concat(F.lit("org/repo-"), (F.col("user_id") % 20).cast("string")).alias("repo"),
-    )
-
-
-# ---------------------------------------------------------------------------------------------
-# M1-M6
-# ---------------------------------------------------------------------------------------------
-
-def stream_run_upsert(spark: SparkSession, events_path: str, schema) -> DataFrame:
-    """M1: run events stream -> run table. The upsert is a streaming aggregation whose state is
-    the run table itself (first event's repo/start, latest status/conclusion/time)."""
-    ev = run_event_rows(source(spark, events_path, schema))
-    agg = R.run_upsert(ev)
-    table = run_changes(agg, "runs")
-    return latest(spark, table, ["run_id"], R.RUN_COLUMNS)
-
-
-def stream_first_observation(spark: SparkSession, polled_path: str, schema) -> DataFrame:
-    """M2: each run id processed once: the first observation (by seq) of every id."""
-    s = source(spark, polled_path, schema).filter(F.col("id").isNotNull())
-    cols = ["seq", "id", "name", "status", "conclusion"]
-    agg = s.groupBy("id").agg(F.min_by(F.struct(*cols), F.col("seq")).alias("o")) \
-           .select(*[F.col(f"o.{c}").alias(c) for c in cols])
-    table = run_changes(agg, "first_observation")
-    return latest(spark, table, ["id"], cols)
+def late_arrivals(events: DataFrame, delayed: int = 50) -> DataFrame:
+    """``events`` with ``arrival``, the number of the slice that brings a row: eight days each, and one row in
+    ``delayed`` only with the last slice."""
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    return events.withColumn("arrival", F.when(F.col("event_id") % delayed == 7, 4).otherwise(F.least(F.floor(day / 8), F.lit(3))).cast("int"))
 
 
 def first_seen_within_watermark(polled: DataFrame, delay: str = "40 days") -> DataFrame:
@@ -129,73 +84,3 @@ def first_seen_within_watermark(polled: DataFrame, delay: str = "40 days") -> Da
     state only for the watermark delay (``dropDuplicatesWithinWatermark``)."""
     return (polled.filter(F.col("id").isNotNull()).withColumn("event_time", F.col("ts").cast("timestamp"))
             .withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["id"]))
-
-
-def stream_counters(spark: SparkSession, webhooks_path: str, schema) -> DataFrame:
-    """M3: running totals of received runs and of successful ones over the webhook stream."""
-    s = source(spark, webhooks_path, schema).withColumn("_p", F.from_json("payload", WEBHOOK))
-    ok = F.col("_p.action").isin(ACCEPTED_ACTIONS)
-    agg = s.agg(F.count_if(ok).alias("pipeline_runs_total"),
-                F.count_if(ok & (F.col("_p.workflow_run.conclusion") == "success")).alias("pipeline_success_total"))
-    table = run_changes(agg, "counters", output_mode="complete")
-    return latest(spark, table, [], ["pipeline_runs_total", "pipeline_success_total"])
-
-
-def stream_last_confidence(spark: SparkSession, features_path: str, schema) -> DataFrame:
-    """M4: gauge of the last prediction confidence (the newest scored row wins)."""
-    from ..operators.healing import failure_risk_score
-    s = failure_risk_score(source(spark, features_path, schema))
-    conf = F.least(F.greatest("failure_score", F.lit(0.0)), F.lit(1.0))
-    agg = s.agg(F.max_by(conf, F.col("id")).alias("last_confidence"), F.max("id").alias("last_id"))
-    table = run_changes(agg, "last_confidence", output_mode="complete")
-    return latest(spark, table, [], ["last_confidence", "last_id"])
-
-
-def stream_failure_pipeline(spark: SparkSession, logs_path: str, schema, healing_actions: DataFrame) -> dict[str, DataFrame]:
-    """M5: failure logs -> analysis -> failure_logs table; healing probability by error type
-    (from the action history, a static table) -> gate -> notification rows. Both sinks are
-    written per batch id (idempotent on replay)."""
-    logs = source(spark, logs_path, schema)
-    flog_table = _fresh(spark, "tables", "failure_logs")
-    note_table = _fresh(spark, "tables", "notifications")
-    rate = healing_actions.groupBy("action_type").agg(F.avg(F.col("success").cast("double")).alias("heal_probability"))
-    ckpt = _fresh(spark, "streams", "failure_pipeline")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        a = K.analyze_failure(batch).persist()
-        a.select(F.col("log_id").alias("id"), "run_id", "error_type", "error_message", "stack_trace",
-                 F.lit("medium").alias("severity"), "created_at") \
-         .write.mode("overwrite").parquet(f"{flog_table}/batch_id={batch_id}")
-        g = heal_gate(a.join(rate, a["error_type"] == rate["action_type"], "left")
-                       .select("log_id", "run_id", "error_type", "heal_probability"), "heal_probability")
-        g.filter(F.col("decision") == "notify").write.mode("overwrite").parquet(f"{note_table}/batch_id={batch_id}")
-        a.unpersist()
-
-    q = logs.writeStream.option("checkpointLocation", ckpt).foreachBatch(write).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return {"failure_logs": spark.read.parquet(flog_table).drop("batch_id"),
-            "notifications": spark.read.parquet(note_table).drop("batch_id")}
-
-
-def stream_rate_windows(spark: SparkSession, events_path: str, schema, size: str = "5 minutes",
-                        slide: str = "1 minute", delay: str | None = None) -> DataFrame:
-    """M6: events per type over sliding windows; per-window rate per second. Without a ``delay`` every
-    event counts, however late it arrives, and the windows stay in state; a watermark of ``delay``
-    bounds the state and leaves out what arrives later than that."""
-    s = source(spark, events_path, schema).withColumn("event_time", F.col("ts").cast("timestamp"))
-    if delay is not None:
-        s = s.withWatermark("event_time", delay)
-    agg = (s.groupBy(F.window("event_time", size, slide).alias("w"), "event_type")
-            .agg(F.count(F.lit(1)).alias("events")))
-    out = agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                     F.col("w.end").cast("timestamp_ntz").alias("window_end"), "event_type", "events")
-    table = run_changes(out, "rate_windows")
-    seconds = _seconds(size)
-    return latest(spark, table, ["window_start", "window_end", "event_type"],
-                  ["window_start", "window_end", "event_type", "events"]) \
-        .withColumn("rate", F.col("events") / float(seconds))
-
-
-def _seconds(interval: str) -> int:
-    n, unit = interval.split()
-    return int(n) * {"second": 1, "seconds": 1, "minute": 60, "minutes": 60, "hour": 3600, "hours": 3600}[unit]
