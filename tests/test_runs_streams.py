@@ -1,6 +1,4 @@
-"""Upsert merge equivalence, retention rules, streaming = batch twin, as-of join brute force."""
-
-import datetime
+"""Upsert merge equivalence, retention rules, watermark dedupe, as-of join brute force."""
 
 from pyspark.sql import functions as F
 
@@ -33,33 +31,6 @@ def test_retention_children_follow_their_run(spark, sf):
     assert kept["runs"].count() + old.count() == t.runs.count()
 
 
-def test_stream_upsert_equals_batch(spark, sf):
-    t = tables(spark, sf)
-    path = S.landing(t.events, "events", order="event_id")
-    got = S.stream_run_upsert(spark, path, t.events.schema)
-    want = R.run_upsert(t.run_events)
-    assert sorted(want.collect()) == sorted(got.select(*want.columns).collect())
-
-
-def test_stream_first_observation_equals_batch(spark, sf):
-    t = tables(spark, sf)
-    path = S.landing(t.polled_runs, "polled", order="seq")
-    got = S.stream_first_observation(spark, path, t.polled_runs.schema)
-    want = R.first_observation(t.polled_runs)
-    assert sorted(want.collect()) == sorted(got.select(*want.columns).collect())
-
-
-def test_stream_rate_windows_counts_late_events(spark):
-    """Ids against the time order, hours apart: each slice is later than any short watermark allows."""
-    first = datetime.datetime(2024, 1, 1)
-    rows = [(i, first + datetime.timedelta(minutes=7 * (200 - i)), "error" if i % 3 else "view") for i in range(200)]
-    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string")
-    got = S.stream_rate_windows(spark, S.landing(events, "late", order="event_id"), events.schema)
-    want = events.groupBy(F.window(F.col("ts").cast("timestamp"), "5 minutes", "1 minute").alias("w"), "event_type").agg(F.count("*").alias("events"))
-    want = want.select(F.col("w.start").cast("timestamp_ntz"), F.col("w.end").cast("timestamp_ntz"), "event_type", "events")
-    assert sorted(map(tuple, got.select("window_start", "window_end", "event_type", "events").collect())) == sorted(map(tuple, want.collect()))
-
-
 def test_asof_join_brute_force(spark, sf):
     t = tables(spark, sf)
     attrs = V.run_attributes(t.run_events)
