@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from ..plans.session import ensure_checkpoint_dir
 from .runs import ts_lit
-from .scan import running_sum_by
+from .scan import running, written
 from .stats import classifier_metrics
 
 # ---------------------------------------------------------------------------------------------
@@ -123,24 +123,22 @@ def risk_factors(features: DataFrame | None = None) -> Column:
 # History features (definitions ours; the service only names them)
 # ---------------------------------------------------------------------------------------------
 
-def _day(c: str) -> Column:
-    return F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 86_400_000_000).cast("bigint")
+def _before(runs: DataFrame, key: str, **sums: Column) -> DataFrame:
+    """Sums over the earlier runs (created_at, id) of the same ``key``, dealt out by rows."""
+    rows = runs.select("run_id", key, "created_at", "id", *[v.cast("bigint").alias(f"_{name}") for name, v in sums.items()])
+    return running(written(rows, "run-history"), [key], ["created_at", "id", "run_id"], sums={n: F.col(f"_{n}") for n in sums})
 
 
 def previous_failures(runs: DataFrame, key: str = "repo") -> DataFrame:
     """Failed runs among the earlier runs (created_at, id) of the same ``key``."""
-    r = running_sum_by(runs, [key], ["created_at", "id"],
-                       {"previous_failures": (F.col("conclusion") == "failure").cast("double")},
-                       chunk_col=_day("created_at"))
-    return r.select("run_id", key, "created_at", F.col("previous_failures").cast("bigint").alias("previous_failures"))
+    r = _before(runs, key, previous_failures=F.coalesce(F.col("conclusion") == "failure", F.lit(False)))
+    return r.select("run_id", key, "created_at", "previous_failures")
 
 
 def author_failure_rate(runs: DataFrame) -> DataFrame:
     """The author's failure share over their earlier runs; 0.10 when they have none."""
-    r = running_sum_by(runs, ["author"], ["created_at", "id"],
-                       {"_n": F.lit(1.0), "_f": (F.col("conclusion") == "failure").cast("double")},
-                       chunk_col=_day("created_at"))
-    rate = F.when(F.col("_n") > 0, F.col("_f") / F.col("_n")).otherwise(F.lit(DEFAULT_AUTHOR_FAILURE_RATE))
+    r = _before(runs, "author", n=F.lit(1), f=F.coalesce(F.col("conclusion") == "failure", F.lit(False)))
+    rate = F.when(F.col("n") > 0, F.col("f") / F.col("n")).otherwise(F.lit(DEFAULT_AUTHOR_FAILURE_RATE))
     return r.select("run_id", "author", "created_at", rate.alias("author_failure_rate"))
 
 
@@ -148,10 +146,8 @@ def build_duration_avg(runs: DataFrame, key: str = "repo") -> DataFrame:
     """Mean duration in seconds of the earlier completed runs of the same ``key``; 300 when none."""
     done = F.col("completed_at").isNotNull()
     micros = F.unix_micros(F.col("completed_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))
-    r = running_sum_by(runs, [key], ["created_at", "id"],
-                       {"_n": done.cast("double"), "_s": F.when(done, micros).otherwise(0).cast("double")},
-                       chunk_col=_day("created_at"))
-    avg = F.when(F.col("_n") > 0, F.col("_s") / F.col("_n") / 1e6).otherwise(F.lit(DEFAULT_DURATION_SECONDS))
+    r = _before(runs, key, n=done, s=F.when(done, micros).otherwise(0))
+    avg = F.when(F.col("n") > 0, F.col("s") / F.col("n") / 1e6).otherwise(F.lit(DEFAULT_DURATION_SECONDS))
     return r.select("run_id", key, "created_at", avg.alias("build_duration_avg"))
 
 

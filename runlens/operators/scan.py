@@ -113,18 +113,22 @@ def last_non_null_before(df: DataFrame, keys: Sequence[str], order: str, value:
     return j.withColumn(out, F.coalesce(F.col(out), F.col("_carry"))).drop("_chunk", "_carry")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a folder of its own and read back, so that what follows does not compute it again."""
+    path = checkpoint_path(df.sparkSession, f"{name}/{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
     """``df`` with ``_part``, its number among ``parts`` sampled ranges of (keys, order), ascending, nulls
     first. Rows equal in all of them share a part.
 
     The result is a written table: borders come from a sample, so a second evaluation might draw others.
+    Drawing the sample evaluates ``df`` once more; give an expensive one as ``written``.
     """
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id())
-    path = checkpoint_path(spark, f"ranges/{uuid.uuid4().hex}")
-    out.write.parquet(path)
-    return spark.read.schema(out.schema).parquet(path)
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column] | None = None,

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scan import last_non_null_before
+from .scan import running, written
 
 
 def commit_info(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
@@ -101,23 +101,20 @@ def rollback_plan(crashes: DataFrame, attrs: DataFrame) -> DataFrame:
          .otherwise(F.lit("No previous successful deployment found")).alias("details"))
 
 
-def last_good_run_asof(failures: DataFrame, attrs: DataFrame, chunk_micros: int = 3_600_000_000) -> DataFrame:
+def last_good_run_asof(failures: DataFrame, attrs: DataFrame, parts: int | None = None) -> DataFrame:
     """For each failure (``log_id, run_id, created_at``) the newest good run of its repo
     created strictly before the failure. An as-of join: both sides in one ordered sequence per
     repo (good runs sort after failures at equal time, so "before" is strict), carrying the last
-    good sha forward, chunk-parallel so a hot repo is split across tasks. Of good runs at one
-    instant the one with the largest id counts. A failure whose run is unknown has no commit.
+    good sha forward, dealt out by rows so a repo or an hour with most of them is split across tasks. Of good runs at
+    one instant the one with the largest id counts. A failure whose run is unknown, or without a time, has no commit.
     """
     f = failures.join(attrs.select("run_id", "repo"), "run_id", "left").select(
-        "repo", "log_id", "run_id", F.col("created_at").alias("t"), F.lit(None).cast("string").alias("sha"))
+        "repo", "log_id", "run_id", F.col("created_at").alias("t"), F.lit(0).alias("good"), F.lit(None).cast("string").alias("sha"))
     g = good_runs(attrs).filter(F.col("repo").isNotNull() & F.col("created_at").isNotNull()).groupBy("repo", "created_at") \
         .agg(F.max_by("head_sha", F.struct("id", "run_id")).alias("sha"))
     g = g.select("repo", F.lit(None).cast("bigint").alias("log_id"), F.lit(None).cast("string").alias("run_id"),
-                 F.col("created_at").alias("t"), "sha")
-    u = f.unionByName(g).withColumn(
-        "_o", F.unix_micros(F.col("t").cast("timestamp")) * 2 + F.when(F.col("sha").isNotNull(), 1).otherwise(0))
-    # within one micro-second both kinds may meet; order key keeps failures first
-    carried = last_non_null_before(u, ["repo"], "_o", "sha", "good_sha", chunk=chunk_micros * 2)
-    r = carried.filter(F.col("log_id").isNotNull())
+                 F.col("created_at").alias("t"), F.lit(1).alias("good"), "sha")
+    carried = running(written(f.unionByName(g), "asof"), ["repo"], ["t", "good", "log_id"], last={"good_sha": F.col("sha")}, parts=parts)
+    r = carried.filter("good = 0")
     return r.select("log_id", "run_id", "repo", F.col("t").alias("failed_at"), F.col("good_sha").alias("head_sha"),
                     F.substring("good_sha", 1, 7).alias("rollback_sha"))

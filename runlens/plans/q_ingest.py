@@ -80,7 +80,8 @@ def poll_ingest_drop_falsy(spark, sf):
 @register("poll_ingest_summary", f"""
 select (select count(*) from poll_responses) as responses,
   (select count(*) from poll_responses) - (select count(*) from ({POLL_OK}) o) - (select count(*) from poll_responses
-    where case when json_valid(raw) then json_type(raw) = 'OBJECT' and coalesce(json_type(raw, '$.workflow_runs'), 'NULL') = 'NULL' else false end)
+    where case when json_valid(raw) then json_type(raw) = 'OBJECT' and (coalesce(json_type(raw, '$.workflow_runs'), 'NULL') = 'NULL'
+      or json_extract(raw, '$.workflow_runs')::varchar in ('0', '""', '{{}}', 'false')) else false end)
     as malformed_responses,
   (select count(*) from ({POLL_RUNS}) x where json_type(r) = 'OBJECT' and json_type(r, '$.id') is not null and json_type(r, '$.id') <> 'NULL') as runs_kept,
   (select count(*) from ({POLL_RUNS}) x where not (json_type(r) = 'OBJECT' and json_type(r, '$.id') is not null and json_type(r, '$.id') <> 'NULL')) as runs_dropped""")

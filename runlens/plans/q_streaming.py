@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import healing as H
 from ..operators import runs as R
 from ..operators import vcs as V
+from ..sources import ingest as I
+from ..sources import json_files as JF
 from ..sources import store as ST
 from ..sources.tables import tables
 from ..sources.versioned import Store
@@ -35,23 +37,62 @@ def _run(start, stream, name: str, *args, **options) -> Store:
     return store
 
 
-DELIVERED = f"""(select delivery_id, {J.format('$.workflow_run.id')} as run_id, {J.format('$.repository.full_name')} as repo,
+def _delivered(source: str) -> str:
+    return f"""(select delivery_id, {J.format('$.workflow_run.id')} as run_id, {J.format('$.repository.full_name')} as repo,
     {J.format('$.workflow_run.status')} as status, {J.format('$.workflow_run.conclusion')} as conclusion,
     {_utc('$.workflow_run.created_at')} as started_at, {_utc('$.workflow_run.updated_at')} as completed_at
-  from (select delivery_id, case when json_valid(payload) then payload end as payload from run_deliveries) v
+  from (select delivery_id, case when json_valid(payload) then payload end as payload from {source}) v
   where {J.format('$.action')} in ('completed', 'failed'))"""
 
 
-@register("stream_webhook_upsert", f"""
+DELIVERED = _delivered("run_deliveries")
+RUNS_OF_DELIVERIES = """
 select f.run_id, f.repo, l.status, l.conclusion, f.started_at, l.completed_at
-from (select *, row_number() over (partition by run_id order by delivery_id) as rn from {DELIVERED} d) f
-join (select *, row_number() over (partition by run_id order by delivery_id desc) as rn from {DELIVERED} d) l
-  on f.run_id = l.run_id and f.rn = 1 and l.rn = 1""")
+from (select *, row_number() over (partition by run_id order by delivery_id) as rn from {0} d) f
+join (select *, row_number() over (partition by run_id order by delivery_id desc) as rn from {0} d) l
+  on f.run_id = l.run_id and f.rn = 1 and l.rn = 1"""
+
+
+@register("stream_webhook_upsert", RUNS_OF_DELIVERIES.format(DELIVERED))
 def stream_webhook_upsert(spark, sf):
     d = tables(spark, sf).run_deliveries.select("delivery_id", "payload")
     return L.runs(_run(L.webhook_runs, _arriving(spark, d, "run_deliveries", "delivery_id"), "webhook_runs", compact_every=2))
 
 
+def _json_folder(spark, sf) -> str:
+    """The deliveries as folders of JSON lines would hold them; a payload that is no JSON spoils its line, and each 89th
+    delivery came without its id."""
+    d = tables(spark, sf).run_deliveries
+    number = F.when(F.col("delivery_id") % 89 == 3, F.lit("")).otherwise(F.concat(F.lit('"delivery_id":'), F.col("delivery_id").cast("string"), F.lit(",")))
+    line = F.concat(F.lit("{"), number, F.lit('"event_type":"'), "event_type", F.lit('","payload":'), "payload", F.lit("}"))
+    path = S._fresh(spark, "landing", "deliveries")
+    d.select(line.alias("value")).repartition(3).write.text(path)
+    return path
+
+
+WITH_ID = "(select * from run_deliveries where delivery_id % 89 <> 3)"
+
+
+@register("webhook_files", f"select delivery_id, run_id, repo, status, conclusion, started_at, completed_at from {_delivered(WITH_ID)} d")
+def webhook_files(spark, sf):
+    """S1 over JSON files in batch: accepted deliveries."""
+    r = I.webhook_ingest(JF.usable(JF.read_deliveries(spark, _json_folder(spark, sf)))).where("outcome = 'received'")
+    return r.drop("action", "outcome")
+
+
+@register("stream_webhook_files", RUNS_OF_DELIVERIES.format(_delivered(WITH_ID)))
+def stream_webhook_files(spark, sf):
+    return L.runs(_run(JF.runs_from_files, JF.stream_deliveries(spark, _json_folder(spark, sf)), "runs_from_files"))
+
+
+@register("webhook_quarantine", """
+select case when payload = 'not json' then 'not json' else 'no delivery id' end as reason, count(*) as records
+from run_deliveries where payload = 'not json' or delivery_id % 89 = 3 group by 1""")
+def webhook_quarantine(spark, sf):
+    store = _run(JF.runs_from_files, JF.stream_deliveries(spark, _json_folder(spark, sf)), "runs_from_files")
+    return store.read("quarantine").groupBy("reason").agg(F.count(F.lit(1)).alias("records"))
+
+
 FIRST = """
 select seq, id, name, status, conclusion from (
   select *, row_number() over (partition by id order by seq) as rn from polled_runs where id is not null) x

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import range_vectors as RV
 from ..operators import timeseries as TS
 from ..sources.tables import tables
 from .registry import register
@@ -125,3 +126,61 @@ select job, address, make_timestamp(e) as window_end, n as samples,
 from z""")
 def counter_rate_extrapolated(spark, sf):
     return TS.extrapolated_increase(tables(spark, sf).counter_samples, 300)
+
+
+# ---- range vectors: windows that slide by a step ----------------------------------------------
+
+DAY_BEFORE = "2024-01-19 00:00:00"
+
+
+def range_sql(src: str, series: str, window: int, step: int, between: tuple[str, str] | None = None) -> str:
+    """Increase per series and step: samples joined to every window they lie in."""
+    w, g = window * 1_000_000, step * 1_000_000
+    inside = "" if between is None else f"where t between epoch_us(timestamp '{between[0]}') and epoch_us(timestamp '{between[1]}')"
+    near = "" if between is None else (f"where ts > timestamp '{between[0]}' - interval {window + step} second "
+                                       f"and ts <= timestamp '{between[1]}'")
+    return f"""(with s as materialized (select {series}, seq, epoch_us(ts) as us, value from {src} {near}),
+  steps as (select distinct {series}, t from (select {series}, unnest(range(0, {window // step})) * {g} + cast(ceil(us / {g}e0) as bigint) * {g} as t from s) x {inside}),
+  hit as (select {series}, t, seq, us, value, lag(value) over (partition by {series}, t order by us, seq) as prev
+          from steps join s using ({series}) where us > t - {w} and us <= t)
+  select {series}, make_timestamp(t) as t, count(*) as samples,
+    sum(case when prev is null then 0e0 when value < prev then value else value - prev end) as increase
+  from hit group by {series}, t)"""
+
+
+@register("counter_increase_range", f"select * from {range_sql('counter_samples', 'job, address', 86400, 60, (DAY_BEFORE, SERIES_AS_OF))} r")
+def counter_increase_range(spark, sf):
+    """``increase(counter[24h])`` each minute of a day."""
+    return RV.increase_over(tables(spark, sf).counter_samples, 86400, 60, start=DAY_BEFORE, end=SERIES_AS_OF)
+
+
+@register("counter_rate_range", f"select *, increase / 300e0 as rate from {range_sql('counter_samples', 'job, address', 300, 15)} r")
+def counter_rate_range(spark, sf):
+    """``rate(counter[5m])`` every 15 seconds, over all samples."""
+    return RV.rate_over(tables(spark, sf).counter_samples, 300, 15)
+
+
+@register("rate_by_label_range", f"select job, t, sum(increase / 60e0) as rate from {range_sql('counter_samples', 'job, address', 60, 15)} r group by job, t")
+def rate_by_label_range(spark, sf):
+    """``sum by (job) (rate(counter[1m]))`` every 15 seconds, over all samples."""
+    return RV.rate_by(tables(spark, sf).counter_samples, "job", 60, 15)
+
+
+def _hq_range_sql(q: float, name: str) -> str:
+    return f"""case when total > 0 then case when le = cast('Infinity' as double) then low when c = below then le
+      else low + (le - low) * ({q}e0 * total - below) / (c - below) end end as {name}"""
+
+
+def _hq_hit(q: float) -> str:
+    return f"(select * from (select *, row_number() over (partition by job, t order by le) as rn from b where c >= {q}e0 * total) x where rn = 1)"
+
+
+@register("histogram_quantile_range", f"""
+with r as (select job, le, t, increase / 3600e0 as rate from {range_sql('bucket_samples', 'job, le', 3600, 60)} i),
+m as (select *, max(rate) over (partition by job, t order by le) as c from r),
+b as materialized (select job, t, le, c, coalesce(lag(le) over o, 0e0) as low, coalesce(lag(c) over o, 0e0) as below, max(c) over (partition by job, t) as total
+  from m window o as (partition by job, t order by le))
+select job, t, {_hq_range_sql(0.5, 'p50')}, p95 from {_hq_hit(0.5)} h join (select job, t, {_hq_range_sql(0.95, 'p95')} from {_hq_hit(0.95)} g) k using (job, t)""")
+def histogram_quantile_range(spark, sf):
+    """p50 and p95 over ``rate(duration_bucket[1h])`` each minute, over all samples."""
+    return RV.quantiles_over(tables(spark, sf).bucket_samples, {"p50": 0.5, "p95": 0.95}, 3600, 60, ["job"])

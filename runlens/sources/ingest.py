@@ -89,6 +89,10 @@ POLLED_RUN = T.StructType([
 ])
 
 
+#: ``workflow_runs`` with a value that counts as none.
+EMPTY_RUNS = r'"workflow_runs"\s*:\s*(false|-?0(\.0+)?([eE][+-]?\d+)?|""|\{\s*\})\s*[,}]'
+
+
 def _poll_parsed(responses: DataFrame, raw: str) -> DataFrame:
     # A JSON string field keeps an element's raw text, so each list element is checked on its own.
     return responses.withColumn("_p", F.from_json(F.col(raw), POLL, {"mode": "PERMISSIVE"}))
@@ -114,10 +118,10 @@ def poll_ingest(responses: DataFrame, raw: str = "raw", drop_falsy_ids: bool = F
 
 def poll_ingest_summary(responses: DataFrame, raw: str = "raw") -> DataFrame:
     """S4 counts: responses, malformed responses, runs kept, runs dropped. An object without
-    ``workflow_runs``, or with null there, is a valid answer without runs."""
+    ``workflow_runs``, or with an empty value there (null, false, 0, "", {}), is a valid answer without runs."""
     p = _poll_parsed(responses, raw)
-    listed = F.get_json_object(F.col(raw), "$.workflow_runs")
-    empty = F.from_json(F.col(raw), "map<string,string>").isNotNull() & listed.isNull()
+    listed = F.get_json_object(F.col(raw), "$.workflow_runs").isNotNull()
+    empty = F.from_json(F.col(raw), "map<string,string>").isNotNull() & (~listed | F.col(raw).rlike(EMPTY_RUNS))
     runs = F.coalesce(F.col("_p.workflow_runs"), F.array().cast("array<string>"))
     kept = F.size(F.filter(runs, lambda r: F.from_json(r, POLLED_RUN)["id"].isNotNull()))
     bad = F.col("_p.workflow_runs").isNull() & ~F.coalesce(empty, F.lit(False))

@@ -103,6 +103,19 @@ def _duration_buckets(spark: SparkSession) -> DataFrame:
     return g.select("day", F.inline(pairs))
 
 
+def _bucket_samples(spark: SparkSession) -> DataFrame:
+    """``bucket_samples``: the cumulative count of every bound at every event, reset each midnight; one running
+    sum per bound over the same ordered rows, then unpivoted."""
+    from pyspark.sql import functions as F
+
+    from ..operators.scan import running_sum_by
+    ev = spark.table("events").select(F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("job"), "value", F.to_date("ts").alias("_day"))
+    counts = {f"c{i}": (F.col("value") <= F.lit(b)).cast("double") for i, b in enumerate(DURATION_BOUNDS)}
+    r = running_sum_by(ev, ["job", "_day"], "seq", counts, include_current=True)
+    pairs = F.array(*[F.struct(F.lit(b).alias("le"), F.col(f"c{i}").alias("value")) for i, b in enumerate(DURATION_BOUNDS)])
+    return r.drop("value").select("seq", "ts", "job", F.inline(pairs))
+
+
 def _repo_files(spark: SparkSession) -> DataFrame:
     """``repo_files``: three files per repository (one missing pytest.ini in five), via explode."""
     from pyspark.sql import functions as F
@@ -123,7 +136,7 @@ def _repo_files(spark: SparkSession) -> DataFrame:
 
 # Views whose Spark form is built with DataFrame operators (same rows as the SQL text).
 SPARK_BUILT = {"counter_samples": _counter_samples, "commit_files": _commit_files,
-               "duration_buckets": _duration_buckets, "repo_files": _repo_files}
+               "duration_buckets": _duration_buckets, "bucket_samples": _bucket_samples, "repo_files": _repo_files}
 
 
 class Tables:

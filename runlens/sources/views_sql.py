@@ -136,6 +136,13 @@ select event_id as seq, ts, event_type as job, 'host-' || cast(user_id % 4 as st
 from events
 """
 
+VIEWS["bucket_samples"] = """
+select event_id as seq, ts, event_type as job, b.le, cast(sum(case when value <= b.le then 1 else 0 end) over (partition by event_type, b.le, cast(ts as date) order by event_id
+  rows between unbounded preceding and current row) as double) as value
+from events cross join (select 5e0 as le union all select 10e0 union all select 25e0 union all select 50e0 union all select 100e0
+  union all select 250e0 union all select cast('Infinity' as double)) b
+"""
+
 VIEWS["duration_buckets"] = """
 select cast(m.timestamp as date) as day, b.le, cast(count(case when m.metric_value <= b.le then 1 end) as double) as cum_count
 from metrics m cross join (select 5e0 as le union all select 10e0 union all select 25e0 union all select 50e0 union all select 100e0
@@ -173,7 +180,7 @@ from events
 
 VIEWS["poll_responses"] = """
 select event_id as poll_id, ts, case event_id % 7 when 0 then '{}' when 1 then '[]' when 2 then '{"workflow_runs":5}' when 3 then 'not json'
-  when 4 then '{"workflow_runs":[]}' else '{"workflow_runs":[{"id":' || cast(event_id as string) || ',"name":"ci","status":"completed","conclusion":"success"},{"name":"no id"},{"id":'
+  when 4 then '{"workflow_runs":' || case event_id % 5 when 0 then '[]' when 1 then '0' when 2 then '""' when 3 then '{}' else '7' end || '}' else '{"workflow_runs":[{"id":' || cast(event_id as string) || ',"name":"ci","status":"completed","conclusion":"success"},{"name":"no id"},{"id":'
   || cast(event_id + 1 as string) || ',"status":"in_progress","conclusion":null}]}' end as raw
 from events
 """

@@ -35,7 +35,7 @@ def test_asof_join_brute_force(spark, sf):
     t = tables(spark, sf)
     attrs = V.run_attributes(t.run_events)
     fails = t.failure_logs.select(F.col("id").alias("log_id"), "run_id", "created_at")
-    got = {r.log_id: r.head_sha for r in V.last_good_run_asof(fails, attrs, chunk_micros=3_600_000_000).collect()}
+    got = {r.log_id: r.head_sha for r in V.last_good_run_asof(fails, attrs, parts=7).collect()}
     a = {r.run_id: r for r in attrs.collect()}
     goods = [r for r in a.values() if r.event == "push" and r.conclusion == "success"]
     for f in fails.collect():
@@ -61,11 +61,16 @@ def test_poll_ingest_malformed_inputs(spark):
     from runlens.sources import ingest as I
     raws = ['[{"workflow_runs":[{"id":1}]}]', '{"workflow_runs":[1, "x", {"id":0}, {"id":null}, {"id":5}, [7]]}',
             '{"workflow_runs":{"id":3}}', 'null', '', 'not json', '{"workflow_runs":[]}', '{}']
+    falsy = ['{"workflow_runs":0}', '{"a":1,"workflow_runs": -0.0 ,"b":2}', '{"workflow_runs":""}', '{"workflow_runs":{ }}', '{"workflow_runs":false}', '{"workflow_runs":null}']
+    truthy = ['{"workflow_runs":7}', '{"workflow_runs":"0"}', '{"workflow_runs":true}', '{"workflow_runs":0.5}']
     df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "poll_id long, raw string")
     assert sorted((r.poll_id, r.id) for r in I.poll_ingest(df).collect()) == [(1, 0), (1, 5)]
     assert sorted((r.poll_id, r.id) for r in I.poll_ingest(df, drop_falsy_ids=True).collect()) == [(1, 5)]
     s = I.poll_ingest_summary(df).first()
-    assert (s.responses, s.malformed_responses, s.runs_kept, s.runs_dropped) == (8, 6, 2, 4)
+    assert (s.responses, s.malformed_responses, s.runs_kept, s.runs_dropped) == (8, 5, 2, 4)
+    more = spark.createDataFrame(list(enumerate(falsy + truthy)), "poll_id long, raw string")
+    s = I.poll_ingest_summary(more).first()
+    assert (s.responses, s.malformed_responses, s.runs_kept, s.runs_dropped) == (10, 4, 0, 0)
 
 
 def test_first_observation_by_status_reprocesses_concluded_runs(spark):

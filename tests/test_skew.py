@@ -77,3 +77,39 @@ def test_hot_series_rate_exact(spark):
             inc += b if b < a else b - a
         key = (end // 60) if end < 3600 else 60
         assert abs(got[key] - inc) < 1e-9, end
+
+
+def test_history_and_asof_are_dealt_out_by_rows(spark):
+    """One repository and one day hold 90 % of the runs and failures; results equal plain windows."""
+    import datetime
+
+    from pyspark.sql.window import Window
+
+    from runlens.operators import ml as ML
+    from runlens.operators import vcs as V
+    from runlens.operators.scan import ranges
+    rnd, day = random.Random(8), datetime.datetime(2024, 1, 5)
+    rows = []
+    for i in range(4000):
+        hot = rnd.random() < .9
+        at = day + datetime.timedelta(seconds=rnd.randrange(3600)) if hot else day + datetime.timedelta(days=rnd.randrange(1, 30))
+        rows.append((str(i), i, "org/hot" if hot else f"org/{rnd.randrange(9)}", at, at, at + datetime.timedelta(seconds=rnd.randrange(900)) if i % 3 else None,
+                     rnd.choice(["success", "failure", None]), "push" if i % 2 else "pull_request", f"{i:040d}"))
+    df = spark.createDataFrame(rows, "run_id string, id long, repo string, created_at timestamp_ntz, started_at timestamp_ntz, "
+                                     "completed_at timestamp_ntz, conclusion string, event string, head_sha string").persist()
+    w = Window.partitionBy("repo").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    failed = F.coalesce(F.sum((F.col("conclusion") == "failure").cast("int")).over(w), F.lit(0))
+    assert sorted(map(tuple, ML.previous_failures(df).select("run_id", "previous_failures").collect())) == \
+        sorted(map(tuple, df.select("run_id", failed).collect()))
+    took = F.when(F.col("completed_at").isNotNull(), F.unix_micros(F.col("completed_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp")))
+    mean = F.coalesce(F.sum(took).over(w) / F.count(took).over(w) / 1e6, F.lit(300.0))
+    assert sorted(map(tuple, ML.build_duration_avg(df).select("run_id", "build_duration_avg").collect())) == \
+        sorted(map(tuple, df.select("run_id", mean).collect()))
+    fails = df.where("conclusion = 'failure'").select(F.col("id").alias("log_id"), "run_id", "created_at")
+    got = {r.log_id: r.head_sha for r in V.last_good_run_asof(fails, df).collect()}
+    good = [r for r in rows if r[6] == "success" and r[7] == "push"]
+    for r in rnd.sample([r for r in rows if r[6] == "failure"], 200):
+        before = [g for g in good if g[2] == r[2] and g[3] < r[3]]
+        assert got[r[1]] == (max(before, key=lambda g: (g[3], g[1]))[8] if before else None)
+    sizes = sorted(r["count"] for r in ranges(df, ["repo"], ["created_at", "id"], 8).groupBy("_part").count().collect())
+    assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[4]
