@@ -48,8 +48,8 @@ def verify_signature(payload: Column, signature: Column, secret: str) -> Column:
     return (sig != "") & (sig == signature_of(payload, secret))
 
 
-# Keyword at an ASCII word boundary; the same text runs in Java regex and in RE2.
-_EDGE_L = r"(\A|[^A-Za-z0-9_])"
+# Keyword at an ASCII word boundary or after an underscore; the same text runs in Java regex and in RE2.
+_EDGE_L = r"(\A|[^A-Za-z0-9])"
 _EDGE_R = r"([^A-Za-z0-9_]|\z)"
 
 
@@ -57,21 +57,19 @@ def keyword_pattern(kw: str) -> str:
     return f"(?i){_EDGE_L}{kw}{_EDGE_R}"
 
 
-def assignment_pattern() -> str:
-    """``<keyword> = value`` / ``<keyword>: "value"`` with the value to mask."""
-    kws = "|".join(SECRET_KEYWORDS)
-    return rf'(?i){_EDGE_L}({kws})(\s*[=:]\s*)"?[^\s"]+"?'
+# A value to mask: a quoted one as a whole (to its closing quote on the line, over escaped ones), else up to a blank.
+_VALUE = (r"""(?:"[^"\\\r\n]+(?:\\[^\r\n][^"\\\r\n]*)*"|"(?:\\[^\r\n][^"\\\r\n]*)+"|"""
+          r"""'[^'\\\r\n]+(?:\\[^\r\n][^'\\\r\n]*)*'|"?[^ \t\n\f\r"]+"?)""")
 
 
-# The Spark side masks more than ``assignment_pattern``, which the SQL holds: a quoted value as a whole
-# (to its closing quote on the line, over escaped ones), a quoted keyword, one after an underscore.
-_VALUE = r"""(?:"[^"\\\r\n]++(?:\\.[^"\\\r\n]*+)*+"|"(?:\\.[^"\\\r\n]*+)++"|'[^'\\\r\n]++(?:\\.[^'\\\r\n]*+)*+'|"?[^\s"]+"?)"""
+def masked_pattern(possessive: bool = True) -> str:
+    """``<keyword> = value`` / ``"<keyword>": "a value"`` / ``DB_<keyword>='a value'`` with the value to mask.
 
-
-def masked_pattern() -> str:
-    """``<keyword> = value`` / ``"<keyword>": "a value"`` / ``DB_<keyword>='a value'`` with the value to mask."""
-    kws = "|".join(SECRET_KEYWORDS)
-    return rf"""(?i)(\A|[^A-Za-z0-9])({kws})(["']?\s*[=:]\s*){_VALUE}"""
+    A quoted value's repeats are ``possessive`` for Java's engine, which else backs up over long values; an engine that
+    never backs up (RE2) has no such marks and matches the same."""
+    value = _VALUE.replace("]+(", "]++(").replace("]*)*", "]*+)*+").replace("]*)+", "]*+)++") if possessive else _VALUE
+    blank = r"[ \t\n\f\r]*"
+    return rf"""(?i)(\A|[^A-Za-z0-9])({"|".join(SECRET_KEYWORDS)})(["']?{blank}[=:]{blank}){value}"""
 
 
 # A case-insensitive pattern that starts with an alternation gives the regex engine no literal

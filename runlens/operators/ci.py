@@ -60,7 +60,7 @@ def flaky_tests(history: DataFrame) -> DataFrame:
 
 def assemble_logs(steps: DataFrame, url_prefix: str = "https://example.com/runs/") -> DataFrame:
     """the text log of each run: per job a header with its conclusion, per step a name line,
-    a status line and a failure marker, then the logs URL; jobs by name, steps by number.
+    a status line and a failure marker, then the logs URL; jobs in the order in which they ran (by their first step), steps by number.
 
     Two aggregation levels: steps -> job text (per run and job), jobs -> run text. Only the
     pieces of one run meet in one group; a run's size is bounded by its workflow definition.
@@ -69,12 +69,12 @@ def assemble_logs(steps: DataFrame, url_prefix: str = "https://example.com/runs/
     piece = F.concat(F.lit("\n--- Step: "), F.col("step_name"), F.lit(" ---\nStatus: "), status,
                      F.when(F.col("conclusion") == "failure", F.lit("\n✗ FAILED")).otherwise(F.lit("")))
     jobs = steps.groupBy("run_id", "job_name").agg(
-        F.first("job_conclusion").alias("job_conclusion"),
+        F.first("job_conclusion").alias("job_conclusion"), F.min("seq").alias("began"),
         F.array_sort(F.collect_list(F.struct("step_no", piece.alias("piece")))).alias("ps"))
-    jobs = jobs.select("run_id", "job_name", F.concat(
+    jobs = jobs.select("run_id", "began", "job_name", F.concat(
         F.lit("\n=== Job: "), F.col("job_name"), F.lit(" (Status: "), F.coalesce("job_conclusion", F.lit("None")),
         F.lit(") ===\n\n"), F.array_join(F.transform("ps", lambda x: x["piece"]), "\n")).alias("text"))
-    runs = jobs.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("job_name", "text"))).alias("js"))
+    runs = jobs.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("began", "job_name", "text"))).alias("js"))
     return runs.select("run_id", F.concat(
         F.array_join(F.transform("js", lambda x: x["text"]), "\n"),
         F.lit("\n\nLogs URL: "), F.lit(url_prefix), F.col("run_id"), F.lit("/logs")).alias("logs"))

@@ -10,10 +10,12 @@ into a broadcast join only when the measured file table is under the broadcast t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.classify import HEALABLE_TYPES
 from ..functions.regex import java_regex
 
 # File names, rewrite patterns and texts the strategies use.
@@ -29,6 +31,7 @@ RERUNS_NEW_FILE = "[pytest]\naddopts = --reruns 3 --reruns-delay 1\n"
 WORKFLOW_TIMEOUT_PATTERN = r"timeout-minutes:\s*\d+"
 WORKFLOW_TIMEOUT_VALUE = "timeout-minutes: 60"
 HEAL_THRESHOLD = 0.70
+# Weights of the healing features and of the risk score and prior.
 SEVERITY_WEIGHTS = [("critical", 1.0), ("high", 0.8), ("medium", 0.5)]
 SEVERITY_WEIGHT_DEFAULT = 0.3
 HEALING_FEATURE_CONSTANT = 0.8
@@ -118,9 +121,99 @@ def repo_context(files: DataFrame, last_good: DataFrame) -> DataFrame:
     return files.join(g, "repo", "full_outer")
 
 
-def plan_healing(analysis: DataFrame, context: DataFrame, rates: DataFrame | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Rule:
+    """One outcome of a strategy. ``when`` is None in a strategy's last rule, which takes what is left."""
+    when: Column | None
+    success: bool
+    details: Column | str
+    changes: list[Column | str] = field(default_factory=list)
+
+
+class Facts:
+    """What a strategy may look at: an analysed failure and its repository's files, as columns."""
+
+    def __init__(self):
+        self.package, self.message, self.test = F.col("missing_package"), F.lower(F.col("error_message")), F.coalesce("test_name", F.lit("None"))
+        self.requirements = F.coalesce(F.col("requirements"), F.lit(""))
+        self.pytest_ini, self.workflow, self.rollback_sha = F.col("pytest_ini"), F.col("workflow"), F.col("rollback_sha")
+
+
+Strategy = Callable[[Facts], list[Rule]]
+
+
+def add_package(f: Facts) -> list[Rule]:
+    return [Rule(F.coalesce(f.package, F.lit("")) == "", False, "Could not identify missing package"),
+            Rule(f.requirements.contains(f.package), False, F.concat(f.package, F.lit(" already in requirements.txt"))),
+            Rule(None, True, F.concat(F.lit("Added "), f.package, F.lit(" to requirements.txt")),
+                 [F.concat(F.lit("requirements.txt: +"), f.package)])]
+
+
+def raise_test_timeout(f: Facts) -> list[Rule]:
+    return [Rule(f.pytest_ini.isNotNull(), True, F.concat(F.lit("Increased timeout to 300s for "), f.test), ["pytest.ini: timeout = 300"]),
+            Rule(None, True, "Created pytest.ini with 300s timeout", ["pytest.ini: created with timeout = 300"])]
+
+
+def retry_flaky_test(f: Facts) -> list[Rule]:
+    return [Rule(None, True, "Added retry logic (3 retries) for flaky tests", ["requirements.txt: +pytest-rerunfailures", "pytest.ini: --reruns 3"])]
+
+
+def mend_build(f: Facts) -> list[Rule]:
+    return [Rule(f.message.contains("cache"), True, "Cache cleared, workflow will be re-triggered", ["cache: cleared"]),
+            Rule(f.message.contains("permission denied"), False, "Permission error requires manual intervention"),
+            Rule(None, False, "Build failure type not recognized")]
+
+
+def roll_back(f: Facts) -> list[Rule]:
+    return [Rule(f.rollback_sha.isNotNull(), True, F.concat(F.lit("Rolled back to commit "), f.rollback_sha),
+                 [F.concat(F.lit("deployment: reverted to "), f.rollback_sha)]),
+            Rule(None, False, "No previous successful deployment found")]
+
+
+def raise_limits(f: Facts) -> list[Rule]:
+    return [Rule(f.workflow.isNotNull(), True, "Increased workflow timeout to 60 minutes", ["workflow: timeout-minutes = 60"]),
+            Rule(None, False, f"Could not update workflow: {WORKFLOW} not found")]
+
+
+def retry_network(f: Facts) -> list[Rule]:
+    return [Rule(None, True, "Added retry-capable HTTP libraries", ["requirements.txt: +requests", "Suggested: Implement retry logic in code"])]
+
+
+#: 2.12: the strategy of each error type; a caller's own types are added with ``with_strategy``.
+STRATEGIES: dict[str, Strategy] = {
+    "missing_dependency": add_package,
+    "test_timeout": raise_test_timeout,
+    "flaky_test": retry_flaky_test,
+    "build_failure": mend_build,
+    "deployment_crash": roll_back,
+    "resource_limit": raise_limits,
+    "network_timeout": retry_network,
+}
+
+
+def with_strategy(error_type: str, strategy: Strategy, strategies: dict[str, Strategy] = STRATEGIES) -> dict[str, Strategy]:
+    """``strategies`` and one more, or another for a type they have; theirs stay as they are."""
+    if not error_type:
+        raise ValueError("a strategy needs an error type")
+    return {**strategies, error_type: strategy}
+
+
+def _rules(strategies: dict[str, Strategy]) -> list[tuple[str, Rule]]:
+    """All rules with their type, checked: each strategy has rules, and its last one and no other is unconditional."""
+    out = []
+    for kind, strategy in strategies.items():
+        rules = strategy(Facts())
+        if not rules or [r.when is None for r in rules] != [False] * (len(rules) - 1) + [True]:
+            raise ValueError(f"the strategy of {kind} must end with its only rule without a condition")
+        out += [(kind, r) for r in rules]
+    return out
+
+
+def plan_healing(analysis: DataFrame, context: DataFrame, rates: DataFrame | None = None,
+                 strategies: dict[str, Strategy] = STRATEGIES) -> DataFrame:
     """F8: the plan of every analysed failure (``log_id, run_id, repo, error_type, error_message,
-    missing_package, test_name``): success, action type, details and changes.
+    missing_package, test_name``): success, action type, details and changes, from one chain over the rules of all
+    ``strategies``; a type without one is not healed.
 
     ``context`` is ``repo_context`` (files + rollback target per repository). With ``rates``
     (``action_type, heal_probability``) the gate decision (P10) is added in the same pass, so
@@ -132,53 +225,22 @@ def plan_healing(analysis: DataFrame, context: DataFrame, rates: DataFrame | Non
         j = j.join(rates, j["error_type"] == rates["action_type"], "left").drop("action_type")
         p = F.col("heal_probability")
         extra = [p, F.when(p.isNotNull() & (p > HEAL_THRESHOLD), "heal").otherwise("notify").alias("decision")]
-    et, pkg, msg = F.col("error_type"), F.col("missing_package"), F.lower(F.col("error_message"))
-    req = F.coalesce(F.col("requirements"), F.lit(""))
-    test = F.coalesce(F.col("test_name"), F.lit("None"))
-    arr = lambda *xs: F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs])
-    empty = F.array().cast("array<string>")
-    rules = [
-        (~et.isin(HEALABLE_TYPES), F.lit(False), F.concat(F.lit("No healing strategy for "), et), empty),
-        ((et == "missing_dependency") & (F.coalesce(pkg, F.lit("")) == ""), F.lit(False),
-         F.lit("Could not identify missing package"), empty),
-        ((et == "missing_dependency") & req.contains(pkg), F.lit(False),
-         F.concat(pkg, F.lit(" already in requirements.txt")), empty),
-        (et == "missing_dependency", F.lit(True), F.concat(F.lit("Added "), pkg, F.lit(" to requirements.txt")),
-         arr(F.concat(F.lit("requirements.txt: +"), pkg))),
-        ((et == "test_timeout") & F.col("pytest_ini").isNotNull(), F.lit(True),
-         F.concat(F.lit("Increased timeout to 300s for "), test), arr("pytest.ini: timeout = 300")),
-        (et == "test_timeout", F.lit(True), F.lit("Created pytest.ini with 300s timeout"),
-         arr("pytest.ini: created with timeout = 300")),
-        (et == "flaky_test", F.lit(True), F.lit("Added retry logic (3 retries) for flaky tests"),
-         arr("requirements.txt: +pytest-rerunfailures", "pytest.ini: --reruns 3")),
-        ((et == "build_failure") & msg.contains("cache"), F.lit(True),
-         F.lit("Cache cleared, workflow will be re-triggered"), arr("cache: cleared")),
-        ((et == "build_failure") & msg.contains("permission denied"), F.lit(False),
-         F.lit("Permission error requires manual intervention"), empty),
-        (et == "build_failure", F.lit(False), F.lit("Build failure type not recognized"), empty),
-        ((et == "deployment_crash") & F.col("rollback_sha").isNotNull(), F.lit(True),
-         F.concat(F.lit("Rolled back to commit "), F.col("rollback_sha")),
-         arr(F.concat(F.lit("deployment: reverted to "), F.col("rollback_sha")))),
-        (et == "deployment_crash", F.lit(False), F.lit("No previous successful deployment found"), empty),
-        ((et == "resource_limit") & F.col("workflow").isNotNull(), F.lit(True),
-         F.lit("Increased workflow timeout to 60 minutes"), arr("workflow: timeout-minutes = 60")),
-        (et == "resource_limit", F.lit(False), F.lit(f"Could not update workflow: {WORKFLOW} not found"), empty),
-        (et == "network_timeout", F.lit(True), F.lit("Added retry-capable HTTP libraries"),
-         arr("requirements.txt: +requests", "Suggested: Implement retry logic in code")),
-    ]
-
-    def chain(i: int) -> Column:
-        out = None
-        for cond, *vals in rules:
-            out = F.when(cond, vals[i]) if out is None else out.when(cond, vals[i])
-        return out
+    et, rules = F.col("error_type"), _rules(strategies)
+    lit = lambda x: F.lit(x) if isinstance(x, str) else x
+
+    def chain(value: Callable[[Rule], Column], otherwise: Column) -> Column:
+        out = F.when(F.lit(False), otherwise)
+        for kind, r in rules:
+            out = out.when((et == kind) if r.when is None else (et == kind) & r.when, value(r))
+        return out.otherwise(otherwise)
 
+    none = F.array().cast("array<string>")
     return j.select(
         "log_id", "run_id", "repo", "error_type",
-        chain(0).alias("success"),
-        F.when(et.isin(HEALABLE_TYPES), et).otherwise(F.lit("none")).alias("action_type"),
-        chain(1).alias("details"),
-        chain(2).alias("changes_made"),
+        chain(lambda r: F.lit(r.success), F.lit(False)).alias("success"),
+        F.when(et.isin(list(strategies)), et).otherwise(F.lit("none")).alias("action_type"),
+        chain(lambda r: lit(r.details), F.concat(F.lit("No healing strategy for "), et)).alias("details"),
+        chain(lambda r: F.array(*[lit(c) for c in r.changes]) if r.changes else none, none).alias("changes_made"),
         *extra,
     )
 
@@ -194,6 +256,18 @@ def rewrite_requirements(content: Column, package: Column) -> Column:
     return F.when(cur.contains(package), cur).otherwise(added)
 
 
+#: Packages that a strategy adds besides the missing one.
+STRATEGY_PACKAGES = {"flaky_test": ["pytest-rerunfailures"], "network_timeout": ["requests", "urllib3"]}
+
+
+def added_packages() -> Column:
+    """the packages that a failure's strategy puts into the requirements, in order."""
+    out = F.when((F.col("error_type") == "missing_dependency") & (F.coalesce("missing_package", F.lit("")) != ""), F.array("missing_package"))
+    for kind, packages in STRATEGY_PACKAGES.items():
+        out = out.when(F.col("error_type") == kind, F.array(*[F.lit(p) for p in packages]))
+    return out.otherwise(F.array().cast("array<string>"))
+
+
 def rewrite_pytest_timeout(content: Column) -> Column:
     """set every ``timeout = N`` to 300, or append a section; a missing file is created."""
     replaced = F.regexp_replace(content, java_regex(PYTEST_TIMEOUT_PATTERN), PYTEST_TIMEOUT_VALUE)

@@ -9,11 +9,12 @@ large share of the events is reduced in every task before the shuffle.
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scan import lag_by
+from .scan import lag_by, running
 
 DEFAULT_AS_OF = "2024-02-10 00:00:00"
 
@@ -129,18 +130,17 @@ def first_action_per_run(actions: DataFrame) -> DataFrame:
 def recent_runs(runs: DataFrame, actions: DataFrame, limit: int = 10) -> DataFrame:
     """Newest ``limit`` runs with their first healing action's outcome.
 
-    The top-k runs are taken first (a bounded, ``limit``-row result), so only actions of those
-    runs are aggregated: the semi join against the k ids is a broadcast of k rows.
+    The top-k runs meet the actions in one join, and their first action comes from the aggregate over its
+    ``limit`` groups; the join is a broadcast only if Spark measures the k rows as small enough.
     """
     top = runs.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
-    acts = actions.join(F.broadcast(top.select("run_id")), "run_id", "left_semi")
-    first = first_action_per_run(acts)
-    j = top.join(first, "run_id", "left")
+    acts = actions.select("run_id", F.struct(F.col("id").alias("action_id"), "success").alias("_a"))
+    j = top.join(acts, "run_id", "left").groupBy(*RUN_COLUMNS).agg(F.min("_a").alias("_a"))
     return j.select(
         *RUN_COLUMNS,
         F.lit(False).alias("failure_predicted"),
-        F.col("action_id").isNotNull().alias("healing_attempted"),
-        F.coalesce(F.col("success"), F.lit(False)).alias("healing_successful"),
+        F.col("_a").isNotNull().alias("healing_attempted"),
+        F.coalesce(F.col("_a.success"), F.lit(False)).alias("healing_successful"),
     )
 
 
@@ -150,7 +150,7 @@ def failure_patterns_report(failure_logs: DataFrame, actions: DataFrame, as_of:
 
     The correlated "success of the run's action" is decorrelated into a join to the first
     action per run (an aggregate, one row per run), then a grouped average; failures whose run
-    has no action do not count in the average, and no action at all gives 0.
+    has no action do not count in the average, and no action at all gives 0. The most frequent type is first.
     """
     recent = failure_logs.filter(F.col("created_at") >= cutoff(as_of, days=days))
     first = first_action_per_run(actions).select("run_id", F.col("success").cast("double").alias("ok"))
@@ -158,7 +158,7 @@ def failure_patterns_report(failure_logs: DataFrame, actions: DataFrame, as_of:
     return j.groupBy("error_type").agg(
         F.count(F.lit(1)).alias("count"),
         (F.coalesce(F.avg("ok"), F.lit(0.0)) * 100).alias("healing_success_rate"),
-    )
+    ).orderBy(F.desc("count"), "error_type")
 
 
 def healing_history(runs: DataFrame, failure_logs: DataFrame, actions: DataFrame) -> DataFrame:
@@ -188,6 +188,27 @@ def healing_history_rows(runs: DataFrame, failure_logs: DataFrame, actions: Data
     return runs.select("run_id").join(f.unionByName(a), "run_id", "inner")
 
 
+def history_pages(runs: DataFrame, failure_logs: DataFrame, actions: DataFrame, page: int = 100, run_id: str | None = None) -> DataFrame:
+    """J3 with all children: one row per run and page, with the run, and its failures and actions of that page as
+    lists of whole rows by id. A list holds ``page`` children at most, however many a run has (children are
+    numbered by rows, so a run with very many is spread over tasks); a run without any has one page of empty lists.
+    With ``run_id``, of that run only; an unknown run gives no row."""
+    if run_id is not None:
+        runs, failure_logs, actions = (df.where(F.col("run_id") == F.lit(str(run_id))) for df in (runs, failure_logs, actions))
+
+    def paged(children: DataFrame, name: str) -> DataFrame:
+        n = running(children, ["run_id"], ["id"], sums={"_n": F.lit(1).cast("bigint")})
+        row = F.struct("id", *[c for c in children.columns if c != "id"])
+        return n.groupBy("run_id", F.floor(F.col("_n") / page).alias("page")).agg(F.array_sort(F.collect_list(row)).alias(name))
+
+    f, a = paged(failure_logs, "failures"), paged(actions, "healing_actions")
+    numbers = f.select("run_id", "page").unionByName(a.select("run_id", "page")).unionByName(
+        runs.select("run_id", F.lit(0).cast("bigint").alias("page"))).distinct()
+    j = runs.join(numbers, "run_id").join(f, ["run_id", "page"], "left").join(a, ["run_id", "page"], "left")
+    none = lambda name, df: F.coalesce(name, F.array().cast(df.schema[name].dataType))
+    return j.select(*RUN_COLUMNS, "page", none("failures", f).alias("failures"), none("healing_actions", a).alias("healing_actions"))
+
+
 def unhealed_failures(runs: DataFrame, actions: DataFrame) -> DataFrame:
     """Failed runs with no healing action (anti join)."""
     failed = runs.filter(F.col("conclusion") == "failure")
@@ -288,7 +309,37 @@ def iso_ts(c: Column) -> Column:
             .otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
 
 
+def as_json(row: dict[str, Column]) -> Column:
+    """One JSON object, nulls kept as null."""
+    return F.to_json(F.struct(*[c.alias(name) for name, c in row.items()]), {"ignoreNullFields": "false"})
+
+
+#: Columns of the four tables in the order they are serialised.
+SERIALIZED = {
+    "runs": RUN_COLUMNS,
+    "failure_logs": ["id", "run_id", "error_type", "error_message", "stack_trace", "severity", "created_at"],
+    "healing_actions": ["id", "run_id", "action_type", "success", "details", "changes_made", "created_at"],
+    "metrics": ["id", "run_id", "metric_name", "metric_value", "timestamp"],
+}
+
+
+def serialized(table: str, column: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    """A row's fields as they are serialised: ISO-8601 times, an action's details as JSON and its changes as a list."""
+    shape = {"details": lambda c: F.try_parse_json(c), "changes_made": lambda c: F.coalesce(c, F.array().cast("array<string>"))}
+    return {name: iso_ts(column(name)) if name.endswith("_at") or name == "timestamp" else shape.get(name, lambda c: c)(column(name))
+            for name in SERIALIZED[table]}
+
+
+def serialize_rows(df: DataFrame, table: str) -> DataFrame:
+    """One JSON object per row of one of the four tables."""
+    return df.select("id", as_json(serialized(table)).alias("json"))
+
+
 def serialize_runs(runs: DataFrame) -> DataFrame:
-    """One JSON object per run, ISO-8601 times, nulls kept as null."""
-    s = F.struct(*[iso_ts(F.col(c)).alias(c) if c.endswith("_at") else F.col(c) for c in RUN_COLUMNS])
-    return runs.select("id", F.to_json(s, {"ignoreNullFields": "false"}).alias("json"))
+    """S13 for runs."""
+    return serialize_rows(runs, "runs")
+
+
+def get_row(df: DataFrame, key: str, value) -> DataFrame:
+    """The row of any of the four tables with this key; the filter is pushed to its scan."""
+    return df.filter(F.col(key) == F.lit(value))

@@ -31,13 +31,10 @@ def _tagged(runs: DataFrame, actions: DataFrame) -> DataFrame:
 def healing_stats_by_action(runs: DataFrame, actions: DataFrame, as_of: str = DEFAULT_AS_OF,
                             days: int = 30) -> DataFrame:
     """A1: failed runs (by run time) and healing actions (by action time) of the last ``days``."""
-    cut = cutoff(as_of, days=days)
-    recent = F.col("created_at") >= cut
-    g = _tagged(runs, actions).agg(
-        F.count_if((F.col("kind") == "run") & (F.col("conclusion") == "failure") & recent).alias("total_failures"),
-        F.count_if((F.col("kind") == "action") & recent).alias("healing_attempted"),
-        F.count_if((F.col("kind") == "action") & recent & F.col("success")).alias("healing_successful"),
-    )
+    recent = F.col("created_at") >= cutoff(as_of, days=days)
+    g = _tagged(runs.filter(recent & (F.col("conclusion") == "failure")), actions.filter(recent)).agg(
+        F.count_if(F.col("kind") == "run").alias("total_failures"), F.count_if(F.col("kind") == "action").alias("healing_attempted"),
+        F.count_if((F.col("kind") == "action") & F.col("success")).alias("healing_successful"))
     ok, att = F.col("healing_successful"), F.col("healing_attempted")
     return g.select(
         "total_failures", "healing_attempted", "healing_successful",

@@ -59,11 +59,9 @@ def latest_status_per_deployment(statuses: DataFrame) -> DataFrame:
 def deployment_status(deployments: DataFrame, statuses: DataFrame, limit: int = 5) -> DataFrame:
     """The ``limit`` newest deployments with their newest status (``unknown`` when none)."""
     top = deployments.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
-    st = statuses.join(F.broadcast(top.select(F.col("id").alias("deployment_id"))), "deployment_id", "left_semi")
-    latest = latest_status_per_deployment(st)
-    j = top.join(latest, top["id"] == latest["deployment_id"], "left")
-    return j.select("id", "environment", "ref", "created_at",
-                    F.coalesce("state", F.lit("unknown")).alias("status"), "description")
+    st = statuses.select("deployment_id", F.struct(F.col("created_at").alias("at"), F.col("id").alias("status_id"), "state", "description").alias("s"))
+    j = top.join(st, top["id"] == st["deployment_id"], "left").groupBy("id", "environment", "ref", "created_at").agg(F.max("s").alias("s"))
+    return j.select("id", "environment", "ref", "created_at", F.coalesce("s.state", F.lit("unknown")).alias("status"), "s.description")
 
 
 def run_attributes(run_events: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ from repo_files group by repo"""
 RUN_ATTRS = """select r.run_id, r.id, r.repo, r.conclusion, r.created_at, l.head_sha, l.event
 from pipeline_runs r join (select run_id, head_sha, event from (
   select *, row_number() over (partition by run_id order by seq desc) as rn from run_events) x where rn = 1) l on r.run_id = l.run_id"""
-HEALABLE = ", ".join(q(x) for x in H.HEALABLE_TYPES)
+HEALABLE = ", ".join(q(x) for x in H.STRATEGIES)
 
 
 def _plan_sql() -> str:
@@ -180,23 +180,27 @@ def notifications(spark, sf):
     return H.notifications(p).select("log_id", "run_id", "error_type", "heal_probability", "decision")
 
 
-STRIP = "regexp_replace(coalesce(fl.requirements, ''), '^\\s+|\\s+$', '', 'g')"
+def _added_sql(content: str, package: str) -> str:
+    """The requirements with a package at their end, unless its name is in them."""
+    stripped = f"regexp_replace({content}, '^\\s+|\\s+$', '', 'g')"
+    return f"""case when contains({content}, {package}) then {content}
+       else regexp_replace({stripped} || chr(10) || {package} || chr(10), '^\\n+', '') end"""
 
 
 @register("rewrite_requirements", f"""
-select a.log_id, a.repo, a.missing_package as package,
-  case when contains(coalesce(fl.requirements, ''), a.missing_package) then coalesce(fl.requirements, '')
-       else regexp_replace({STRIP} || chr(10) || a.missing_package || chr(10), '^\\n+', '') end as new_content
-from (select f.*, r.repo from failure_analysis f left join pipeline_runs r on f.run_id = r.run_id) a
-left join ({FILES}) fl on a.repo = fl.repo
-where a.error_type = 'missing_dependency' and coalesce(a.missing_package, '') <> ''""")
+select log_id, repo, array_to_string(packages, ',') as packages,
+  case when len(packages) > 1 then {_added_sql('first_content', 'packages[2]')} else first_content end as new_content
+from (select *, {_added_sql("coalesce(requirements, '')", 'packages[1]')} as first_content
+  from (select f.log_id, r.repo, fl.requirements, case when f.error_type = 'missing_dependency' then [f.missing_package]
+          when f.error_type = 'flaky_test' then ['pytest-rerunfailures'] when f.error_type = 'network_timeout' then ['requests', 'urllib3'] end as packages
+        from failure_analysis f left join pipeline_runs r on f.run_id = r.run_id left join ({FILES}) fl on r.repo = fl.repo
+        where f.error_type in ('flaky_test', 'network_timeout') or (f.error_type = 'missing_dependency' and coalesce(f.missing_package, '') <> '')) a) b""")
 def rewrite_requirements(spark, sf):
     t = tables(spark, sf)
-    a = _analysis_with_repo(t).filter((F.col("error_type") == "missing_dependency") &
-                                      (F.coalesce("missing_package", F.lit("")) != ""))
+    a = _analysis_with_repo(t).withColumn("packages", H.added_packages()).filter(F.size("packages") > 0)
     j = a.join(H.repo_file_pivot(t.repo_files), "repo", "left")
-    return j.select("log_id", "repo", F.col("missing_package").alias("package"),
-                    H.rewrite_requirements(F.col("requirements"), F.col("missing_package")).alias("new_content"))
+    content = F.aggregate("packages", F.coalesce("requirements", F.lit("")), H.rewrite_requirements)
+    return j.select("log_id", "repo", F.array_join("packages", ",").alias("packages"), content.alias("new_content"))
 
 
 @register("rewrite_pytest_timeout", f"""
@@ -263,8 +267,21 @@ def _kw_sql() -> str:
     return f"concat_ws(',', {parts})"
 
 
+def _signed(w):
+    """Deliveries with the signature header they came with: the right one, none, or one of another payload."""
+    n, right = F.col("delivery_id") % 4, SEC.signature_of(F.col("payload"), WEBHOOK_SECRET)
+    header = F.when(n == 1, "").when(n == 2, SEC.signature_of(F.concat("payload", F.lit(" ")), WEBHOOK_SECRET)).when(n == 3, F.upper(right)).otherwise(right)
+    return w.withColumn("signature", header)
+
+
+@register("webhook_verdict", "select delivery_id, delivery_id % 4 = 0 as accepted from webhooks")
+def webhook_verdict(spark, sf):
+    w = _signed(tables(spark, sf).webhooks)
+    return w.select("delivery_id", SEC.verify_signature(F.col("payload"), F.col("signature"), WEBHOOK_SECRET).alias("accepted"))
+
+
 @register("secret_scan", f"""
-select doc_id, {_kw_sql()} as keywords, len(regexp_extract_all(text, {q(SEC.assignment_pattern())})) as n_secrets from documents""")
+select doc_id, {_kw_sql()} as keywords, len(regexp_extract_all(text, {q(SEC.masked_pattern(possessive=False))})) as n_secrets from documents""")
 def secret_scan(spark, sf):
     d = tables(spark, sf).documents.select("doc_id", "text", F.lower("text").alias("_low"))
     t, low = F.col("text"), F.col("_low")
@@ -273,7 +290,7 @@ def secret_scan(spark, sf):
 
 
 @register("secret_redact", f"""
-select doc_id, regexp_replace(text, {q(SEC.assignment_pattern())}, '\\1\\2\\3***', 'g') as redacted from documents""")
+select doc_id, regexp_replace(text, {q(SEC.masked_pattern(possessive=False))}, '\\1\\2\\3***', 'g') as redacted from documents""")
 def secret_redact(spark, sf):
     d = tables(spark, sf).documents
     return d.select("doc_id", SEC.redact(F.col("text")).alias("redacted"))

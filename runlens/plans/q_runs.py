@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import runs as R
+from ..sources import ingest as I
 from ..sources.tables import tables
 from .registry import register
 
@@ -29,7 +30,12 @@ select run_id, status, conclusion, created_at, completed_at from pipeline_runs
 where run_id in (select run_id from failure_logs)""")
 def table_scan(spark, sf):
     t = tables(spark, sf)
-    return R.workflow_status(t.runs, t.failure_logs)
+    return R.workflow_status(t.runs, _log_ids(t))
+
+
+def _log_ids(t):
+    """Ids and runs of the failure logs: one per job log, so nothing needs to be analysed for them."""
+    return t.job_logs.select(F.col("log_id").alias("id"), "run_id")
 
 
 @register("active_runs", """
@@ -89,7 +95,7 @@ left join (select run_id, count(*) as n_actions, min(id) as first_action_id, max
            from healing_actions group by run_id) a on r.run_id = a.run_id""")
 def healing_history(spark, sf):
     t = tables(spark, sf)
-    return R.healing_history(t.runs, t.failure_logs, t.healing_actions)
+    return R.healing_history(t.runs, _log_ids(t), t.healing_actions)
 
 
 @register("healing_history_rows", """
@@ -135,7 +141,7 @@ select 'healing_actions' as child, id, run_id from healing_actions a where run_i
 def orphan_check(spark, sf):
     t = tables(spark, sf)
     recent = t.runs.filter(F.col("created_at") >= R.cutoff(AS_OF, days=30))
-    return R.orphan_check(recent, t.failure_logs, t.healing_actions)
+    return R.orphan_check(recent, _log_ids(t), t.healing_actions)
 
 
 @register("recent_failures", """
@@ -210,9 +216,60 @@ def _iso(c: str) -> str:
             f"else strftime({c}, '%Y-%m-%dT%H:%M:%S.%f') end")
 
 
-@register("row_serialize", f"""
-select id, to_json(struct_pack(id := id, run_id := run_id, repo := repo, status := status, conclusion := conclusion,
-  started_at := {_iso('started_at')}, completed_at := {_iso('completed_at')}, created_at := {_iso('created_at')}))::varchar as json
-from pipeline_runs""")
+def _row(table: str) -> str:
+    """A row of a table as a DuckDB struct, as it is serialised."""
+    shape = {"details": "details::json", "changes_made": "[]::varchar[]"}
+    return "struct_pack(" + ", ".join(f"{c} := " + (_iso(c) if c.endswith("_at") or c == "timestamp" else shape.get(c, c))
+                                      for c in R.SERIALIZED[table]) + ")"
+
+
+def _row_sql(table: str, source: str) -> str:
+    return f"select id, to_json({_row(table)})::varchar as json from {source}"
+
+
+@register("row_serialize", _row_sql("runs", "pipeline_runs"))
 def row_serialize(spark, sf):
     return R.serialize_runs(tables(spark, sf).runs)
+
+
+@register("row_serialize_failures", _row_sql("failure_logs", "failure_logs"))
+def row_serialize_failures(spark, sf):
+    return R.serialize_rows(tables(spark, sf).failure_logs, "failure_logs")
+
+
+def _actions(t):
+    return I.healing_action_appends(t.healing_actions)
+
+
+@register("row_serialize_actions", _row_sql("healing_actions", "healing_actions"))
+def row_serialize_actions(spark, sf):
+    return R.serialize_rows(_actions(tables(spark, sf)), "healing_actions")
+
+
+@register("row_serialize_metrics", _row_sql("metrics", "metrics"))
+def row_serialize_metrics(spark, sf):
+    return R.serialize_rows(tables(spark, sf).metrics, "metrics")
+
+
+def _pages_sql(page: int) -> str:
+    child = lambda table: (f"(select run_id, (row_number() over (partition by run_id order by id) - 1) // {page} as page, id, "
+                           f"{_row(table)} as r from {table})")
+    listed = lambda table: f"(select run_id, page, to_json(list(r order by id))::varchar as rows from {child(table)} c group by run_id, page)"
+    return f"""
+with f as {listed('failure_logs')}, a as {listed('healing_actions')},
+n as (select run_id, page from f union select run_id, page from a union select run_id, 0 from pipeline_runs)
+select n.run_id, n.page, to_json({_row('runs')})::varchar as run, coalesce(f.rows, '[]') as failures, coalesce(a.rows, '[]') as healing_actions
+from pipeline_runs r join n on n.run_id = r.run_id left join f on f.run_id = n.run_id and f.page = n.page left join a on a.run_id = n.run_id and a.page = n.page"""
+
+
+def _pages(p):
+    rows = lambda name, table: F.concat(F.lit("["), F.array_join(F.transform(name, lambda r: R.as_json(R.serialized(table, lambda c: r[c]))), ","), F.lit("]"))
+    return p.select("run_id", "page", R.as_json(R.serialized("runs")).alias("run"), rows("failures", "failure_logs").alias("failures"),
+                    rows("healing_actions", "healing_actions").alias("healing_actions"))
+
+
+@register("healing_history_pages", _pages_sql(100).replace("struct_pack(id := id, run_id := run_id, repo", "struct_pack(id := id, run_id := r.run_id, repo"))
+def healing_history_pages(spark, sf):
+    """J3 with all children, a hundred to a page."""
+    t = tables(spark, sf)
+    return _pages(R.history_pages(t.runs, t.failure_logs, _actions(t)))

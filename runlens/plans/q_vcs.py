@@ -126,12 +126,12 @@ def flaky_tests(spark, sf):
 
 @register("assemble_logs", """
 with jobs as (
-  select run_id, job_name,
+  select run_id, job_name, min(seq) as began,
     chr(10) || '=== Job: ' || job_name || ' (Status: ' || coalesce(first(job_conclusion), 'None') || ') ===' || chr(10) || chr(10) ||
     string_agg(chr(10) || '--- Step: ' || step_name || ' ---' || chr(10) || 'Status: ' || coalesce(conclusion, 'None') ||
                case when conclusion = 'failure' then chr(10) || '✗ FAILED' else '' end, chr(10) order by step_no) as text
   from steps group by run_id, job_name)
-select run_id, string_agg(text, chr(10) order by job_name) || chr(10) || chr(10) || 'Logs URL: https://example.com/runs/' || run_id || '/logs' as logs
+select run_id, string_agg(text, chr(10) order by began, job_name) || chr(10) || chr(10) || 'Logs URL: https://example.com/runs/' || run_id || '/logs' as logs
 from jobs group by run_id""")
 def assemble_logs(spark, sf):
     return CI.assemble_logs(tables(spark, sf).steps)

@@ -66,7 +66,7 @@ VIEWS["steps"] = """
 select seq, run_id, job_name, step_no, step_name, conclusion,
   case when max(case when conclusion = 'failure' then 1 else 0 end) over (partition by run_id, job_name) = 1 then 'failure' else 'success' end as job_conclusion, started_at
 from (select event_id as seq, cast(cast(floor(event_id / 20) as bigint) as string) as run_id,
-    'job-' || cast(cast(floor(event_id % 20 / 5) as bigint) as string) as job_name, event_id % 5 as step_no,
+    'job-' || cast(cast(floor(event_id % 20 / 5) as bigint) * 7 % 10 + 4 as string) as job_name, event_id % 5 as step_no,
     case event_id % 5 when 0 then 'Run unit Tests' when 1 then 'build' when 2 then 'pytest' when 3 then 'deploy' else 'integration TEST' end as step_name,
     case event_id % 7 when 0 then 'failure' when 1 then 'skipped' when 2 then 'cancelled' when 3 then null else 'success' end as conclusion, ts as started_at
   from events) s

@@ -1,4 +1,5 @@
-"""Classifier golden rows and a Python ``re`` brute force over the whole job_logs table."""
+"""Classification of logs written from the patterns, and a brute force over the whole job_logs table that lists
+every match and takes the first one in pattern order."""
 
 import re
 
@@ -8,16 +9,19 @@ from runlens.functions import classify as C
 from runlens.operators import classify_ops as K
 from runlens.sources.tables import tables
 
-NL = "\n"
-SAMPLES = [
-    ("missing_dependency", NL + "Traceback (most recent call last):" + NL + '  File "x.py", line 1' + NL
-     + "ModuleNotFoundError: No module named 'pandas'" + NL),
-    ("test_timeout", NL + "FAILED tests/test_slow.py::test_data_processing - Timeout" + NL + "Test exceeded 60s timeout" + NL),
-    ("test_failure", NL + "FAILED tests/test_api.py::test_user_creation" + NL
-     + "AssertionError: Expected status code 200 but got 404" + NL),
-    ("deployment_crash", NL + "Error: Deployment app-deployment crashed" + NL + "CrashLoopBackOff: back-off" + NL),
-    ("resource_limit", NL + "OOMKilled: Container exceeded memory limit (512Mi)" + NL),
-    ("network_timeout", NL + "ERROR: Connection timeout when connecting to registry" + NL + "dial tcp 1.2.3.4:443: i/o timeout" + NL),
+# category, log, matched text, first group ("" where the pattern has none)
+LOGS = [
+    ("missing_dependency", "step 4 of 9\nImportError: cannot import name \"quartz\" from basalt", 'ImportError: cannot import name "quartz"', "quartz"),
+    ("missing_dependency", "yarn note\nnpm err! 404  'left-mast' is not in the npm registry, sorry", "npm err! 404  'left-mast' is not in the npm registry", "left-mast"),
+    ("test_timeout", "suite orbit: Test exceeded 75s timeout, giving up", "Test exceeded 75s timeout", "75"),
+    ("test_failure", "error: assertion `depth > 3` failed at line 8", "error: assertion `depth > 3` failed", "depth > 3"),
+    ("build_failure", "make: *** [Makefile:12: kernel.o] Error 2\nstop", "make: *** [Makefile:12: kernel.o] Error 2", "2"),
+    ("deployment_crash", "probe 3 of 3\nHealth check failed on pod heron", "Health check failed", ""),
+    ("resource_limit", "runner 17 says: disk space full", "disk space full", ""),
+    ("network_timeout", "dial tcp 203.0.113.9:80: i/o timeout", "dial tcp 203.0.113.9:80: i/o timeout", ""),
+    ("configuration_error", "missing required field: no config given", "missing required field: no config", ""),
+    # two categories in one log: the one whose patterns come first counts, wherever it stands
+    ("build_failure", "Forbidden\nCompilation error near main", "Compilation error", ""),
 ]
 
 
@@ -25,50 +29,45 @@ def _logs(spark, texts):
     return spark.createDataFrame([(i, str(i), t) for i, t in enumerate(texts)], "log_id long, run_id string, logs string")
 
 
-def py_analyzer(text):
-    for cat, pats in C.ANALYZER_PATTERNS:
-        for p in pats:
-            m = re.search(p, text, re.IGNORECASE)
-            if m:
-                groups = m.group(1) if m.groups() else ""
-                diff = {c: d for c, d, *_ in C.PATTERN_DIM}[cat]
-                return cat, m.group(0), groups, diff
-    return "unknown", None, None, "hard"
-
-
-def py_engine(text):
-    out = {"error_type": "unknown", "error_message": "", "missing_package": None, "test_name": None}
-    for p, t in C.ENGINE_PATTERNS:
-        m = re.search(p, text, re.IGNORECASE)
-        if m:
-            out.update(error_type=t, error_message=m.group(0))
-            if t == "missing_dependency":
-                out["missing_package"] = m.group(1) if m.lastindex else None
-            elif t == "test_timeout":
-                out["test_name"] = m.group(1) if m.lastindex else None
-            break
-    st = re.search(C.STACK_TRACE_PATTERN, text, re.DOTALL)
-    out["stack_trace"] = st.group(0) if st else ""
-    return out
-
-
-def test_golden_samples(spark):
-    rows = K.identify_pattern(_logs(spark, [t for _, t in SAMPLES])).orderBy("log_id").collect()
-    assert [r.pattern_type for r in rows] == [k for k, _ in SAMPLES]
-    assert rows[0].matched_text == "ModuleNotFoundError: No module named 'pandas'" and rows[0].captured_groups == "pandas"
-    assert rows[1].captured_groups == "data_processing"  # greedy .* takes the last test_
-    assert rows[2].matched_text == "AssertionError: Expected status code 200 but got 404"
-    assert rows[3].matched_text == "Deployment app-deployment crashed" and rows[3].captured_groups == ""
-    assert rows[4].matched_text == "OOMKilled"
-    assert rows[5].matched_text == "Connection timeout"
+def first_of(patterns, text):
+    """(place in the list, match) of the least pattern that is found, from all that are."""
+    hits = {i: m for i, m in enumerate(re.search(p, text, re.I) for p in patterns) if m is not None}
+    return (min(hits), hits[min(hits)]) if hits else (None, None)
+
+
+ANALYZER = [(category, p) for category, patterns in C.ANALYZER_PATTERNS for p in patterns]
+DIFFICULTY = {row[0]: row[1] for row in C.PATTERN_DIM}
+
+
+def pattern_of(text):
+    i, m = first_of([p for _, p in ANALYZER], text)
+    if m is None:
+        return ("unknown", None, None, "hard")
+    return (ANALYZER[i][0], m[0], m[1] if m.re.groups else "", DIFFICULTY[ANALYZER[i][0]])
+
+
+def analysis_of(text):
+    i, m = first_of([p for p, _ in C.ENGINE_PATTERNS], text)
+    kind = "unknown" if m is None else C.ENGINE_PATTERNS[i][1]
+    group = m[1] if m is not None and m.re.groups else None
+    trace = re.search(C.STACK_TRACE_PATTERN, text, re.S)
+    return (kind, "" if m is None else m[0], group if kind == "missing_dependency" else None, group if kind == "test_timeout" else None,
+            trace[0] if trace else "")
+
+
+def test_logs_written_from_the_patterns(spark):
+    rows = K.identify_pattern(_logs(spark, [log for _, log, _, _ in LOGS])).orderBy("log_id").collect()
+    assert [(r.pattern_type, r.matched_text, r.captured_groups) for r in rows] == [(c, m, g) for c, _, m, g in LOGS]
+    assert [pattern_of(log)[:3] for _, log, _, _ in LOGS] == [(c, m, g) for c, _, m, g in LOGS]
 
 
 def test_batch_stats_and_top5(spark):
-    p = K.identify_pattern(_logs(spark, [t for _, t in SAMPLES]))
-    stats = {r.pattern_type: r for r in K.pattern_batch_stats(p).collect()}
-    assert len(stats) == 6 and all(r["count"] == 1 and abs(r.percentage - 100 / 6) < 1e-9 for r in stats.values())
+    p = K.identify_pattern(_logs(spark, [log for _, log, _, _ in LOGS]))
+    stats = {r.pattern_type: (r["count"], r.percentage) for r in K.pattern_batch_stats(p).collect()}
+    twice = {"missing_dependency", "build_failure"}
+    assert stats == {c: (2, 20.0) if c in twice else (1, 10.0) for c, _, _, _ in LOGS}
     top = K.most_common_patterns(p).orderBy("rank").collect()
-    assert [r.pattern_type for r in top] == [k for k, _ in SAMPLES][:5]
+    assert len(top) == 5 and {r.pattern_type for r in top[:2]} == twice
 
 
 def test_edge_rows(spark):
@@ -94,11 +93,9 @@ def test_brute_force_over_job_logs(spark, sf):
     got_a = {r.log_id: r for r in K.analyze_failure(t.job_logs).collect()}
     assert src, "fixture has failure logs"
     for i, text in src.items():
-        assert got_p[i] == py_analyzer(text or ""), i
-        e = py_engine(text or "")
+        assert got_p[i] == pattern_of(text or ""), i
         r = got_a[i]
-        assert (r.error_type, r.error_message, r.missing_package, r.test_name, r.stack_trace) == \
-               (e["error_type"], e["error_message"], e["missing_package"], e["test_name"], e["stack_trace"]), i
+        assert (r.error_type, r.error_message, r.missing_package, r.test_name, r.stack_trace) == analysis_of(text or ""), i
 
 
 def test_filter_on_error_type_keeps_single_regex_pass(spark, sf):

@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from runlens.operators import healing as H
@@ -51,7 +52,7 @@ def test_plan_rules(spark):
         want = c[8]
         r = got[i]
         assert (r.success, r.details, list(r.changes_made)) == want, (i, c[0])
-        assert r.action_type == (c[0] if c[0] in H.HEALABLE_TYPES else "none")
+        assert r.action_type == (c[0] if c[0] in H.STRATEGIES else "none")
 
 
 def py_requirements(content, pkg):
@@ -108,3 +109,37 @@ def test_percent_format_matches_python(spark):
     df = spark.createDataFrame([(v,) for v in vals], "p double")
     got = [r.s for r in df.select(H.percent_format(F.col("p")).alias("s")).collect()]
     assert got == [f"{v:.2%}" for v in vals]
+
+
+def test_strategies_are_a_registry(spark):
+    from runlens.functions.classify import HEALABLE_TYPES
+    assert list(H.STRATEGIES) == HEALABLE_TYPES  # what the analysis calls fixable
+    kinds = ["lint_failure", "lint_failure", "network_timeout", "other", None]
+    a = spark.createDataFrame([(i, str(i), "r", k, "two errors" if i else "one error", None, None) for i, k in enumerate(kinds)],
+                              "log_id long, run_id string, repo string, error_type string, error_message string, missing_package string, test_name string")
+    context = spark.createDataFrame([("r", None, None, None, None)], "repo string, requirements string, pytest_ini string, workflow string, rollback_sha string")
+    lint = lambda f: [H.Rule(f.message.contains("one"), True, "Formatted", ["format: run"]), H.Rule(None, False, f.message)]
+    more = H.with_strategy("lint_failure", lint)
+    got = [tuple(r) for r in H.plan_healing(a, context, strategies=more).orderBy("log_id").select("success", "action_type", "details", "changes_made").collect()]
+    assert got[0] == (True, "lint_failure", "Formatted", ["format: run"])
+    assert got[1] == (False, "lint_failure", "two errors", [])
+    assert got[2][:2] == (True, "network_timeout")
+    assert got[3] == (False, "none", "No healing strategy for other", [])
+    assert got[4][0] is False and got[4][3] == []
+    assert "lint_failure" not in H.STRATEGIES
+    plain = H.plan_healing(a, context).orderBy("log_id").collect()
+    assert plain[0].action_type == "none" and plain[0].details == "No healing strategy for lint_failure"
+    for bad in (lambda f: [], lambda f: [H.Rule(f.message == "x", True, "x")], lambda f: [H.Rule(None, True, "x"), H.Rule(None, False, "y")]):
+        with pytest.raises(ValueError):
+            H.plan_healing(a, context, strategies=H.with_strategy("lint_failure", bad))
+    with pytest.raises(ValueError):
+        H.with_strategy("", lint)
+
+
+def test_two_packages_are_added_one_after_the_other(spark):
+    a = spark.createDataFrame([("network_timeout", None, "requests==2"), ("network_timeout", None, None), ("flaky_test", None, "a\n\n"),
+                               ("missing_dependency", "b", "a"), ("missing_dependency", "", "a"), ("unknown", None, "a")],
+                              "error_type string, missing_package string, requirements string")
+    content = F.aggregate(H.added_packages(), F.coalesce("requirements", F.lit("")), H.rewrite_requirements)
+    assert [r[0] for r in a.select(content).collect()] == [
+        "requests==2\nurllib3\n", "requests\nurllib3\n", "a\npytest-rerunfailures\n", "a\nb\n", "a", "a"]

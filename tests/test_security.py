@@ -47,3 +47,21 @@ def test_redact_masks_whole_values(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, text string")
     got = {r.i: (r.red, r.n) for r in df.select("i", SEC.redact(F.col("text")).alias("red"), SEC.count_assignments(F.col("text")).alias("n")).collect()}
     assert got == {i: (want or text, int(want is not None)) for i, (text, want) in enumerate(cases)}
+
+
+def test_sql_twin_masks_the_same(spark):
+    """The pattern without Java's marks, in DuckDB, on texts that tell the two forms apart."""
+    import duckdb
+    texts = ['{"token": "abc"}', "DB_PASSWORD=hunter2", 'password="my secret pass"', "token = x", "secret: 'a b' c", r'api_key="a \" b" c',
+             'token="open value', 'password = ""', "mytoken=x", "token\t:\t'a\\\\' b", 'password="a\nb"', 'secret="\\n" x', "Token=ÄÖ ü", "token="]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = [tuple(r) for r in df.orderBy("i").select(SEC.redact(F.col("text")), SEC.count_assignments(F.col("text")),
+                                                     F.array_join(SEC.found_keywords(F.col("text")), ",")).collect()]
+    con = duckdb.connect()
+    con.execute("create table d (i int, text varchar)")
+    con.executemany("insert into d values (?, ?)", list(enumerate(texts)))
+    p = SEC.masked_pattern(possessive=False)
+    kw = "concat_ws(',', " + ", ".join(f"case when regexp_matches(text, '{SEC.keyword_pattern(k)}') then '{k}' end" for k in SEC.SECRET_KEYWORDS) + ")"
+    want = con.execute(f"select regexp_replace(text, ?, '\\1\\2\\3***', 'g'), len(regexp_extract_all(text, ?)), {kw} from d order by i", [p, p]).fetchall()
+    assert got == want
+    assert [r[1] for r in got[:4]] == [1, 1, 1, 1] and got[1] == ("DB_PASSWORD=***", 1, "password")
