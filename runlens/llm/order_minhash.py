@@ -22,8 +22,14 @@ the others the drawn members, having met all, leave, and the next round draws ag
 texts of different classes only. It ends when every bucket is done or has had all such pairs
 compared, so no link that would join two classes is lost, whatever the size of a bucket.
 
+The keys come in two stages: the exact ones and those of the ``first`` sketches, which join nearly every
+class, then all others, of which only buckets that hold more than one class by then are looked at. So the texts of
+a large group are compared in a few sketches and not in all of them.
+
 Scale: no bucket is gathered: drawing is a few minima per key with partial aggregation, pairs are
-a join on the key, and each pair's k-mers join to it afterwards. Text hashes are 64 bits.
+a join on the key that leaves out those of one class, and each pair's k-mers join to it afterwards. Labels are
+a table of the texts that have a link; a round's new links change it by a join with the components of the
+labels they connect. Text hashes are 64 bits.
 
 Edge cases: null text counts as empty; texts without a k-mer (fewer than five words) are near their
 equals in words only; the empty texts are one class. A class is named by its least id; null ids
@@ -57,6 +63,7 @@ class Sketching:
     at_least: float = 0.8
     exact: int = 14       # k-mers of texts that meet by what they have in common
     doubled: int = 80     # k-mers of texts that get twice the sketches
+    first: int = 8        # sketches whose buckets are worked through before the others
     draws: int = 8        # per bucket in the second round, besides its middle; one in the first, then doubling
     seed: int = 11
 
@@ -128,7 +135,7 @@ def _kept(n: int, out: int) -> np.ndarray:
 
 
 def bucket_keys(x: np.ndarray, p: Sketching = SKETCHING) -> np.ndarray:
-    """All bucket keys of a text: its sketches, and for few k-mers the sequences it may share with a near text."""
+    """All bucket keys of a text: for few k-mers the sequences it may share with a near text, then its sketches."""
     n, out = len(x), []
     if n <= p.exact:
         for away in range(int((1 - p.at_least) * n + 1e-9) + 1):
@@ -137,11 +144,18 @@ def bucket_keys(x: np.ndarray, p: Sketching = SKETCHING) -> np.ndarray:
             for i in range(at.shape[1]):
                 key = _stir(key + x[at[:, i]])
             out.append(key)
-    if n >= p.at_least * (p.exact + 1) - 1e-9:  # shorter ones have no near text with a larger union
-        out.append(sketch(x, replace(p, sketches=2 * p.sketches) if n <= p.doubled else p))
+    if many := _sketches(n, p):
+        out.append(sketch(x, replace(p, sketches=many)))
     return np.concatenate(out)
 
 
+def _sketches(n: int, p: Sketching) -> int:
+    """Sketches of a text of ``n`` k-mers; none for those too short for a near text with a larger union than ``exact``."""
+    if n < p.at_least * (p.exact + 1) - 1e-9:
+        return 0
+    return 2 * p.sketches if n <= p.doubled else p.sketches
+
+
 def similarity(a: np.ndarray, b: np.ndarray, at_least: float) -> float:
     """Ordered Jaccard index of two sequences of labelled k-mers by banded alignment; 0 as soon as it
     must be below ``at_least``."""
@@ -182,83 +196,109 @@ def _sequences(texts: DataFrame, p: Sketching) -> DataFrame:
 
 
 def buckets(texts: DataFrame, p: Sketching = SKETCHING) -> DataFrame:
-    """``texts(tid, text)`` -> tid, key: one row per text and bucket key; none for the empty text."""
+    """``texts(tid, text)`` -> tid, key, late: one row per text and bucket key, ``late`` for keys of the second stage;
+    none for the empty text."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
             xs = [kmers(t, p) for t in texts_of(b.column("text"))]
             of = np.array([i for i, x in enumerate(xs) if len(x)], np.int64)
             if len(of):
                 keys = [bucket_keys(xs[i], p) for i in of]
-                tids = b.column("tid").take(pa.array(np.repeat(of, [len(k) for k in keys])))
-                yield pa.RecordBatch.from_arrays([tids, pa.array(np.concatenate(keys).view(np.int64))], names=["tid", "key"])
-    return texts.select("tid", "text").mapInArrow(make, "tid bigint, key bigint")
-
-
-def links(docs: DataFrame, p: Sketching = SKETCHING) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``docs(doc_id, text)`` -> (members: doc_id, tid; links: a, b between different texts, as many as
-    join the classes; labels: tid, label of the texts that have a link)."""
+                many = np.array([len(k) for k in keys])
+                sketched = np.array([_sketches(len(xs[i]), p) for i in of])  # the last so many keys of a text
+                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                late = place >= np.repeat(many - sketched + p.first, many)
+                tids = b.column("tid").take(pa.array(np.repeat(of, many)))
+                yield pa.RecordBatch.from_arrays([tids, pa.array(np.concatenate(keys).view(np.int64)), pa.array(late)], names=["tid", "key", "late"])
+    return texts.select("tid", "text").mapInArrow(make, "tid bigint, key bigint, late boolean")
+
+
+def links(docs: DataFrame, p: Sketching = SKETCHING) -> tuple[DataFrame, DataFrame]:
+    """``docs(doc_id, text)`` -> (members: doc_id, tid; labels: tid, label of the texts that have a link to
+    another text)."""
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tid"))
     members = staged(docs.select("doc_id", "tid"), "omh-members")
-    made = staged(buckets(docs, p).distinct(), "omh-buckets")
-    sizes = made.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    live = staged(made.join(sizes, "key"), "omh-live")
-    # how many texts a text meets over all sketches: the middle of a group meets the most
-    weight = live.groupBy("tid").agg(F.sum("n").alias("weight"))
-    live = staged(live.drop("n").join(weight, "tid"), "omh-live")
+    made = staged(buckets(docs, p), "omh-buckets")
+    # most buckets hold one text; rows of exact copies repeat and are made one where there are others
+    alone = made.groupBy("key").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi"))
+    shared = staged(made.join(alone.where("lo < hi").select("key"), "key").distinct(), "omh-shared")
+    sizes = shared.groupBy("key").agg(F.count("*").alias("n"))
+    # how many texts a text meets over its buckets: the middle of a group meets the most
+    weight = shared.join(sizes, "key").groupBy("tid").agg(F.sum("n").alias("weight"))
+    weight = staged(weight, "omh-weight")
     sequences = staged(_sequences(docs.join(weight.select("tid"), "tid", "left_semi").dropDuplicates(["tid"]), p), "omh-kmers")
-    found, asked, round_ = None, None, 0
-    while True:
+    labels = docs.sparkSession.createDataFrame([], "tid bigint, label bigint")
+    for late in (False, True):
+        live = _mixed(shared.where("late" if late else "not late").select("tid", "key"), labels)
+        labels = _rounds(staged(live.join(weight, "tid"), "omh-live"), sequences, labels, p)
+    return members, labels
+
+
+def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows(tid, key, ...)`` with their texts' labels, of those buckets that hold more than one class."""
+    rows = rows.drop("label").join(labels, "tid", "left").withColumn("label", F.coalesce("label", "tid"))
+    split = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return rows.join(split, "key")
+
+
+def _rounds(live: DataFrame, sequences: DataFrame, labels: DataFrame, p: Sketching) -> DataFrame:
+    """Compare within the buckets of ``live(tid, key, label, weight)`` until each has nothing left to say."""
+    asked, round_ = None, 0
+    while not live.isEmpty():
         # drawn are the member that meets the most, and those whose hashes, turned by a constant of the
         # draw, are least; the turn is undone to get the hash back
         n = p.draws << min(round_ - 1, 4) if round_ else 1
         turns = [F.lit(int(t)) for t in _stir(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(round_ << 20)).view(np.int64)]
-        drawn = live.groupBy("key").agg(F.max_by("tid", F.struct("weight", "tid")).alias("middle"),
-                                        *[F.min(F.col("tid").bitwiseXOR(t)).alias(f"r{i}") for i, t in enumerate(turns)])
-        drawn = staged(drawn.select("key", F.explode(F.array_distinct(F.array(
-            "middle", *[F.col(f"r{i}").bitwiseXOR(t) for i, t in enumerate(turns)]))).alias("rep")), "omh-drawn")
-        pairs = live.join(drawn, "key").where("tid <> rep")
-        if round_:
-            labelled = live.select("key", F.col("tid").alias("rep"), F.col("label").alias("rep_label"))
-            pairs = pairs.join(labelled, ["key", "rep"]).where("label <> rep_label")
-        pairs = pairs.select(F.least("tid", "rep").alias("a"), F.greatest("tid", "rep").alias("b")).distinct()
+        drawn = live.groupBy("key").agg(
+            F.max_by(F.struct(F.col("tid").alias("rep"), F.col("label").alias("rep_label")), F.struct("weight", "tid")).alias("middle"),
+            *[F.min(F.struct(F.col("tid").bitwiseXOR(t).alias("rep"), F.col("label").alias("rep_label"))).alias(f"r{i}") for i, t in enumerate(turns)])
+        back = [F.struct(F.col(f"r{i}.rep").bitwiseXOR(t).alias("rep"), F.col(f"r{i}.rep_label").alias("rep_label")) for i, t in enumerate(turns)]
+        drawn = staged(drawn.select("key", F.inline(F.array_distinct(F.array("middle", *back)))), "omh-drawn")
+        there = drawn.withColumnRenamed("key", "_key")
+        pairs = live.join(there, (F.col("key") == F.col("_key")) & (F.col("label") != F.col("rep_label")))
+        first = F.col("tid") < F.col("rep")
+        pairs = pairs.select(F.least("tid", "rep").alias("a"), F.greatest("tid", "rep").alias("b"),
+                             F.when(first, F.col("label")).otherwise(F.col("rep_label")).alias("la"),
+                             F.when(first, F.col("rep_label")).otherwise(F.col("label")).alias("lb")).distinct()
         if asked is not None:
             pairs = pairs.join(asked, ["a", "b"], "left_anti")
         pairs = staged(pairs, "omh-pairs")
-        asked = pairs if asked is None else asked.unionByName(pairs)
-        new = staged(verified(pairs, sequences, p), "omh-links")
-        if found is None or not new.isEmpty():
-            found = new if found is None else found.unionByName(new)
-            labels = components(found).withColumnRenamed("node", "tid")
-        # a bucket is done when its texts are in one class; the drawn ones have met all others
-        left = (live.drop("label").join(labels, "tid", "left").withColumn("label", F.coalesce("label", "tid"))
-                .join(drawn.withColumnRenamed("rep", "tid"), ["key", "tid"], "left_anti"))
-        split = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        live, round_ = staged(left.join(split, "key"), "omh-live"), round_ + 1
-        if live.isEmpty():
-            return members, found, labels
+        asked = pairs.select("a", "b") if asked is None else asked.unionByName(pairs.select("a", "b"))
+        near = staged(verified(pairs, sequences, p), "omh-links")
+        if not near.isEmpty():
+            # the links connect classes; labels that are new to the table are texts that had no link yet
+            up = components(near.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+            moved = labels.join(up.select(F.col("node").alias("label"), F.col("label").alias("onto")), "label", "left")
+            moved = moved.select("tid", F.coalesce("onto", "label").alias("label"))
+            new = up.withColumnRenamed("node", "tid").join(labels.select("tid"), "tid", "left_anti").select("tid", "label")
+            labels = staged(moved.unionByName(new), "omh-labels")
+        # the drawn ones have met all others; a bucket is done when its texts are in one class
+        left = live.join(drawn.select("key", F.col("rep").alias("tid")), ["key", "tid"], "left_anti")
+        live, round_ = staged(_mixed(left, labels), "omh-live"), round_ + 1
+    return labels
 
 
 def verified(pairs: DataFrame, sequences: DataFrame, p: Sketching = SKETCHING) -> DataFrame:
-    """``pairs(a, b)`` -> those at least ``at_least`` alike."""
+    """``pairs(a, b, la, lb)`` -> those at least ``at_least`` alike."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (b.column(c) for c in ("xa", "xb"))
             xs, ys = x.flatten().to_numpy().view(np.uint64), y.flatten().to_numpy().view(np.uint64)
             xe, ye = (np.r_[0, np.cumsum(c.value_lengths().to_numpy())] for c in (x, y))
             near = [similarity(xs[xe[i]:xe[i + 1]], ys[ye[i]:ye[i + 1]], p.at_least) >= p.at_least - 1e-9 for i in range(len(b))]
-            yield b.select(["a", "b"]).filter(pa.array(near))
+            yield b.select(["a", "b", "la", "lb"]).filter(pa.array(near))
 
     j = pairs.join(sequences.select(F.col("tid").alias("a"), F.col("kmers").alias("xa"), F.size("kmers").alias("na")), "a")
     j = j.join(sequences.select(F.col("tid").alias("b"), F.col("kmers").alias("xb"), F.size("kmers").alias("nb")), "b")
     j = j.where(F.least("na", "nb") >= p.at_least * F.greatest("na", "nb") - F.lit(1e-9))
-    return j.select("a", "b", "xa", "xb").mapInArrow(check, "a bigint, b bigint")
+    return j.select("a", "b", "la", "lb", "xa", "xb").mapInArrow(check, "a bigint, b bigint, la bigint, lb bigint")
 
 
 def classes(docs: DataFrame, p: Sketching = SKETCHING) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, tid (hash of its text), class_id (least id of its class), label
     (the class itself: ids may be null or shared, so two classes can have one class_id)."""
-    members, _, labels = links(docs, p)
+    members, labels = links(docs, p)
     named = members.join(labels, "tid", "left").withColumn("label", F.coalesce("label", "tid"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return named.join(least, "label").select("doc_id", "tid", "class_id", "label")
