@@ -6,7 +6,7 @@ import random
 from runlens.functions import classify as C
 from runlens.operators import classify_ops as K
 
-from .test_classify import py_analyzer, py_engine
+from .test_classify import analysis_of, pattern_of
 
 FRAGMENTS = [
     "ModuleNotFoundError: No module named ", "ImportError: cannot import name ", "'", '"', "pandas", "a.b", "lib==9.9",
@@ -47,11 +47,9 @@ def test_classifiers_match_python_re(spark):
     tn = {r.log_id: r.test_name for r in K.test_names(df).collect()}
     import re
     for i, t in enumerate(texts):
-        assert (pats[i].pattern_type, pats[i].matched_text, pats[i].captured_groups, pats[i].difficulty) == py_analyzer(t), t
-        e = py_engine(t)
+        assert (pats[i].pattern_type, pats[i].matched_text, pats[i].captured_groups, pats[i].difficulty) == pattern_of(t), t
         r = eng[i]
-        assert (r.error_type, r.error_message, r.missing_package, r.test_name, r.stack_trace) == \
-               (e["error_type"], e["error_message"], e["missing_package"], e["test_name"], e["stack_trace"]), t
+        assert (r.error_type, r.error_message, r.missing_package, r.test_name, r.stack_trace) == analysis_of(t), t
         want_pkg = None
         for p in C.PACKAGE_PATTERNS:
             m = re.search(p, t)
