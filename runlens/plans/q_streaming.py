@@ -112,8 +112,8 @@ def stream_first_observation(spark, sf):
 
 @register("stream_first_observation_ttl", FIRST)
 def stream_first_observation_ttl(spark, sf):
-    """Ids are remembered for five days only; in this table all observations of an id lie closer together."""
-    return L.observed(_run(L.first_observations, _polled(spark, sf), "first_observations", delay_seconds=5 * 86400, compact_every=2))
+    """Ids are remembered for ten days only (more than a slice spans); in this table all observations of an id lie closer together."""
+    return L.observed(_run(L.first_observations, _polled(spark, sf), "first_observations", delay_seconds=10 * 86400, compact_every=2))
 
 
 @register("stream_counters", """
@@ -190,18 +190,19 @@ def stream_rate_windows(spark, sf):
 
 ARRIVING = """(select *, case when event_id % 50 = 7 then 4 else least(cast(floor(date_diff('day', date '2024-01-01', cast(ts as date)) / 8e0) as int), 3) end as arrival
   from events)"""
-LATE = f"""(select *, arrival = 4 and ts < (select max(ts) from {ARRIVING} a where arrival < 4) - interval 2 day as late from {ARRIVING} b)"""
+LATE = f"""(select *, arrival = 4 and ts < (select max(ts) from {ARRIVING} a where arrival < 4) - interval 9 day as late from {ARRIVING} b)"""
 
 
 def _late(spark, sf) -> Store:
     events = S.late_arrivals(tables(spark, sf).events.select("event_id", "ts", "event_type"))
     stream = _arriving(spark, events, "late_events", "arrival", cuts=[0, 1, 2, 3])
-    return _run(L.rate_windows, stream, "rate_windows", delay_seconds=2 * 86400, compact_every=2)
+    return _run(L.rate_windows, stream, "rate_windows", delay_seconds=9 * 86400, compact_every=2)
 
 
 @register("stream_rate_windows_delayed", WINDOWS.format(events=f"(select * from {LATE} c where not late) d"))
 def stream_rate_windows_delayed(spark, sf):
-    """Windows that close two days behind the newest event; rows that come later do not count."""
+    """Windows that close nine days behind the newest event (more than a slice spans, whose files come in any order); rows that
+    come later do not count."""
     return L.rates(_late(spark, sf))
 
 

@@ -191,7 +191,7 @@ def test_late_rows_are_kept_apart_and_windows_close(spark):
     """Every tenth event comes with the last slice. Without a delay all count; with one, those behind it do not."""
     first = datetime.datetime(2024, 1, 1)
     data = [(i, first + datetime.timedelta(minutes=i), "error" if i % 3 else "view", 3 if i % 10 == 7 else min(i // 200, 3)) for i in range(800)]
-    events = spark.createDataFrame(data, "event_id long, ts timestamp_ntz, event_type string, arrival int")
+    events = spark.createDataFrame(data, "event_id long, ts timestamp_ntz, event_type string, arrival int").coalesce(1)  # a slice is one file
 
     def run(**options):
         store = Store(spark, folder(spark, "store"))
