@@ -1,19 +1,28 @@
 """Quality rules (operator 2): distribution divergence from language references.
 
-Every document gives two histograms: code points by character class, and words by common word
-(with one bin for all others). The reference of a language is the mean histogram of its
-documents (whole corpus, each document with the same weight, so a long one cannot set it). A
-document is rejected if the Jensen-Shannon distance (base 2, 0 to 1) of either histogram from its
-language's reference is above that histogram's limit. Guards: a histogram counts only if the
-document has the minimum length for it, and only if the reference was made from enough documents;
-what the guards leave out is not rejected by the method. The limits leave room for the noise of
-short samples: limit + noise / sqrt(length).
+Every document gives two histograms: code points by character class (those of blank-delimited marks,
+words without a letter or digit, are a class of their own), and words by common word (with one bin
+for all others). The reference of a language is the mean histogram of its documents (whole corpus,
+each document with the same weight, so a long one cannot set it). A document is rejected if the
+Jensen-Shannon distance (base 2, 0 to 1) of either histogram from its language's reference is above
+the limit for its length. Guards: a histogram counts only if the document has the minimum length for it.
+
+Limits come from the spread of the distances of all documents of like length (half octaves of the
+number of code points or words): upper quartile plus ``fence`` quartile ranges. This spread counts as
+many documents as there are, and a fixed limit + noise / sqrt(length) as ``prior_docs`` more, so a
+length with few documents has about the fixed one, with no step between. The fixed limit is also the
+most, so that junk which makes up a large part of a length cannot widen its own limit. A language with fewer than
+``min_reference_docs`` documents has no reference to speak of: its documents are compared with the
+mean of all documents, all letters and blanks taken as one class (scripts differ in these), under
+the fixed limit, and their words are not compared.
 
 Beside the method stand the base figures and rule (see ``judge``).
 
-Scale: two passes over the texts and one small aggregate between them (one row per language and
-task before the shuffle). The reference table is staged, so Spark sees its size when it plans
-the join: small, it is broadcast and the texts are never shuffled; otherwise it is an ordinary join.
+Scale: three passes over the texts with two small aggregates between them: one row per language and
+task, and counts of distances in steps of 1/2,000 per band (at most 2 x 64 x 2,001 rows, whatever
+the corpus; whole counts, so reruns agree). Only the limits, one per kind and band, go through the
+driver. The reference table is staged, so Spark sees its size when it plans the join: small, it is
+broadcast and the texts are never shuffled; otherwise it is an ordinary join.
 
 Edge cases: null or empty text: no words, base_failed. A null language is a language of its own.
 An empty table gives an empty result. Repeated rows are judged alike. Texts of any length are read
@@ -39,8 +48,10 @@ class Rules:
     min_words: int = 50           # base rule
     max_repeat_percent: int = 50  # base rule
     min_chars: int = 200          # guard of the character classes
-    min_sample_words: int = 100   # guard of the common words
-    min_reference_docs: int = 20  # guard of the references
+    min_sample_words: int = 25    # guard of the common words
+    min_reference_docs: int = 20  # below: compared with all documents
+    fence: float = 3.0            # quartile ranges above the upper quartile
+    prior_docs: int = 20          # weight of the fixed limits
     char_limit: float = 0.20
     char_noise: float = 1.2
     word_limit: float = 0.18
@@ -49,7 +60,9 @@ class Rules:
 
 RULES = Rules()
 
-N_CLASSES = 11
+N_CLASSES = 12
+_MARKS = 11  # class of all code points of words without a letter or digit
+_SCRIPT = [0, 2, 3, 7, 8, 9, 10]  # blanks and letters
 _SCALE = 1_000_000  # histogram shares are summed as whole millionths: the sum has no order
 
 
@@ -72,6 +85,28 @@ _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\n\x0b\x0c\r")] = True
 _BIN = {w: i for i, w in enumerate(WORDS)}
 N_BINS = len(WORDS) + 1
+_PLAIN = _BLANK.copy()  # blanks and ASCII marks
+_PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = True
+_STEPS = 2_000          # distances are counted in steps of this part of one
+N_BANDS = 64
+
+
+def marks(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each byte, whether it is part of a word without a letter or digit."""
+    if not len(data):
+        return np.zeros(0, bool)
+    blank = _BLANK[data]
+    start = np.ones(len(data), bool)
+    start[1:] = blank[1:] != blank[:-1]
+    start[ends[:-1][ends[:-1] < len(data)]] = True
+    at = np.flatnonzero(start)
+    plain = np.logical_and.reduceat(_PLAIN[data], at) & ~blank[at]
+    return np.repeat(plain, np.diff(np.append(at, len(data))))
+
+
+def band(n: np.ndarray) -> np.ndarray:
+    """Half octave of a length."""
+    return np.minimum(2 * np.log2(np.maximum(n, 1)), N_BANDS - 1).astype(np.int64)
 
 
 def histograms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +114,8 @@ def histograms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data, ends = joined(texts)
     of = np.repeat(np.arange(len(texts)), np.diff(ends))
     lead = LEADS[data]
-    chars = np.bincount(of[lead] * N_CLASSES + _CLASS[data[lead]], minlength=len(texts) * N_CLASSES)
+    kind = np.where(marks(data, ends), _MARKS, _CLASS[data])
+    chars = np.bincount(of[lead] * N_CLASSES + kind[lead], minlength=len(texts) * N_CLASSES)
     other = N_BINS - 1
     words = np.empty((len(texts), N_BINS), np.int64)
     get = _BIN.get
@@ -171,6 +207,47 @@ def references(docs: DataFrame) -> DataFrame:
                       F.array(*mean[:N_CLASSES]).alias("chars"), F.array(*mean[N_CLASSES:]).alias("words"))
 
 
+def distances(b: pa.RecordBatch, chars: np.ndarray, words: np.ndarray, rules: Rules) -> dict[str, tuple[np.ndarray, ...]]:
+    """char and word: length, distance from the reference, whether it counts, whether the document has its own
+    language's reference. ``b`` has the reference's columns."""
+    def column(name: str) -> np.ndarray:
+        return b.column(name).flatten().to_numpy().reshape(b.num_rows, -1)
+
+    def own(kind: str) -> np.ndarray:
+        return b.column(f"n_{kind}s_docs").to_numpy(zero_copy_only=False) >= rules.min_reference_docs
+
+    n, share, of_all, mine = chars.sum(axis=1), _shares(chars), column("all_chars"), own("char")
+    d = distance(share, column("chars"))
+    if not mine.all():
+        one = [np.column_stack([np.delete(x, _SCRIPT, axis=1), x[:, _SCRIPT].sum(axis=1)]) for x in (share, of_all)]
+        d = np.where(mine, d, distance(*one))
+    out = {"char": (n, d, n >= rules.min_chars, mine)}
+    n, mine = words.sum(axis=1), own("word")
+    return out | {"word": (n, distance(_shares(words), column("words")), (n >= rules.min_sample_words) & mine, mine)}
+
+
+def limits(rows: DataFrame, rules: Rules) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """char and word: per band the number of documents of languages with a reference, and the fence of their distances."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches):
+            bins = []
+            for k, (n, d, counts, mine) in enumerate(distances(b, *histograms(texts_of(b.column("text"))), rules).values()):
+                use = counts & mine
+                bins.append((k * N_BANDS + band(n[use])) * (_STEPS + 1) + np.rint(d[use] * _STEPS).astype(np.int64))
+            at, many = np.unique(np.concatenate(bins), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(many)], names=["at", "many"])
+
+    found = rows.mapInArrow(counted, "at bigint, many bigint").groupBy("at").agg(F.sum("many").alias("many"))
+    table = np.zeros(2 * N_BANDS * (_STEPS + 1), np.int64)
+    for r in found.collect():  # bounded: bands x steps
+        table[r["at"]] = r["many"]
+    table = table.reshape(2, N_BANDS, _STEPS + 1).cumsum(axis=2)
+    docs = table[:, :, -1]
+    low, high = ((table >= np.ceil(q * docs)[:, :, None]).argmax(axis=2) / _STEPS for q in (0.25, 0.75))
+    fence = high + rules.fence * (high - low)
+    return {kind: (docs[k], fence[k]) for k, kind in enumerate(("char", "word"))}
+
+
 FIGURES = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
            "base_failed boolean, char_distance double, word_distance double, kept boolean")
 
@@ -181,26 +258,25 @@ def judge(docs: DataFrame, rules: Rules = RULES) -> DataFrame:
     base_failed (too few words, or too many in repeated three-word windows), char_distance and
     word_distance (null where a guard holds), kept."""
     reference = staged(references(docs), "quality-reference")
-    ref = reference.select(F.col("lang").alias("_lang"), *[c for c in reference.columns if c != "lang"])
+    docs_of = F.greatest(F.sum("n_chars_docs"), F.lit(1))
+    of_all = reference.agg(F.array(*[F.coalesce(F.sum(F.col("chars")[i] * F.col("n_chars_docs")) / docs_of, F.lit(0.0))
+                                     for i in range(N_CLASSES)]).alias("all_chars")).first()["all_chars"]  # one row
+    ref = reference.select(F.col("lang").alias("_lang"), *[c for c in reference.columns if c != "lang"],
+                           F.array(*[F.lit(x) for x in of_all]).alias("all_chars"))
     rows = docs.select(F.struct("*").alias("row"), F.col("lang"), F.col("text"))
-    rows = rows.join(ref, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    rows = rows.join(ref, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("lang", "_lang")
+    spread = limits(rows.drop("row"), rules)
 
     def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
             texts = texts_of(b.column("text"))
             f = base_figures(texts)
-            chars, words = histograms(texts)
-            enough = {k: b.column(k).to_numpy(zero_copy_only=False) >= rules.min_reference_docs
-                      for k in ("n_chars_docs", "n_words_docs")}
             out = {}
-            for kind, counts, least, limit, noise in (
-                    ("char", chars, rules.min_chars, rules.char_limit, rules.char_noise),
-                    ("word", words, rules.min_sample_words, rules.word_limit, rules.word_noise)):
-                n = counts.sum(axis=1)
-                q = b.column(f"{kind}s").flatten().to_numpy().reshape(len(texts), -1)
-                d = distance(_shares(counts), q)
-                counted = (n >= least) & enough[f"n_{kind}s_docs"]
-                out[kind] = pa.array(d, mask=~counted), counted & (d > limit + noise / np.sqrt(np.maximum(n, 1)))
+            for kind, (n, d, counted, mine) in distances(b, *histograms(texts), rules).items():
+                fixed = getattr(rules, f"{kind}_limit") + getattr(rules, f"{kind}_noise") / np.sqrt(np.maximum(n, 1))
+                many, fence = (x[band(n)] for x in spread[kind])
+                limit = np.where(mine, (many * np.minimum(fence, fixed) + rules.prior_docs * fixed) / (many + rules.prior_docs), fixed)
+                out[kind] = pa.array(d, mask=~counted), counted & (d > limit)
             failed = (f["n_words"] < rules.min_words) | (100 * f["n_repeat_words"] > rules.max_repeat_percent * f["n_words"])
             yield pa.RecordBatch.from_arrays(
                 [b.column("row"), *[pa.array(f[k]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
@@ -208,7 +284,7 @@ def judge(docs: DataFrame, rules: Rules = RULES) -> DataFrame:
                 names=["row", *[x.split()[0] for x in FIGURES.split(", ")]])
 
     row_type = rows.schema["row"].dataType.simpleString()
-    return rows.drop("lang", "_lang").mapInArrow(verdicts, f"row {row_type}, {FIGURES}")
+    return rows.mapInArrow(verdicts, f"row {row_type}, {FIGURES}")
 
 
 def keep(docs: DataFrame, rules: Rules = RULES) -> DataFrame:
