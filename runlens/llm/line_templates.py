@@ -13,19 +13,32 @@ other tokens, or more fields than others, only the line as it stands is its key
 table differ in nothing but their fields). The same holds for what an open third leaves.
 
 A template that occurs in ``min_docs`` documents or more recurs: its lines are dropped, except in the
-document with the least id that has it. Lines of fewer than ``min_tokens`` tokens are never
-dropped. With ``long_tokens`` set, a line of so many tokens recurs as soon as two distinct texts have
-its own template (open thirds still need ``min_docs``; copies of a whole document count as one text).
-Only lines of ``min_open`` or more are generalised, so short common phrases stay.
+first document that has it. Lines of fewer than ``min_tokens`` tokens are never dropped by it. Only
+lines of ``min_open`` tokens or more are generalised, so short common phrases stay.
 
-Scale: one row per document and template with 64-bit keys, counted with partial aggregation; a
-line that stands in a third of all documents is one key with one count per task. The rows of
-recurring templates then give each document its dropped line numbers, and the texts are
-shuffled once to meet them. No group of equal lines or of one leaf is gathered.
+Records inside lines: the tree also takes stretches of ``stretch`` tokens, wherever lines begin and end. Of every
+``spread`` stretches in a row the one with the least hash is a record (the left one of equals), so the
+choice depends on the words alone, and two texts that share ``stretch + spread - 1`` tokens in a row (50)
+share a record. A record, or a line of ``long_tokens`` or more, that two distinct texts have is a
+passage: it is dropped from every text but that of the first document that has it. What is left shares no
+50 tokens in a row with an earlier document, but for the next rule. (Copies of a whole document are one
+text, and copies of the first document's text keep its passages.)
+
+Near copies: if two passages or more together make up over half of a text's remaining tokens, the text is
+a copy as a whole and keeps its passages; finding such texts is the near-dedup's work, and shreds of them would
+hide them from it.
+
+The first document is the one with the least (id, text hash), null ids last, so it is one document even
+where ids are null or repeat; rows equal in id and text are alike.
+
+Scale: the texts are read twice and no key is stored. Once for counts by 64-bit key with partial
+aggregation: a line that stands in a third of all documents is one key with one count per task. Once
+for the rows of recurring keys, which give each document its places (sets, so repeated rows add nothing).
+The texts are shuffled once to meet them. No group of equal lines or of one leaf is gathered.
 
 Edge cases: null text stays null and has no lines; blank lines stay; a document whose lines all go
-has the empty text. Null ids come last. Rows that repeat count as documents of their own and are
-treated alike. Empty tables give empty results. Other columns are carried whatever their names.
+has the empty text. Rows that repeat count as documents of their own and are treated alike. Empty
+tables give empty results. Other columns are carried whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import staged, text_slices, texts_of
+from .common import WORD, staged, text_slices, texts_of
 
 
 @dataclass(frozen=True)
@@ -50,14 +63,19 @@ class Tree:
     min_open: int = 12
     min_docs: int = 6
     min_constant: int = 3  # tokens without a digit that a template with variable fields needs, and half of all
-    long_tokens: int | None = None  # lines of so many tokens recur if two distinct texts have them
+    long_tokens: int = 50  # lines of so many tokens are passages
+    stretch: int = 25      # tokens of a record inside lines
+    spread: int = 26       # of so many of them in a row one is taken
 
 
 TREE = Tree()
-CORPUS = Tree(long_tokens=50)
 _FIELD = re.compile(rb"\S*[0-9]\S*")
 _DIGIT = re.compile(rb"[0-9]")
+_WORD = re.compile(WORD.encode())
 _LAST = (1 << 63) - 1  # stands for a null id in comparisons
+_BASE = 0x9E3779B97F4A7C15
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+LINE, LONG, RECORD = 0, 1, 2  # what a key is: a template, the own template of a long line, a stretch
 
 
 def templates(line: bytes, p: Tree = TREE) -> list[bytes]:
@@ -90,57 +108,139 @@ def templates(line: bytes, p: Tree = TREE) -> list[bytes]:
     return out
 
 
+def records(tokens: list[bytes], p: Tree = TREE) -> tuple[np.ndarray, np.ndarray]:
+    """First token and key of the chosen stretches of a text."""
+    many = len(tokens) - p.stretch + 1
+    if many < p.spread:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    h = np.fromiter(map(xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+    # polynomial hash of every stretch from running totals; the base is odd, so its powers have inverses
+    up = np.cumprod(np.full(len(h), _BASE, np.uint64))
+    down = np.cumprod(np.full(many, pow(_BASE, -1, 1 << 64), np.uint64))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up, dtype=np.uint64)])
+    key = (total[p.stretch:] - total[:-p.stretch]) * down
+    key = (key ^ (key >> np.uint64(32))) * _MIX
+    key ^= key >> np.uint64(29)
+    view = np.lib.stride_tricks.sliding_window_view(key, p.spread)
+    step = 1 << 16  # bounds the temporaries of a very long text
+    at = np.unique(np.concatenate([view[i:i + step].argmin(axis=1) + np.arange(i, min(i + step, len(view)))
+                                   for i in range(0, len(view), step)]))
+    return at, key[at]
+
+
 def keyed(docs: DataFrame, p: Tree = TREE) -> DataFrame:
-    """``docs(doc_id, text)`` -> key, doc_id, text_key, long, lines: one row per document and template;
-    long: the own template of a line of ``long_tokens`` or more."""
+    """``docs(doc_id, text)`` -> key, kind, doc_id, text_key, places: one row per document and key; places: line
+    numbers, or first tokens of a RECORD."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
-            of, keys, long, numbers = [], [], [], []
+            of, keys, kinds, places = [], [], [], []
             for row, text in enumerate(texts_of(b.column("text"))):
                 found: dict[int, list[int]] = {}
-                own: set[int] = set()
+                long: set[int] = set()
                 for number, line in enumerate(text.split(b"\n")):
                     made = [xxh3_64_intdigest(t) for t in templates(line, p)]
                     for k in made:
                         found.setdefault(k, []).append(number)
-                    if made and p.long_tokens is not None and len(line.split()) >= p.long_tokens:
-                        own.add(made[0])
-                of += [row] * len(found)
-                keys += found
-                long += [k in own for k in found]
-                numbers += found.values()
+                    if made and len(line.split()) >= p.long_tokens:
+                        long.add(made[0])
+                kinds += [LONG if k in long else LINE for k in found]
+                stretches: dict[int, list[int]] = {}
+                for at, k in zip(*(x.tolist() for x in records(text.split(), p))):
+                    stretches.setdefault(k, []).append(at)
+                kinds += [RECORD] * len(stretches)
+                for kind in (found, stretches):
+                    of += [row] * len(kind)
+                    keys += kind
+                    places += kind.values()
             of = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(keys, np.uint64).view(np.int64)), b.column("doc_id").take(of), b.column("text_key").take(of),
-                 pa.array(long, pa.bool_()), pa.array(numbers, pa.list_(pa.int32()))],
-                names=["key", "doc_id", "text_key", "long", "lines"])
+                [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(kinds, pa.int8()), b.column("doc_id").take(of),
+                 b.column("text_key").take(of), pa.array(places, pa.list_(pa.int32()))],
+                names=["key", "kind", "doc_id", "text_key", "places"])
 
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return d.mapInArrow(rows, "key bigint, doc_id bigint, text_key bigint, long boolean, lines array<int>")
+    return d.mapInArrow(rows, "key bigint, kind tinyint, doc_id bigint, text_key bigint, places array<int>")
 
 
-def dropped(docs: DataFrame, p: Tree = TREE) -> DataFrame:
-    """doc_id, text_key, lines (numbers from 0 of the lines that go) of documents that lose any."""
-    made = staged(keyed(docs, p), "line-keys")
+def recurring_places(docs: DataFrame, p: Tree = TREE) -> DataFrame:
+    """doc_id, text_key, hits (kind, places) of documents with recurring keys that an earlier one has; kind LINE: the
+    lines go, LONG and RECORD: passages."""
+    made = keyed(docs, p)
     order = F.coalesce("doc_id", F.lit(_LAST))
-    two_texts = F.bool_or("long") & (F.min("text_key") < F.max("text_key"))
-    recurring = staged(made.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("first"), two_texts.alias("long"))
-                       .where((F.col("n") >= p.min_docs) | F.col("long")).select(F.col("key").alias("_key"), "first"), "line-recurring")
-    hits = made.join(recurring, (F.col("key") == F.col("_key")) & (order != F.col("first")))
-    # one row per document and template: at most as many as the document has templates
-    return hits.groupBy("doc_id", "text_key").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
+    counts = made.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(order, "text_key")).alias("first"), F.max("kind").alias("kind"),
+                                     F.min("text_key").alias("a"), F.max("text_key").alias("b"))
+    often = (F.col("n") >= p.min_docs) & (F.col("kind") != RECORD)
+    passage = (F.col("kind") != LINE) & (F.col("a") < F.col("b"))
+    recurring = staged(counts.where(often | passage).select(
+        F.col("key").alias("_key"), F.col("first.col1").alias("_id"), F.col("first.text_key").alias("_text"),
+        F.when(often, LINE).otherwise(F.col("kind")).cast("int").alias("_kind")), "line-recurring")
+    other = (F.col("text_key") != F.col("_text")) | ((F.col("_kind") == LINE) & (order != F.col("_id")))
+    hits = made.join(recurring, F.col("key") == F.col("_key")).where(other)
+    # one row per document and key: at most as many as the document has keys
+    return hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(F.col("_kind").alias("kind"), "places")).alias("hits"))
+
+
+def without(text: bytes, hits: list[dict], p: Tree = TREE) -> tuple[bytes, list[int], list[int]]:
+    """What is left of a text, the numbers of its dropped lines, and first and end token of each dropped passage."""
+    lines = text.split(b"\n")
+    gone = {n for h in hits if h["kind"] == LINE for n in h["places"]}
+    long = {n for h in hits if h["kind"] == LONG for n in h["places"]} - gone
+    spans = [m.span() for m in _WORD.finditer(text)]
+    covered = np.zeros(len(spans), bool)
+    for h in hits:
+        if h["kind"] == RECORD:
+            for at in h["places"]:
+                covered[at:at + p.stretch] = True
+    first = np.cumsum([0, *[len(x.split()) for x in lines]])
+    out = np.zeros(len(spans), bool)
+    for n in range(len(lines)):
+        if n in gone:
+            out[first[n]:first[n + 1]] = True
+        elif n in long:
+            covered[first[n]:first[n + 1]] = True
+    covered &= ~out
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8))).reshape(-1, 2)
+    if len(edge) > 1 and 2 * covered.sum() > len(spans) - out.sum():
+        edge, covered[:] = edge[:0], False
+    # a line goes as a whole if its template recurs or passages take all its tokens
+    drop = [n for n in range(len(lines)) if n in gone or first[n] < first[n + 1] and (covered | out)[first[n]:first[n + 1]].all()]
+    whole, kept, start = set(drop), [], 0
+    for n, line in enumerate(lines):
+        if n not in whole:
+            inside = np.flatnonzero(covered[first[n]:first[n + 1]]) + first[n]
+            left, at = [], start
+            for k in inside.tolist():  # a token goes with the blanks after it
+                left.append(text[at:spans[k][0]])
+                at = spans[k + 1][0] if k + 1 < first[n + 1] else start + len(line)
+            kept.append(b"".join([*left, text[at:start + len(line)]]))
+        start += len(line) + 1
+    return b"\n".join(kept), drop, edge.ravel().tolist()
 
 
 def without_templates(docs: DataFrame, p: Tree = TREE) -> DataFrame:
-    """``docs`` -> ``row`` (all columns as a struct), dropped (line numbers, null if none), text (what
-    is left)."""
-    gone = dropped(docs, p).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("lines").alias("dropped"))
+    """``docs`` -> ``row`` (all columns as a struct), dropped (line numbers, null if nothing goes), passages (first and
+    end token of each one that goes), text (what is left)."""
+    gone = recurring_places(docs, p).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "hits")
     rows = docs.select(F.struct("*").alias("row"))
     rows = rows.join(gone, F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64("row.text") == F.col("_key")), "left")
-    lines = F.split("row.text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("dropped", i)), "\n")
-    return rows.select("row", "dropped", F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(left).alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches):
+            texts = b.column("text").to_pylist()
+            dropped: list = [None] * len(texts)
+            passages: list = [None] * len(texts)
+            for i, hits in enumerate(b.column("hits").to_pylist()):
+                if hits is not None:
+                    left, lines, edges = without(texts[i].encode(), hits, p)
+                    if lines or edges:
+                        texts[i], dropped[i], passages[i] = left.decode(), lines, edges
+            yield pa.RecordBatch.from_arrays(
+                [b.column("row"), pa.array(dropped, pa.list_(pa.int32())), pa.array(passages, pa.list_(pa.int32())),
+                 pa.array(texts, pa.string())], names=["row", "dropped", "passages", "text"])
+
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.select("row", F.col("row.text").alias("text"), "hits").mapInArrow(
+        cut, f"row {kind}, dropped array<int>, passages array<int>, text string")
 
 
 def drop_templates(docs: DataFrame, p: Tree = TREE) -> DataFrame:

@@ -112,10 +112,11 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_line_templates")
 def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = line_templates.without_templates(table(spark, sf_dir, "documents").select("doc_id", "text"), line_templates.CORPUS)
+    r = line_templates.without_templates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return r.select("row.doc_id", F.size(F.split("row.text", "\n", -1)).cast("bigint").alias("n_lines"),
                     F.coalesce(F.size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
                     F.coalesce(F.array_join("dropped", ","), F.lit("")).alias("dropped_lines"),
+                    F.coalesce(F.array_join("passages", ","), F.lit("")).alias("dropped_passages"),
                     F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -1,34 +1,92 @@
+import random
+import re
 from collections import defaultdict
 
+import numpy as np
+import xxhash
+from xxhash import xxh3_64_intdigest
+
 from runlens.llm import line_templates as L
 from runlens.llm import queries
 
 from .conftest import EDGE_ROWS, doc, schema
 
 
+def plain_records(tokens, p):
+    """First token -> words of the chosen stretches, by whole-number loops."""
+    m, half = 1 << 64, []
+    for i in range(len(tokens) - p.stretch + 1):
+        k = sum(xxh3_64_intdigest(t.encode()) * pow(L._BASE, j, m) for j, t in enumerate(tokens[i:i + p.stretch])) % m
+        k = (k ^ k >> 32) * 0xD6E8FEB86659FD93 % m
+        half.append(k ^ k >> 29)
+    chosen = {min(range(i, i + p.spread), key=lambda j: half[j]) for i in range(len(half) - p.spread + 1)}
+    return {i: tuple(tokens[i:i + p.stretch]) for i in chosen}
+
+
 def naive(rows, p=L.TREE):
-    """Dropped line numbers per row, by counting templates in plain dictionaries."""
-    docs = defaultdict(set)
-    for i, (doc_id, text) in enumerate(rows):
-        for line in (text or "").split("\n"):
-            for t in L.templates(line.encode(), p):
-                docs[t].add(i)
+    """Per row the dropped lines and the tokens left of each other line, by counting in plain dictionaries."""
     big = 1 << 62
-    key = lambda i: big if rows[i][0] is None else rows[i][0]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    key = [(big if i is None else i, signed(xxhash.xxh64_intdigest((t or "").encode(), 42))) for i, t in rows]
+    words = lambda x: re.findall(r"[^\x20\x09-\x0D]+", x)
+    lines = [(t or "").split("\n") for _, t in rows]
+    taken = [plain_records(words(t or ""), p) for _, t in rows]
+    docs, texts = defaultdict(set), defaultdict(set)
+    for i, of in enumerate(lines):
+        for line in of:
+            made = L.templates(line.encode(), p)
+            for t in made:
+                docs[t].add(i)
+            if made and len(words(line)) >= p.long_tokens:
+                texts[made[0]].add(i)
+        for r in taken[i].values():
+            texts[r].add(i)
+
+    def passage(t, i):
+        first = min(key[j] for j in texts[t]) if t in texts else None
+        return first and first[1] != key[i][1]
+
+    def often(t, i):
+        return len(docs[t]) >= p.min_docs and key[i] != min(key[j] for j in docs[t])
+
     out = []
-    for i, (doc_id, text) in enumerate(rows):
-        out.append([n for n, line in enumerate((text or "").split("\n")) if any(
-            len(docs[t]) >= p.min_docs and key(i) != min(map(key, docs[t])) for t in L.templates(line.encode(), p))])
+    for i, of in enumerate(lines):
+        at = np.cumsum([0] + [len(words(x)) for x in of])
+        gone, state = set(), [""] * int(at[-1])
+        for k, r in taken[i].items():
+            if passage(r, i):
+                state[k:k + p.stretch] = ["p"] * p.stretch
+        for n, line in enumerate(of):
+            made = L.templates(line.encode(), p)
+            if made and made[0] in texts and len(docs[made[0]]) < p.min_docs and passage(made[0], i):
+                state[at[n]:at[n + 1]] = ["p"] * len(words(line))
+        for n, line in enumerate(of):
+            if any(often(t, i) for t in L.templates(line.encode(), p)):
+                gone.add(n)
+                state[at[n]:at[n + 1]] = ["l"] * len(words(line))
+        runs = sum(1 for k, x in enumerate(state) if x == "p" and (not k or state[k - 1] != "p"))
+        if runs > 1 and 2 * state.count("p") > len(state) - state.count("l"):
+            state = ["" if x == "p" else x for x in state]
+        gone |= {n for n in range(len(of)) if at[n] < at[n + 1] and all(state[at[n]:at[n + 1]])}
+        left = [[w for w, x in zip(words(line), state[at[n]:at[n + 1]]) if not x] for n, line in enumerate(of) if n not in gone]
+        out.append((sorted(gone), left))
     return out
 
 
+def tokens_by_line(text):
+    return [re.findall(r"[^\x20\x09-\x0D]+", x) for x in (text or "").split("\n")]
+
+
 def check(df, rows, p=L.TREE):
     got = defaultdict(list)
     for r in L.without_templates(df, p).select("row.doc_id", "row.text", "dropped", "text").collect():
+        assert r["dropped"] is not None or r[1] == r[3]
         got[r[0], r[1]].append((r["dropped"] or [], r[3]))
-    for (doc_id, text), lines in zip(rows, naive(rows, p)):
-        kept = None if text is None else "\n".join(x for n, x in enumerate(text.split("\n")) if n not in lines)
-        assert (lines, kept) in got[doc_id, text]
+    assert sum(map(len, got.values())) == len(rows)
+    for (doc_id, text), (gone, left) in zip(rows, naive(rows, p)):
+        for lines, kept in got[doc_id, text]:
+            assert lines == gone and (kept is None) == (text is None)
+            assert text is None or tokens_by_line(kept) == (left or [[]])
 
 
 def test_templates():
@@ -84,3 +142,56 @@ def test_long_passage_in_few_documents(spark, tmp_path):
     spark.createDataFrame(rows, schema()).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["dropped_lines"] for r in queries.QUERIES["op6_line_templates"](spark, str(tmp_path)).collect()}
     assert got == {10 * n + i: "1" if i else "" for n in (2, 3, 5) for i in range(n)} | {None: "0", 90: "", 91: "", 92: "", 93: "", 94: ""}
+
+
+def word(rng):
+    return "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+
+
+def prose(rng, n):
+    return [word(rng) for _ in range(n)]
+
+
+def test_passage_inside_longer_lines(spark):
+    """51 words that 2, 3, 5 or 8 documents have inside longer lines, or over a line end, go from all but the first;
+    no 50 words in a row remain that an earlier document has. Near copies of a whole text stay for the near-dedup."""
+    rng = random.Random(4)
+    rows, shared, first = [], {}, {}
+    for g, n in enumerate((2, 3, 5, 8)):
+        shared[g] = prose(rng, 51)
+        if n == 5:
+            shared[g].insert(20, "\n")
+        for i in range(n):
+            text = " ".join(prose(rng, rng.randrange(60, 120)) + shared[g] + prose(rng, rng.randrange(60, 120)))
+            rows.append(doc(None if n == 8 and i > 4 else 100 * g + i, f"{word(rng)} own\n{text}\nend {word(rng)}"))
+    copied = [prose(rng, 150) for _ in range(3)]
+    changed = [[*x[:70], "changed", *x[71:]] for x in copied]
+    near = [doc(900, "\n".join(map(" ".join, copied))), doc(901, "\n".join(map(" ".join, changed)))]
+    again = doc(902, near[0][1])
+    df = spark.createDataFrame(rows + near + [again], schema()).repartition(5)
+    check(df, [r[:2] for r in rows + near + [again]])
+    out = {r["row"]["text"]: r for r in L.without_templates(df).collect()}
+    for r in near:
+        assert out[r[1]]["text"] == r[1] and out[r[1]]["dropped"] is None
+    for g, passage in shared.items():
+        passage = [w for w in passage if w != "\n"]
+        mine = [r for r in rows if passage[0] in r[1]]
+        whole = [r for r in mine if passage[0] in out[r[1]]["text"] and out[r[1]]["text"] == r[1]]
+        assert len(whole) == 1 and (whole[0][0] == 100 * g)
+        for r in mine:
+            if r is not whole[0]:
+                left, own = out[r[1]]["text"].split(), [w for w in r[1].split() if w not in set(passage)]
+                assert [w for w in left if w not in set(passage)] == own     # nothing but the passage went
+                assert sum(w in set(passage) for w in left) <= 51 - L.TREE.stretch
+
+
+def test_records_meet_in_any_fifty_shared_tokens():
+    rng = random.Random(8)
+    for n in (50, 51, 80):
+        for _ in range(30):
+            passage = [w.encode() for w in prose(rng, n)]
+            a, b = ([w.encode() for w in prose(rng, rng.randrange(40))] + passage + [w.encode() for w in prose(rng, rng.randrange(40))]
+                    for _ in range(2))
+            assert np.intersect1d(L.records(a)[1], L.records(b)[1]).size
+    same = [b"tie"] * 500
+    assert len(set(L.records(same)[1].tolist())) == 1 and not L.records(same[:49])[0].size

@@ -12,6 +12,7 @@ from runlens.llm.common import staged
 
 from .conftest import EDGE_ROWS, doc, schema
 from .test_line_templates import naive as naive_lines
+from .test_line_templates import tokens_by_line
 from .test_order_minhash import brute, edited
 from .test_quality import base
 
@@ -45,11 +46,10 @@ def test_quality_rules(kept):
 def test_line_dedup(kept):
     rows = [(r["doc_id"], r["text"]) for r in kept["quality_rules"]]
     want = Counter()
-    for (doc_id, text), gone in zip(rows, naive_lines(rows, line_templates.TREE)):
-        left = "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone)
-        if re.search(r"[^\x20\x09-\x0D]", left):
-            want[doc_id, left] += 1
-    assert Counter((r["doc_id"], r["text"]) for r in kept["line_dedup"]) == want
+    for (doc_id, text), (_, left) in zip(rows, naive_lines(rows, line_templates.TREE)):
+        if any(left):
+            want[doc_id, tuple(map(tuple, left))] += 1
+    assert Counter((r["doc_id"], tuple(map(tuple, tokens_by_line(r["text"])))) for r in kept["line_dedup"]) == want
     changed = {(r["doc_id"], r["text"]) for r in kept["line_dedup"]} - set(rows)
     assert changed and all(r["n_chars"] == len(r["text"]) for r in kept["line_dedup"] if (r["doc_id"], r["text"]) in changed)
 
