@@ -43,17 +43,17 @@ tables give empty results. Other columns are carried whatever their names.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import WORD, staged, text_slices, texts_of
+from .common import staged, text_slices, texts_of
 
 
 @dataclass(frozen=True)
@@ -69,63 +69,112 @@ class Tree:
 
 
 TREE = Tree()
-_FIELD = re.compile(rb"\S*[0-9]\S*")
-_DIGIT = re.compile(rb"[0-9]")
-_WORD = re.compile(WORD.encode())
 _LAST = (1 << 63) - 1  # stands for a null id in comparisons
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_FIELD = np.uint64(xxh3_64_intdigest(b"<*>"))  # what a variable field is to a template
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\x0b\x0c\r")] = True
+_DIGIT = np.zeros(256, bool)
+_DIGIT[list(b"0123456789")] = True
 LINE, LONG, RECORD = 0, 1, 2  # what a key is: a template, the own template of a long line, a stretch
+_OWN, _AS_IS, _OPEN, _STRETCH = 1, 2, 3, 6  # keeps the kinds of keys apart; the three open thirds are 3, 4 and 5
 
 
-def templates(line: bytes, p: Tree = TREE) -> list[bytes]:
-    """The templates of a line, its own first; none for a short line."""
-    tokens = line.split()
-    n = len(tokens)
-    if n < p.min_tokens:
-        return []
-    if _DIGIT.search(line):
-        masked = _FIELD.sub(b"<*>", line).split()
-
-        def few(kept: list[bytes]) -> bool:
-            constant = sum(t != b"<*>" for t in kept)
-            return constant < p.min_constant or 2 * constant < len(kept)
-
-        if few(masked):
-            return [b"= " + b" ".join(tokens)]
-        tokens = masked
-    else:
-        def few(kept: list[bytes]) -> bool:
-            return False
-    out = [b" ".join(tokens)]
-    if n >= p.min_open:
-        rest = n - p.depth
-        a, b = p.depth + rest // 3, p.depth + 2 * rest // 3
-        # the borders of the open stretch follow from n, which the key holds
-        for k, (lo, hi) in enumerate(((p.depth, a), (a, b), (b, n)), 1):
-            if not few(tokens[:lo] + tokens[hi:]):
-                out.append(b"%d %d " % (n, k) + b" ".join([*tokens[:lo], b"*", *tokens[hi:]]))
-    return out
-
-
-def records(tokens: list[bytes], p: Tree = TREE) -> tuple[np.ndarray, np.ndarray]:
-    """First token and key of the chosen stretches of a text."""
-    many = len(tokens) - p.stretch + 1
-    if many < p.spread:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = np.fromiter(map(xxh3_64_intdigest, tokens), np.uint64, len(tokens))
-    # polynomial hash of every stretch from running totals; the base is odd, so its powers have inverses
-    up = np.cumprod(np.full(len(h), _BASE, np.uint64))
-    down = np.cumprod(np.full(many, pow(_BASE, -1, 1 << 64), np.uint64))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up, dtype=np.uint64)])
-    key = (total[p.stretch:] - total[:-p.stretch]) * down
+def _key(total: np.ndarray, n: np.ndarray | int, salt: int) -> np.ndarray:
+    key = total + np.asarray(n).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(salt * 0x9FB21C651E98DF25 % (1 << 64))
     key = (key ^ (key >> np.uint64(32))) * _MIX
-    key ^= key >> np.uint64(29)
-    view = np.lib.stride_tricks.sliding_window_view(key, p.spread)
-    step = 1 << 16  # bounds the temporaries of a very long text
-    at = np.unique(np.concatenate([view[i:i + step].argmin(axis=1) + np.arange(i, min(i + step, len(view)))
-                                   for i in range(0, len(view), step)]))
-    return at, key[at]
+    return key ^ (key >> np.uint64(29))
+
+
+def _tokens(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each token, and first byte of each line."""
+    data = np.frombuffer(text, np.uint8)
+    solid = ~_BLANK[data]
+    return (np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]])),
+            np.concatenate([[0], np.flatnonzero(data == 10) + 1]).astype(np.int64))
+
+
+class Hashes:
+    """Hash of any stretch of tokens from running totals: the sum of token hash times base ^ place. The base is odd, so
+    its powers have inverses and the place can be counted from the beginning of the stretch."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(
+            tokens * np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(len(tokens) - 1, 0), _BASE, np.uint64))])[:len(tokens)],
+            dtype=np.uint64)])
+        self.down = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(tokens), pow(_BASE, -1, 1 << 64), np.uint64))])
+
+    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.total[b] - self.total[a]
+
+
+def chosen(key: np.ndarray, end: np.ndarray, p: Tree) -> np.ndarray:
+    """Stretches that are records: the least of any ``spread`` in a row in one text, the left one of equals. ``end``: the
+    token after the text of the token where a stretch begins."""
+    bits = 22  # the place beside the hash; more tokens than this are no more than a slice has, but for one longer text
+    low = np.uint64((1 << bits) - 1)
+    least = (key & ~low) | (np.arange(len(key)).astype(np.uint64) & low)
+    have = 1
+    while have < p.spread:  # minimum of 1, 2, 4, ... and then of spread
+        step = min(have, p.spread - have)
+        least = np.minimum(least[:-step], least[step:])
+        have += step
+    at = np.arange(len(least))
+    at = at[at + p.spread + p.stretch - 1 <= end[:len(least)]]
+    return np.unique(at + ((least[at] - at.astype(np.uint64)) & low).astype(np.int64))
+
+
+def keys_of(texts: list[bytes], p: Tree = TREE) -> tuple[np.ndarray, ...]:
+    """Text number, key, kind and place (line number, or first token of a RECORD) of every key of every line and stretch.
+
+    All tokens of the texts are handled at once as arrays."""
+    text = b"\n".join(texts)
+    tokens = text.split()
+    raw = np.fromiter(map(xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+    start, line = _tokens(text)
+    text_start = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    field = np.zeros(len(raw), bool)
+    if len(raw):
+        field = np.logical_or.reduceat(_DIGIT[np.frombuffer(text, np.uint8)], start)
+    as_is, masked = Hashes(raw), Hashes(np.where(field, _FIELD, raw))
+    fields = np.concatenate([[0], np.cumsum(field)])
+
+    first = np.searchsorted(start, line)                                    # tokens before each line
+    n = np.diff(np.append(first, len(raw)))
+    of_line = np.searchsorted(text_start, line, side="right") - 1
+    first_line = np.searchsorted(line, text_start[:-1])
+    use = np.flatnonzero(n >= p.min_tokens)
+    lo, n, hi = first[use], n[use], first[use] + n[use]
+
+    def data(kept: np.ndarray, variable: np.ndarray) -> np.ndarray:
+        """Whether a template has fields and too few other tokens."""
+        return (fields[hi] > fields[lo]) & ((kept - variable < p.min_constant) | (2 * (kept - variable) < kept))
+
+    rows = data(n, fields[hi] - fields[lo])
+    own = np.where(rows, _key(as_is.between(lo, hi) * as_is.down[lo], n, _AS_IS), _key(masked.between(lo, hi) * masked.down[lo], n, _OWN))
+    out = [(use, own, np.where(n >= p.long_tokens, LONG, LINE))]
+    rest = np.maximum(n - p.depth, 0)
+    cuts = [np.minimum(lo + p.depth + x, hi) for x in (0, rest // 3, 2 * rest // 3, rest)]
+    for k in range(3):
+        a, b = cuts[k], cuts[k + 1]
+        take = (n >= p.min_open) & ~rows & ~data(n - (b - a), fields[hi] - fields[lo] - fields[b] + fields[a])
+        key = _key((masked.between(lo, a) + masked.between(b, hi)) * masked.down[lo], n, _OPEN + k)
+        out.append((use[take], key[take], np.full(take.sum(), LINE)))
+    at = np.concatenate([x[0] for x in out])
+    row, key, kind, place = of_line[at], np.concatenate([x[1] for x in out]), np.concatenate([x[2] for x in out]), at - first_line[of_line[at]]
+
+    many = len(raw) - p.stretch + 1
+    if many >= p.spread:
+        begin = np.arange(many)
+        stretch = _key(as_is.between(begin, begin + p.stretch) * as_is.down[:many], p.stretch, _STRETCH)
+        text_first = np.append(np.searchsorted(start, text_start[:-1]), len(raw))
+        of = np.repeat(np.arange(len(texts)), np.diff(text_first))[:many]
+        at = chosen(stretch, text_first[of + 1], p)
+        row, key = np.concatenate([row, of[at]]), np.concatenate([key, stretch[at]])
+        kind = np.concatenate([kind, np.full(len(at), RECORD)])
+        place = np.concatenate([place, at - text_first[of[at]]])
+    return row, key, kind, place
 
 
 def keyed(docs: DataFrame, p: Tree = TREE) -> DataFrame:
@@ -133,30 +182,17 @@ def keyed(docs: DataFrame, p: Tree = TREE) -> DataFrame:
     numbers, or first tokens of a RECORD."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
-            of, keys, kinds, places = [], [], [], []
-            for row, text in enumerate(texts_of(b.column("text"))):
-                found: dict[int, list[int]] = {}
-                long: set[int] = set()
-                for number, line in enumerate(text.split(b"\n")):
-                    made = [xxh3_64_intdigest(t) for t in templates(line, p)]
-                    for k in made:
-                        found.setdefault(k, []).append(number)
-                    if made and len(line.split()) >= p.long_tokens:
-                        long.add(made[0])
-                kinds += [LONG if k in long else LINE for k in found]
-                stretches: dict[int, list[int]] = {}
-                for at, k in zip(*(x.tolist() for x in records(text.split(), p))):
-                    stretches.setdefault(k, []).append(at)
-                kinds += [RECORD] * len(stretches)
-                for kind in (found, stretches):
-                    of += [row] * len(kind)
-                    keys += kind
-                    places += kind.values()
-            of = pa.array(of, pa.int64())
+            row, key, kind, place = keys_of(texts_of(b.column("text")), p)
+            order = np.lexsort((place, key, row))
+            row, key, kind, place = row[order], key[order], kind[order], place[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+            begin = np.flatnonzero(new)
+            of = pa.array(row[begin], pa.int64())
+            places = pa.ListArray.from_arrays(pa.array(np.append(begin, len(row)), pa.int32()), pa.array(place, pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(kinds, pa.int8()), b.column("doc_id").take(of),
-                 b.column("text_key").take(of), pa.array(places, pa.list_(pa.int32()))],
-                names=["key", "kind", "doc_id", "text_key", "places"])
+                [pa.array(key[begin].view(np.int64)), pa.array(kind[begin], pa.int8()), b.column("doc_id").take(of),
+                 b.column("text_key").take(of), places], names=["key", "kind", "doc_id", "text_key", "places"])
 
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     return d.mapInArrow(rows, "key bigint, kind tinyint, doc_id bigint, text_key bigint, places array<int>")
@@ -184,37 +220,37 @@ def without(text: bytes, hits: list[dict], p: Tree = TREE) -> tuple[bytes, list[
     """What is left of a text, the numbers of its dropped lines, and first and end token of each dropped passage."""
     lines = text.split(b"\n")
     gone = {n for h in hits if h["kind"] == LINE for n in h["places"]}
+    if all(h["kind"] == LINE for h in hits):
+        return b"\n".join(x for n, x in enumerate(lines) if n not in gone), sorted(gone), []
     long = {n for h in hits if h["kind"] == LONG for n in h["places"]} - gone
-    spans = [m.span() for m in _WORD.finditer(text)]
-    covered = np.zeros(len(spans), bool)
+    start, line = _tokens(text)
+    first = np.append(np.searchsorted(start, line), len(start))
+    covered, out = np.zeros(len(start), bool), np.zeros(len(start), bool)
     for h in hits:
         if h["kind"] == RECORD:
             for at in h["places"]:
                 covered[at:at + p.stretch] = True
-    first = np.cumsum([0, *[len(x.split()) for x in lines]])
-    out = np.zeros(len(spans), bool)
-    for n in range(len(lines)):
-        if n in gone:
-            out[first[n]:first[n + 1]] = True
-        elif n in long:
-            covered[first[n]:first[n + 1]] = True
+    for n in long:
+        covered[first[n]:first[n + 1]] = True
+    for n in gone:
+        out[first[n]:first[n + 1]] = True
     covered &= ~out
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8))).reshape(-1, 2)
-    if len(edge) > 1 and 2 * covered.sum() > len(spans) - out.sum():
-        edge, covered[:] = edge[:0], False
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], covered, [0]]))).reshape(-1, 2)
+    if len(edge) > 1 and 2 * covered.sum() > len(start) - out.sum():
+        return b"\n".join(x for n, x in enumerate(lines) if n not in gone), sorted(gone), []
+    touched = np.searchsorted(first, np.flatnonzero(covered), side="right") - 1
     # a line goes as a whole if its template recurs or passages take all its tokens
-    drop = [n for n in range(len(lines)) if n in gone or first[n] < first[n + 1] and (covered | out)[first[n]:first[n + 1]].all()]
-    whole, kept, start = set(drop), [], 0
-    for n, line in enumerate(lines):
-        if n not in whole:
-            inside = np.flatnonzero(covered[first[n]:first[n + 1]]) + first[n]
-            left, at = [], start
-            for k in inside.tolist():  # a token goes with the blanks after it
-                left.append(text[at:spans[k][0]])
-                at = spans[k + 1][0] if k + 1 < first[n + 1] else start + len(line)
-            kept.append(b"".join([*left, text[at:start + len(line)]]))
-        start += len(line) + 1
-    return b"\n".join(kept), drop, edge.ravel().tolist()
+    taken = np.bincount(touched, minlength=len(lines))
+    drop = gone | set(np.flatnonzero((taken > 0) & (taken == np.diff(first))).tolist())
+    for n in set(touched.tolist()) - drop:
+        a, b, begin, stop = int(first[n]), int(first[n + 1]), int(line[n]), int(line[n]) + len(lines[n])
+        after = [*start[a + 1:b].tolist(), stop]  # a token goes with the blanks after it
+        at, left = begin, []
+        for k in np.flatnonzero(covered[a:b]).tolist():
+            left.append(text[at:int(start[a + k])])
+            at = after[k]
+        lines[n] = b"".join([*left, text[at:stop]])
+    return b"\n".join(x for n, x in enumerate(lines) if n not in drop), sorted(drop), edge.ravel().tolist()
 
 
 def without_templates(docs: DataFrame, p: Tree = TREE) -> DataFrame:
@@ -226,17 +262,22 @@ def without_templates(docs: DataFrame, p: Tree = TREE) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
-            texts = b.column("text").to_pylist()
-            dropped: list = [None] * len(texts)
-            passages: list = [None] * len(texts)
-            for i, hits in enumerate(b.column("hits").to_pylist()):
-                if hits is not None:
-                    left, lines, edges = without(texts[i].encode(), hits, p)
-                    if lines or edges:
-                        texts[i], dropped[i], passages[i] = left.decode(), lines, edges
+            dropped: list = [None] * b.num_rows
+            passages: list = [None] * b.num_rows
+            with_hits = pc.indices_nonzero(b.column("hits").is_valid())
+            left = {}
+            some = b.select(["text", "hits"]).take(with_hits)
+            for i, text, hits in zip(with_hits.to_pylist(), texts_of(some.column("text")), some.column("hits").to_pylist()):
+                rest, lines, edges = without(text, hits, p)
+                if lines or edges:
+                    left[i], dropped[i], passages[i] = rest, lines, edges
+            texts = b.column("text")
+            if left:
+                changed = np.zeros(b.num_rows, bool)
+                changed[list(left)] = True
+                texts = pc.replace_with_mask(texts, pa.array(changed), pa.array(list(left.values()), pa.binary()).cast(pa.string()))
             yield pa.RecordBatch.from_arrays(
-                [b.column("row"), pa.array(dropped, pa.list_(pa.int32())), pa.array(passages, pa.list_(pa.int32())),
-                 pa.array(texts, pa.string())], names=["row", "dropped", "passages", "text"])
+                [b.column("row"), pa.array(dropped, pa.list_(pa.int32())), pa.array(passages, pa.list_(pa.int32())), texts], names=["row", "dropped", "passages", "text"])
 
     kind = rows.schema["row"].dataType.simpleString()
     return rows.select("row", F.col("row.text").alias("text"), "hits").mapInArrow(

@@ -12,11 +12,42 @@ from runlens.llm import queries
 from .conftest import EDGE_ROWS, doc, schema
 
 
+def templates(line: bytes, p=L.TREE) -> list[bytes]:
+    """The templates of a line, its own first; none for a short line."""
+    tokens = line.split()
+    n = len(tokens)
+    if n < p.min_tokens:
+        return []
+    if re.search(rb"[0-9]", line):
+        masked = re.sub(rb"\S*[0-9]\S*", b"<*>", line).split()
+
+        def few(kept: list[bytes]) -> bool:
+            constant = sum(t != b"<*>" for t in kept)
+            return constant < p.min_constant or 2 * constant < len(kept)
+
+        if few(masked):
+            return [b"= " + b" ".join(tokens)]
+        tokens = masked
+    else:
+        def few(kept: list[bytes]) -> bool:
+            return False
+    out = [b" ".join(tokens)]
+    if n >= p.min_open:
+        rest = n - p.depth
+        a, b = p.depth + rest // 3, p.depth + 2 * rest // 3
+        # the borders of the open stretch follow from n, which the key holds
+        for k, (lo, hi) in enumerate(((p.depth, a), (a, b), (b, n)), 1):
+            if not few(tokens[:lo] + tokens[hi:]):
+                out.append(b"%d %d " % (n, k) + b" ".join([*tokens[:lo], b"*", *tokens[hi:]]))
+    return out
+
+
 def plain_records(tokens, p):
     """First token -> words of the chosen stretches, by whole-number loops."""
     m, half = 1 << 64, []
     for i in range(len(tokens) - p.stretch + 1):
-        k = sum(xxh3_64_intdigest(t.encode()) * pow(L._BASE, j, m) for j, t in enumerate(tokens[i:i + p.stretch])) % m
+        k = sum(xxh3_64_intdigest(t.encode()) * pow(L._BASE, j, m) for j, t in enumerate(tokens[i:i + p.stretch]))
+        k = (k + p.stretch * 0xA24BAED4963EE407 + L._STRETCH * 0x9FB21C651E98DF25) % m
         k = (k ^ k >> 32) * 0xD6E8FEB86659FD93 % m
         half.append(k ^ k >> 29)
     chosen = {min(range(i, i + p.spread), key=lambda j: half[j]) for i in range(len(half) - p.spread + 1)}
@@ -34,7 +65,7 @@ def naive(rows, p=L.TREE):
     docs, texts = defaultdict(set), defaultdict(set)
     for i, of in enumerate(lines):
         for line in of:
-            made = L.templates(line.encode(), p)
+            made = templates(line.encode(), p)
             for t in made:
                 docs[t].add(i)
             if made and len(words(line)) >= p.long_tokens:
@@ -57,11 +88,11 @@ def naive(rows, p=L.TREE):
             if passage(r, i):
                 state[k:k + p.stretch] = ["p"] * p.stretch
         for n, line in enumerate(of):
-            made = L.templates(line.encode(), p)
+            made = templates(line.encode(), p)
             if made and made[0] in texts and len(docs[made[0]]) < p.min_docs and passage(made[0], i):
                 state[at[n]:at[n + 1]] = ["p"] * len(words(line))
         for n, line in enumerate(of):
-            if any(often(t, i) for t in L.templates(line.encode(), p)):
+            if any(often(t, i) for t in templates(line.encode(), p)):
                 gone.add(n)
                 state[at[n]:at[n + 1]] = ["l"] * len(words(line))
         runs = sum(1 for k, x in enumerate(state) if x == "p" and (not k or state[k - 1] != "p"))
@@ -91,13 +122,13 @@ def check(df, rows, p=L.TREE):
 
 def test_templates():
     short, line = b"a b c 4", b"user 17 logged in from host h9 with key alpha beta gamma delta at 10:33 today"
-    assert L.templates(short) == []
-    own, *open_ = L.templates(line)
+    assert templates(short) == []
+    own, *open_ = templates(line)
     assert own.startswith(b"user <*> logged in from host <*> with") and len(open_) == 3
     other = line.replace(b"alpha beta", b"omega psi")      # one open stretch covers the change
-    assert len(set(L.templates(other)) & set(L.templates(line))) >= 1
-    assert not set(L.templates(line.replace(b"user", b"root"))) & set(L.templates(line))  # leading tokens are the path
-    assert not set(L.templates(line + b" x")) & set(L.templates(line))                    # and the token count
+    assert len(set(templates(other)) & set(templates(line))) >= 1
+    assert not set(templates(line.replace(b"user", b"root"))) & set(templates(line))  # leading tokens are the path
+    assert not set(templates(line + b" x")) & set(templates(line))                    # and the token count
 
 
 def test_documents_match_brute_force(documents, texts):
@@ -128,7 +159,7 @@ def test_rows_of_numbers_stay(spark):
     out = {r["doc_id"]: r["text"] for r in L.drop_templates(spark.createDataFrame(rows, schema()).repartition(3)).collect()}
     assert out[0] == rows[0][1]
     assert all(out[i] == rows[i][1].removesuffix("\n1 2 3 4 5 6") for i in range(1, 10))
-    assert L.templates(b"job 17 of host h9 done in 3.5 s") == [b"job <*> of host <*> done in <*> s"]
+    assert templates(b"job 17 of host h9 done in 3.5 s") == [b"job <*> of host <*> done in <*> s"]
 
 
 def test_long_passage_in_few_documents(spark, tmp_path):
@@ -185,6 +216,11 @@ def test_passage_inside_longer_lines(spark):
                 assert sum(w in set(passage) for w in left) <= 51 - L.TREE.stretch
 
 
+def records(tokens):
+    _, key, kind, place = L.keys_of([b" ".join(tokens)])
+    return place[kind == L.RECORD], key[kind == L.RECORD]
+
+
 def test_records_meet_in_any_fifty_shared_tokens():
     rng = random.Random(8)
     for n in (50, 51, 80):
@@ -192,6 +228,22 @@ def test_records_meet_in_any_fifty_shared_tokens():
             passage = [w.encode() for w in prose(rng, n)]
             a, b = ([w.encode() for w in prose(rng, rng.randrange(40))] + passage + [w.encode() for w in prose(rng, rng.randrange(40))]
                     for _ in range(2))
-            assert np.intersect1d(L.records(a)[1], L.records(b)[1]).size
+            assert np.intersect1d(records(a)[1], records(b)[1]).size
     same = [b"tie"] * 500
-    assert len(set(L.records(same)[1].tolist())) == 1 and not L.records(same[:49])[0].size
+    assert len(set(records(same)[1].tolist())) == 1 and not records(same[:49])[0].size
+
+
+def test_keys_are_the_templates(documents, texts):
+    """Two lines of the whole fixture share a key exactly if they share a template."""
+    lines = sorted({x.encode() for t in texts.values() for x in t.split("\n")} | {b"", b"a", b"1 2 3 4 5", b"x 1 y 2 z 3 and more words of it 4 5"})
+    row, key, kind, place = L.keys_of(lines)
+    got, want = defaultdict(set), defaultdict(set)
+    for r, k, kd in zip(row.tolist(), key.tolist(), kind.tolist()):
+        if kd != L.RECORD:
+            got[k].add(r)
+    for i, line in enumerate(lines):
+        for t in templates(line):
+            want[t].add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and not place[kind != L.RECORD].any()
+    empty = L.keys_of([])
+    assert all(len(x) == 0 for x in empty)
