@@ -77,6 +77,7 @@ _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\n\x0b\x0c\r")] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[list(b"0123456789")] = True
+_SLICE = 1 << 19  # text bytes handled at once: about twenty arrays of eight bytes a token
 LINE, LONG, RECORD = 0, 1, 2  # what a key is: a template, the own template of a long line, a stretch
 _OWN, _AS_IS, _OPEN, _STRETCH = 1, 2, 3, 6  # keeps the kinds of keys apart; the three open thirds are 3, 4 and 5
 
@@ -181,7 +182,7 @@ def keyed(docs: DataFrame, p: Tree = TREE) -> DataFrame:
     """``docs(doc_id, text)`` -> key, kind, doc_id, text_key, places: one row per document and key; places: line
     numbers, or first tokens of a RECORD."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches):
+        for b in text_slices(batches, max_bytes=_SLICE):
             row, key, kind, place = keys_of(texts_of(b.column("text")), p)
             order = np.lexsort((place, key, row))
             row, key, kind, place = row[order], key[order], kind[order], place[order]
