@@ -8,7 +8,7 @@ Jensen-Shannon distance (base 2, 0 to 1) of either histogram from its language's
 the limit for its length. Guards: a histogram counts only if the document has the minimum length for it.
 
 Limits come from the spread of the distances of all documents of like length (half octaves of the
-number of code points or words): upper quartile plus ``fence`` quartile ranges. This spread counts as
+number of code points or words): upper quartile plus ``char_fence`` or ``word_fence`` quartile ranges. This spread counts as
 many documents as there are, and a fixed limit + noise / sqrt(length) as ``prior_docs`` more, so a
 length with few documents has about the fixed one, with no step between. The fixed limit is also the
 most, so that junk which makes up a large part of a length cannot widen its own limit. A language with fewer than
@@ -50,7 +50,8 @@ class Rules:
     min_chars: int = 200          # guard of the character classes
     min_sample_words: int = 25    # guard of the common words
     min_reference_docs: int = 20  # below: compared with all documents
-    fence: float = 3.0            # quartile ranges above the upper quartile
+    char_fence: float = 3.0       # quartile ranges above the upper quartile
+    word_fence: float = 6.0       # wider, as sound texts quote other languages
     prior_docs: int = 20          # weight of the fixed limits
     char_limit: float = 0.20
     char_noise: float = 1.2
@@ -244,8 +245,7 @@ def limits(rows: DataFrame, rules: Rules) -> dict[str, tuple[np.ndarray, np.ndar
     table = table.reshape(2, N_BANDS, _STEPS + 1).cumsum(axis=2)
     docs = table[:, :, -1]
     low, high = ((table >= np.ceil(q * docs)[:, :, None]).argmax(axis=2) / _STEPS for q in (0.25, 0.75))
-    fence = high + rules.fence * (high - low)
-    return {kind: (docs[k], fence[k]) for k, kind in enumerate(("char", "word"))}
+    return {kind: (docs[k], high[k] + getattr(rules, f"{kind}_fence") * (high[k] - low[k])) for k, kind in enumerate(("char", "word"))}
 
 
 FIGURES = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "

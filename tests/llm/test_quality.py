@@ -161,7 +161,7 @@ def plain_verdicts(rows, rules=quality.RULES):
             if many[kind, lang] >= rules.min_reference_docs:
                 like = sorted(spread[kind, int(2 * math.log2(n))])
                 low, high = (like[math.ceil(q * len(like)) - 1] for q in (0.25, 0.75))
-                fence = min(limit, high + rules.fence * (high - low))
+                fence = min(limit, high + getattr(rules, f"{kind}_fence") * (high - low))
                 limit = (len(like) * fence + rules.prior_docs * limit) / (len(like) + rules.prior_docs)
             bad |= d[i, kind] > limit
             margin = min(margin, abs(d[i, kind] - limit))
