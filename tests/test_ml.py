@@ -1,5 +1,6 @@
 """Model invariants (numbers differ from any other library; the rules must hold)."""
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from runlens.operators import ml as ML
@@ -56,3 +57,40 @@ def test_cross_validator_path(spark, sf):
     assert len(cvm.avgMetrics) == 1 and cvm.avgMetrics[0] > 0.8
     m = ML.evaluate(cvm.bestModel, d.filter("split = 'test'")).first()
     assert m.f1 > 0.8
+
+
+def test_a_fit_reads_bounded_parts(spark, monkeypatch):
+    """One file part of 400 rows, half of them alike: a fit gets them all, in parts of about FIT_ROWS."""
+    monkeypatch.setattr(ML, "FIT_ROWS", 50)
+    train = spark.range(400).select(F.when(F.col("id") < 200, F.col("id")).alias("id"), (F.col("id") % 2).cast("int").alias("label"),
+                                    *[(F.col("id") % (i + 2)).cast("double").alias(f) for i, f in enumerate(ML.FEATURES)]).coalesce(1)
+    seen = {}
+
+    class Fake:
+        def fit(self, rows):
+            seen["parts"] = [len(p) for p in rows.rdd.glom().collect()]
+            seen["rows"] = sorted(map(repr, rows.collect()))
+    monkeypatch.setattr(ML, "failure_pipeline", lambda label: Fake())
+    ML.train_failure_model(train)
+    assert len(seen["parts"]) == 8 and max(seen["parts"]) < 150
+    assert seen["rows"] == sorted(map(repr, train.collect()))
+    monkeypatch.setattr(ML, "FIT_ROWS", 400)
+    ML.train_failure_model(train)
+    assert seen["parts"] == [400]
+
+
+def test_scoring_deals_rows_out(spark):
+    """Models score rows of one large part in as many tasks as their size asks for, copies too."""
+    one = spark.range(1, numPartitions=1).select(F.explode(F.expr("sequence(1, 300)")).alias("k")).select(
+        (F.col("k") % 3).alias("id"), F.lit(1).alias("label"), *[F.lit(1.0).alias(f) for f in ML.FEATURES])
+
+    class Same:
+        def transform(self, rows):
+            seen.append(rows)
+            return rows.withColumn("probability", array_to_vector(F.array(F.lit(0.4), F.lit(0.6)))).withColumn("prediction", F.lit(1.0))
+    seen = []
+    p = ML.predict_failure(Same(), one, ["id"])
+    assert p.count() == 300 and ML.evaluate(Same(), one).first().accuracy == 1.0
+    for rows in seen:
+        assert "RebalancePartitions" in rows._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(rows.collect()) == sorted(one.collect())
