@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import healing as H
 from ..operators import runs as R
 from ..operators import vcs as V
+from ..operators.scan import written
 from ..sources import ingest as I
 from ..sources import json_files as JF
 from ..sources import store as ST
@@ -22,8 +23,10 @@ from .registry import register
 
 
 def _arriving(spark, df, name: str, order: str, **slices):
-    """A stream over an arrival folder filled from ``df``."""
-    return S.source(spark, S.landing(df, name, order=order, **slices), df.schema)
+    """A stream over an arrival folder filled from ``df``: as many micro-batches as slices, however many files a slice
+    has. With ``cuts``, which a batch must not cross, a file each."""
+    path = S.landing(df, name, order=order, **slices)
+    return S.source(spark, path, df.schema, 1 if slices else S.files_per_slice(spark, path))
 
 
 def _store(spark, name: str) -> tuple[Store, str]:
@@ -140,11 +143,11 @@ def stream_last_confidence(spark, sf):
 
 def _heal(spark, sf) -> Store:
     t = tables(spark, sf)
-    attrs = V.run_attributes(t.run_events)
+    attrs = written(V.run_attributes(t.run_events), "run-attributes")  # every micro-batch joins them
     context, _ = _store(spark, "repo_context")
     context.write({"context": H.repo_context(H.repo_file_pivot(t.repo_files), V.last_good_run(attrs))})
     logs = _arriving(spark, t.job_logs, "job_logs", "log_id")
-    return _run(L.heal_failures, logs, "heal_failures", attrs.select("run_id", "repo"), L.type_rates(_rates(t)), context)
+    return _run(L.heal_failures, logs, "heal_failures", attrs.select("run_id", "repo"), L.type_rates(written(_rates(t), "type-rates")), context)
 
 
 @register("stream_failure_pipeline", "select id, run_id, error_type, error_message, stack_trace, severity, created_at from failure_logs")

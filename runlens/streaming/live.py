@@ -24,6 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import classify_ops as K
 from ..operators import healing as H
+from ..operators.scan import spread
 from ..sources import ingest as I
 from ..sources.versioned import Store, compact, current, merged
 
@@ -245,7 +246,7 @@ def heal_failures(logs: DataFrame, store: Store, checkpoint: str, repos: DataFra
     repository's files and rollback commit; every micro-batch takes its newest version, and all plans of the
     batch go by that one."""
     def planned(batch: DataFrame) -> DataFrame:
-        analysis = K.analyze_failure(batch)
+        analysis = K.analyze_failure(spread(batch))
         analysis = probability(analysis).join(repos, "run_id", "left")
         plan = H.plan_healing(analysis, context.read("context", context.state()["version"]))
         plan = plan.select("log_id", "success", "action_type", "details", "changes_made")

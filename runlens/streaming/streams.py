@@ -44,6 +44,11 @@ def landing(df: DataFrame, name: str, order: str = "seq", slices: int = DEFAULT_
     return path
 
 
+def files_per_slice(spark: SparkSession, path: str, slices: int = DEFAULT_SLICES) -> int:
+    """Files of a micro-batch so that an arrival folder takes at most ``slices`` of them."""
+    return max(1, -(-len(spark.read.parquet(path).inputFiles()) // slices))
+
+
 def source(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 

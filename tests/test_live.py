@@ -206,3 +206,37 @@ def test_late_rows_are_kept_apart_and_windows_close(spark):
     state = store.state()
     windows = store.frame("windows", [p for p in store.parts("windows") if not p.get("closed")], state).count()
     assert 0 < windows <= 2 * (60 + 5)   # types x minutes of the delay and of a window
+
+
+def test_batches_do_not_grow_with_files(spark, monkeypatch):
+    """Eight files a slice: four micro-batches all the same, with every row once, and the run table they join is
+    computed ahead of them."""
+    from runlens.plans import q_streaming as Q
+    logs = spark.range(400, numPartitions=8).select(
+        ((F.col("id") * 7) % 400).alias("log_id"), F.concat(F.lit("r"), F.col("id") % 50).alias("run_id"),
+        F.lit("KeyError: 'x'").alias("logs"), F.timestamp_seconds(F.col("id")).cast("timestamp_ntz").alias("created_at"))
+    path = S.landing(logs, "many_files", order="log_id")
+    assert S.files_per_slice(spark, path) == 8
+    stream = Q._arriving(spark, logs, "many_files", "log_id")
+    store, checkpoint = Store(spark, folder(spark, "store")), folder(spark, "checkpoint")
+    context = Store(spark, folder(spark, "context"))
+    context.write({"context": spark.createDataFrame([], "repo string, requirements string, pytest_ini string, workflow string, rollback_sha string")})
+    repos = spark.range(50).select(F.concat(F.lit("r"), F.col("id")).alias("run_id"), F.lit("repo").alias("repo"))
+    L.heal_failures(stream, store, checkpoint, repos, lambda a: a.withColumn("heal_probability", F.lit(0.5)), context).awaitTermination()
+    assert store.state()["batches"] == {"heal_failures": 3}
+    ids = sorted(r.log_id for r in store.read("notifications").collect())
+    assert ids == list(range(400)) and store.read("failure_logs").count() == 400
+
+
+def test_heal_stream_joins_written_runs(spark, monkeypatch):
+    from runlens.plans import q_streaming as Q
+    seen = {}
+    monkeypatch.setattr(Q.L, "heal_failures", lambda stream, store, checkpoint, repos, *a, **k: seen.update(repos=repos) or Q_Done())
+    monkeypatch.setattr(Q, "_arriving", lambda *a, **k: spark.range(0))
+
+    class Q_Done:
+        def awaitTermination(self):
+            pass
+    Q._heal(spark, "/root/testdata/sf0.001")
+    plan = seen["repos"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
