@@ -94,3 +94,28 @@ def test_scoring_deals_rows_out(spark):
     for rows in seen:
         assert "RebalancePartitions" in rows._jdf.queryExecution().optimizedPlan().toString()
         assert sorted(rows.collect()) == sorted(one.collect())
+
+
+def test_a_fit_of_few_rows_is_not_one_part(spark, monkeypatch):
+    """Fewer rows than FIT_ROWS are parts of FIT_LEAST rows, up to FIT_PARTS of them; more rows are parts of FIT_ROWS."""
+    monkeypatch.setattr(ML, "FIT_LEAST", 100, raising=False)
+    monkeypatch.setattr(ML, "FIT_ROWS", 2000)
+    parts = lambda n: ML.fit_parts(spark.range(n).coalesce(1)).rdd.getNumPartitions()
+    assert [parts(n) for n in (100, 1000, 2400, 5000, 60000)] == [1, 10, 24, 24, 30]
+    rows = ML.fit_parts(spark.range(1000).coalesce(1)).rdd.glom().collect()
+    assert max(map(len, rows)) < 200 and sorted(r.id for p in rows for r in p) == list(range(1000))
+
+
+def test_healing_samples_are_computed_once(spark, monkeypatch):
+    """The analysis behind the samples runs once, not again for the decision, the scaler, the split points and the boosting."""
+    monkeypatch.setitem(ML.BOOSTING, "maxIter", 2)
+    seen = spark.sparkContext.accumulator(0)
+
+    def row(i):
+        seen.add(1)
+        return (i % 2, *[float((i + k) % (k + 2)) for k in range(len(ML.HEALING_FEATURES))])
+    samples = spark.createDataFrame(spark.sparkContext.parallelize(range(200), 2).map(row),
+                                    "label int, " + ", ".join(f"{f} double" for f in ML.HEALING_FEATURES))
+    model, decision = ML.train_healing_model(samples)
+    assert decision["n_samples"] == 200 and model is not None
+    assert seen.value == 200
