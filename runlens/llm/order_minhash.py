@@ -23,7 +23,8 @@ texts of different classes only. It ends when every bucket is done or has had al
 compared, so no link that would join two classes is lost, whatever the size of a bucket.
 
 Scale: no bucket is gathered: drawing is a few minima per key with partial aggregation, pairs are
-a join on the key, and each pair's k-mers join to it afterwards. Text hashes are 64 bits.
+a join on the key, and each pair's k-mers join to it afterwards, if the counts of k-mers by place, an upper
+bound of what two texts have in common, leave them near. Text hashes are 64 bits.
 
 Edge cases: null text counts as empty; texts without a k-mer (fewer than five words) are near their
 equals in words only; the empty texts are one class. A class is named by its least id; null ids
@@ -172,13 +173,31 @@ def similarity(a: np.ndarray, b: np.ndarray, at_least: float) -> float:
     return common / (n + m - common)
 
 
+def counts(x: np.ndarray) -> bytes:
+    """Number of k-mers (up to 255) by their last bits, in as many places as there are k-mers, or up to twice as many."""
+    places = 1 << max(6, int(len(x) - 1).bit_length())
+    return np.minimum(np.bincount((x & np.uint64(places - 1)).astype(np.int64), minlength=places), 255).astype(np.uint8).tobytes()
+
+
+def may_be_near(a: bytes, b: bytes, n: int, m: int, at_least: float) -> bool:
+    """False if the ``counts`` of two texts of ``n`` and ``m`` k-mers rule out that they are ``at_least`` alike: they have no
+    more k-mers in common than the lesser count of each place."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    if x.max() == 255 or y.max() == 255:
+        return True  # places that were not counted to the end
+    common = int(np.minimum(x, y.reshape(-1, len(x)).sum(axis=0)).sum())
+    return common >= at_least * (n + m) / (1 + at_least) - 1e-9
+
+
 def _sequences(texts: DataFrame, p: Sketching) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
             xs = [kmers(t, p) for t in texts_of(b.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [b.column("tid"), pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64()))], names=["tid", "kmers"])
-    return texts.select("tid", "text").mapInArrow(make, "tid bigint, kmers array<bigint>")
+                [b.column("tid"), pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64())),
+                 pa.array([len(x) for x in xs], pa.int32()), pa.array([counts(x) for x in xs], pa.binary())],
+                names=["tid", "kmers", "n", "counts"])
+    return texts.select("tid", "text").mapInArrow(make, "tid bigint, kmers array<bigint>, n int, counts binary")
 
 
 def buckets(texts: DataFrame, p: Sketching = SKETCHING) -> DataFrame:
@@ -240,18 +259,33 @@ def links(docs: DataFrame, p: Sketching = SKETCHING) -> tuple[DataFrame, DataFra
 
 
 def verified(pairs: DataFrame, sequences: DataFrame, p: Sketching = SKETCHING) -> DataFrame:
-    """``pairs(a, b)`` -> those at least ``at_least`` alike."""
+    """``pairs(a, b)`` -> those at least ``at_least`` alike. Their k-mers are fetched for the pairs only that the much
+    smaller ``counts`` of both texts do not rule out."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = (b.column(c).to_pylist() for c in ("xa", "xb", "na", "nb"))
+            yield b.select(["a", "b"]).filter(pa.array([may_be_near(*r, p.at_least) for r in zip(*cols)], pa.bool_()))
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (b.column(c) for c in ("xa", "xb"))
             xs, ys = x.flatten().to_numpy().view(np.uint64), y.flatten().to_numpy().view(np.uint64)
             xe, ye = (np.r_[0, np.cumsum(c.value_lengths().to_numpy())] for c in (x, y))
             near = [similarity(xs[xe[i]:xe[i + 1]], ys[ye[i]:ye[i + 1]], p.at_least) >= p.at_least - 1e-9 for i in range(len(b))]
-            yield b.select(["a", "b"]).filter(pa.array(near))
-
-    j = pairs.join(sequences.select(F.col("tid").alias("a"), F.col("kmers").alias("xa"), F.size("kmers").alias("na")), "a")
-    j = j.join(sequences.select(F.col("tid").alias("b"), F.col("kmers").alias("xb"), F.size("kmers").alias("nb")), "b")
-    j = j.where(F.least("na", "nb") >= p.at_least * F.greatest("na", "nb") - F.lit(1e-9))
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    def with_both(pairs: DataFrame, texts: DataFrame, value: str) -> DataFrame:
+        for side in "ab":
+            of = texts.select(F.col("tid").alias(side), F.col("n").alias(f"n{side}"), F.col(value).alias(f"x{side}"))
+            pairs = pairs.join(of, side)
+        return pairs
+
+    j = with_both(pairs, sequences, "counts").where(F.least("na", "nb") >= p.at_least * F.greatest("na", "nb") - F.lit(1e-9))
+    pairs = staged(j.select("a", "b", "xa", "xb", "na", "nb").mapInArrow(compare, "a bigint, b bigint"), "omh-may")
+    if pairs.isEmpty():
+        return pairs
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
+    j = with_both(pairs, sequences.join(asked, "tid", "left_semi"), "kmers")
     return j.select("a", "b", "xa", "xb").mapInArrow(check, "a bigint, b bigint")
 
 

@@ -190,3 +190,44 @@ def test_components(spark):
     got = {r["node"]: r["label"] for r in C.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     linked = {i for a, b in pairs if a != b for i in (a, b)}
     assert got == {i: top(i) for i in linked}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_counts_rule_out_no_near_pair(seed):
+    """The bound from counts is never below the similarity, whatever the lengths; it rules out texts that differ."""
+    rng = random.Random(seed)
+    ruled_out = 0
+    for _ in range(30):
+        words = rng.choice([3, 8, 60, 63, 64, 70, 130, 150, 300, 600])
+        a = " ".join(rng.choice([f"w{rng.randrange(40)}", f"w{rng.randrange(10**6)}"]) for _ in range(words))
+        x, y = O.kmers(a.encode()), O.kmers(edited(rng, a, rng.choice([0.005, 0.01, 0.03, 0.06])).encode())
+        may = O.may_be_near(O.counts(x), O.counts(y), len(x), len(y), 0.8)
+        assert may or O.similarity(x, y, 0.8) < 0.8
+        assert may == O.may_be_near(O.counts(y), O.counts(x), len(y), len(x), 0.8)
+        ruled_out += not may
+    assert ruled_out
+    full = np.arange(400, dtype=np.uint64) << np.uint64(20)  # all in one place, more than a byte counts
+    assert O.may_be_near(O.counts(full), O.counts(full), 400, 400, 0.8)
+
+
+def test_kmers_are_fetched_for_few_pairs(spark, monkeypatch):
+    """Texts that share many words and sketches but are not near are ruled out before their k-mers are joined to them."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for at in range(5 + i % 3, 150, 25):
+            w[at] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join([*base[:149], f"end{i}"])) for i in range(20)]
+    made = defaultdict(int)
+    plain = O.staged
+
+    def counted(df, name):
+        out = plain(df, name)
+        made[name] += out.count()
+        return out
+    monkeypatch.setattr(O, "staged", counted)
+    check(spark.createDataFrame([doc(*r) for r in rows], schema()), rows)
+    assert made["omh-pairs"] > 500 and made["omh-may"] < made["omh-pairs"] / 3
