@@ -17,12 +17,14 @@ k-mers match at most one place each, so alignment is a longest increasing run of
 
 Pairs: a bucket's members are not compared with one another but with a few drawn members, first of
 all its middle, the text that meets the most others over all sketches. After a round, classes are
-the connected components of all links so far; a bucket whose texts are in one class is done. In
-the others the drawn members, having met all, leave, and the next round draws again and compares
+the connected components of all links so far; a bucket whose texts are in one class is done. The texts
+of the others change to buckets of their rarest k-mers (``by_rarest``), an exact prefix filter: what
+texts share because many do (a passage, a template) brings them together no longer, unless it is nearly
+all they have. There, too, the drawn members, having met all, leave, and the next round draws more and compares
 texts of different classes only. It ends when every bucket is done or has had all such pairs
 compared, so no link that would join two classes is lost, whatever the size of a bucket.
 
-Scale: no bucket is gathered: drawing is a few minima per key with partial aggregation, pairs are
+Scale: no bucket is gathered: drawing is by a hash and the bucket's size, pairs are
 a join on the key, and each pair's k-mers join to it afterwards, if the counts of k-mers by place, an upper
 bound of what two texts have in common, leave them near. Text hashes are 64 bits.
 
@@ -42,7 +44,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -58,11 +60,12 @@ class Sketching:
     at_least: float = 0.8
     exact: int = 14       # k-mers of texts that meet by what they have in common
     doubled: int = 80     # k-mers of texts that get twice the sketches
-    draws: int = 8        # per bucket in the second round, besides its middle; one in the first, then doubling
+    draws: int = 8        # per bucket in the second round, besides its middle; one in the first, then four times as many each
     seed: int = 11
 
 
 SKETCHING = Sketching()
+LENGTHS = 1.02  # longest to shortest text of a bucket by rarest k-mers
 _CELLS = 1 << 20  # k-mers times sketches hashed at once
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -224,23 +227,19 @@ def links(docs: DataFrame, p: Sketching = SKETCHING) -> tuple[DataFrame, DataFra
     live = staged(made.join(sizes, "key"), "omh-live")
     # how many texts a text meets over all sketches: the middle of a group meets the most
     weight = live.groupBy("tid").agg(F.sum("n").alias("weight"))
-    live = staged(live.drop("n").join(weight, "tid"), "omh-live")
+    live = staged(live.drop("n").join(weight, "tid").select("*", F.col("tid").alias("label"), F.lit(0).alias("n"), F.lit(0).alias("room")), "omh-live")
     sequences = staged(_sequences(docs.join(weight.select("tid"), "tid", "left_semi").dropDuplicates(["tid"]), p), "omh-kmers")
     found, asked, round_ = None, None, 0
     while True:
-        # drawn are the member that meets the most, and those whose hashes, turned by a constant of the
-        # draw, are least; the turn is undone to get the hash back
-        n = p.draws << min(round_ - 1, 4) if round_ else 1
-        turns = [F.lit(int(t)) for t in _stir(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(round_ << 20)).view(np.int64)]
-        drawn = live.groupBy("key").agg(F.max_by("tid", F.struct("weight", "tid")).alias("middle"),
-                                        *[F.min(F.col("tid").bitwiseXOR(t)).alias(f"r{i}") for i, t in enumerate(turns)])
-        drawn = staged(drawn.select("key", F.explode(F.array_distinct(F.array(
-            "middle", *[F.col(f"r{i}").bitwiseXOR(t) for i, t in enumerate(turns)]))).alias("rep")), "omh-drawn")
-        pairs = live.join(drawn, "key").where("tid <> rep")
-        if round_:
-            labelled = live.select("key", F.col("tid").alias("rep"), F.col("label").alias("rep_label"))
-            pairs = pairs.join(labelled, ["key", "rep"]).where("label <> rep_label")
-        pairs = pairs.select(F.least("tid", "rep").alias("a"), F.greatest("tid", "rep").alias("b")).distinct()
+        # drawn are the member that meets the most, and about n others, in all buckets those of the least hash
+        n = p.draws << 2 * (round_ - 1) if round_ else 1
+        sizes = live.where(_short(p)).groupBy("key").agg(F.count("*").alias("size"), F.max_by("tid", F.struct("weight", "tid")).alias("middle"))
+        least = F.pmod(F.xxhash64("tid", F.lit(round_)), F.lit(1 << 30)) / float(1 << 30) * F.col("size") < n
+        drawn = live.where(_short(p)).join(sizes, "key").where(least | (F.col("tid") == F.col("middle")))
+        drawn = staged(drawn.select("key", *[F.col(c).alias(f"rep_{c}") for c in ("tid", "label", "n", "room")]), "omh-drawn")
+        enough = F.least("room", "rep_room") >= (F.col("n") + F.col("rep_n")) * _common(p)
+        pairs = live.join(drawn, "key").where("tid <> rep_tid and label <> rep_label").where(enough)
+        pairs = pairs.select(F.least("tid", "rep_tid").alias("a"), F.greatest("tid", "rep_tid").alias("b")).distinct()
         if asked is not None:
             pairs = pairs.join(asked, ["a", "b"], "left_anti")
         pairs = staged(pairs, "omh-pairs")
@@ -250,14 +249,69 @@ def links(docs: DataFrame, p: Sketching = SKETCHING) -> tuple[DataFrame, DataFra
             found = new if found is None else found.unionByName(new)
             labels = components(found).withColumnRenamed("node", "tid")
         # a bucket is done when its texts are in one class; the drawn ones have met all others
-        left = (live.drop("label").join(labels, "tid", "left").withColumn("label", F.coalesce("label", "tid"))
-                .join(drawn.withColumnRenamed("rep", "tid"), ["key", "tid"], "left_anti"))
-        split = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        live, round_ = staged(left.join(split, "key"), "omh-live"), round_ + 1
+        live = (live.drop("label").join(labels, "tid", "left").withColumn("label", F.coalesce("label", "tid"))
+                .join(drawn.select("key", F.col("rep_tid").alias("tid")), ["key", "tid"], "left_anti"))
+        live, round_ = staged(_split(live, p), "omh-live"), round_ + 1
+        if round_ == 1:
+            live = narrowed(live, sequences, p)
         if live.isEmpty():
             return members, found, labels
 
 
+def _common(p: Sketching) -> float:
+    """Least share of the k-mers of two near texts together that both have; rounded down."""
+    return p.at_least / (1 + p.at_least) - 1e-6
+
+
+def _short(p: Sketching) -> Column:
+    """Texts that can have enough in common with one as long as they are."""
+    return F.col("room") >= 2 * F.col("n") * _common(p)
+
+
+def _split(live: DataFrame, p: Sketching) -> DataFrame:
+    """The buckets that hold several classes, and a text that others must be compared with."""
+    ends = live.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bool_or(_short(p)).alias("any"))
+    return live.join(ends.where("lo < hi and any").select("key"), "key")
+
+
+def narrowed(live: DataFrame, sequences: DataFrame, p: Sketching = SKETCHING) -> DataFrame:
+    """``live`` by its rarest k-mers, again as long as a tenth of the texts leave: what only they had in common with others
+    does not count the next time."""
+    before = None
+    while True:
+        texts = live.select("tid").distinct().count()
+        if not texts or before and texts > 0.9 * before:
+            return live
+        before, live = texts, staged(_split(by_rarest(live, sequences, p), p), "omh-live")
+
+
+def by_rarest(live: DataFrame, sequences: DataFrame, p: Sketching = SKETCHING) -> DataFrame:
+    """``live(key, tid, weight, label, n, room)`` -> the same texts in buckets of their rarest k-mers, and only texts that can
+    be near one of another class; ``n``: k-mers of the text, ``room``: those it can have in common with a text of another
+    class when the bucket's is the first of them.
+
+    Near texts of n <= m k-mers have at least s * (n + m) / (1 + s) of them in common (s = ``at_least``), so s * m and
+    2s / (1 + s) * n. All k-mers have one order: by the number of texts, after those that no text of another class has. In
+    the bucket of the first k-mer in it that both have, both have room for what they have in common. So no near pair of two
+    classes is missed, and pairs without that room need no comparison; each has a member that is ``_short``, the shorter text.
+    A bucket is of texts of about one length, and of those that have room to be the shorter one of a pair with them.
+    """
+    texts = live.select("tid", "weight", "label").distinct()
+    held = staged(sequences.join(texts, "tid").select("tid", "weight", "label", "n", F.explode("kmers").alias("key")), "omh-held")
+    shared = held.groupBy("key").agg(F.count("*").alias("texts"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    own = held.join(shared.where("lo < hi").select("key", "texts"), "key").groupBy("tid", "weight", "label", "n").agg(
+        F.sort_array(F.collect_list(F.struct("texts", "key"))).alias("rarest"))
+    own = own.select("tid", "weight", "label", "n", F.size("rarest").alias("all"), F.posexplode("rarest").alias("at", "kmer"))
+    own = own.select("kmer.key", "tid", "weight", "label", "n", (F.col("all") - F.col("at")).alias("room"))
+    longest = F.greatest("n", F.col("room") / _common(p) - F.col("n"))  # that it can be near, the shorter one of the two
+
+    def length(n: Column) -> Column:
+        return F.floor(F.log(n) / float(np.log(LENGTHS)))
+    own = own.where(F.col("room") >= F.col("n") * (p.at_least - 1e-6))
+    own = own.select("*", F.explode(F.sequence(length(F.col("n")), length(longest))).alias("length"))
+    return own.select(F.xxhash64("key", "length").alias("key"), "tid", "weight", "label", "n", "room")
+
+
 def verified(pairs: DataFrame, sequences: DataFrame, p: Sketching = SKETCHING) -> DataFrame:
     """``pairs(a, b)`` -> those at least ``at_least`` alike. Their k-mers are fetched for the pairs only that the much
     smaller ``counts`` of both texts do not rule out."""

@@ -231,3 +231,49 @@ def test_kmers_are_fetched_for_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(O, "staged", counted)
     check(spark.createDataFrame([doc(*r) for r in rows], schema()), rows)
     assert made["omh-pairs"] > 500 and made["omh-may"] < made["omh-pairs"] / 3
+
+
+def test_texts_that_share_a_template_are_not_all_compared(spark, monkeypatch):
+    """Texts at about 0.65 by a common passage: pairs grow with the texts, not with their square, and near ones are found."""
+    rng = random.Random(9)
+    own = lambda i, n: [f"own{i}x{k}" for k in range(n)]
+    template = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(template + own(i, 20))) for i in range(300)]
+    rows += [(1000 + i, " ".join(template + own(i, 18) + ["end"])) for i in range(0, 300, 10)]  # near one of the others only
+    made = defaultdict(int)
+    plain = O.staged
+
+    def counted(df, name):
+        out = plain(df, name)
+        made[name] += out.count()
+        return out
+    monkeypatch.setattr(O, "staged", counted)
+    rng.shuffle(rows)
+    check(spark.createDataFrame([doc(*r) for r in rows], schema()), rows)
+    assert made["omh-pairs"] < 330 * 329 / 2 / 3
+
+
+def test_rarest_kmers_miss_no_near_pair(spark):
+    """Near texts of two classes share a bucket in which both have room for what they have in common."""
+    rng = random.Random(10)
+    texts = []
+    for words in [5, 6, 9, 10, 20, 40, 80, 150]:
+        for _ in range(6):
+            a = " ".join(rng.choice([f"w{rng.randrange(30)}", f"w{rng.randrange(10**6)}"]) for _ in range(words))
+            texts += [a, edited(rng, a, 0.005), edited(rng, a, 0.01), edited(rng, a, 0.03), a + " more", "less " * (words // 30) + a]
+    texts = list(dict.fromkeys(texts))
+    x = [O.kmers(t.encode()) for t in texts]
+    seq = spark.createDataFrame([(i, k.view(np.int64).tolist(), len(k)) for i, k in enumerate(x)], "tid long, kmers array<long>, n int")
+    label = [i - i % 3 if i % 2 else i for i in range(len(texts))]
+    live = spark.createDataFrame([(0, i, 1, label[i], 0, 0) for i in range(len(x))], "key long, tid long, weight long, label long, n int, room int")
+    at = defaultdict(dict)
+    for r in O.by_rarest(live, seq).collect():
+        at[r["tid"]][r["key"]] = (r["n"], r["room"], r["label"])
+    near = 0
+    for i in range(len(x)):
+        for j in range(i):
+            if label[i] != label[j] and O.similarity(x[i], x[j], 0.8) >= 0.8 - 1e-9:
+                near += 1
+                both = [(at[i][k], at[j][k]) for k in at[i].keys() & at[j].keys()]
+                assert any(min(a[1], b[1]) * 9 >= 4 * (a[0] + b[0]) and max(9 * a[1] - 8 * a[0], 9 * b[1] - 8 * b[0]) >= 0 for a, b in both), (texts[i], texts[j])
+    assert near > 100
