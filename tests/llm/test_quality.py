@@ -1,8 +1,11 @@
 import math
 import re
+import tracemalloc
 from collections import Counter, defaultdict
+from unittest.mock import MagicMock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +205,20 @@ def test_guards_and_empty(spark, edge, empty):
     assert {r["doc_id"] for r in few if r["char_distance"] is not None} == {6, 7, 10, 11}  # 200 code points or more
     out = quality.keep(edge)
     assert out.columns == edge.columns
+
+
+def test_memory_of_a_worker(spark, documents):
+    """A batch of 16 MB of text takes few times that in a Python worker, and carries each text once."""
+    text = "the quick brown fox jumps over the lazy dog | " * 44
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 8_000, "text": [text] * 8_000})
+    docs = MagicMock()
+    quality.references(docs)
+    step = docs.select.return_value.mapInArrow.call_args[0][0]
+    tracemalloc.start()
+    try:
+        assert len(list(step(iter([batch])))) == 1
+        assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    finally:
+        tracemalloc.stop()
+    plan = quality.judge(documents)._jdf.queryExecution().optimizedPlan()
+    assert plan.child().output().length() == 1 + 5  # the row and the reference's columns
