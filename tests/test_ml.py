@@ -1,6 +1,9 @@
 """Model invariants (numbers differ from any other library; the rules must hold)."""
 
-from pyspark.ml.functions import array_to_vector
+import threading
+
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from runlens.operators import ml as ML
@@ -119,3 +122,47 @@ def test_healing_samples_are_computed_once(spark, monkeypatch):
     model, decision = ML.train_healing_model(samples)
     assert decision["n_samples"] == 200 and model is not None
     assert seen.value == 200
+
+
+def test_boosting_passes_over_distinct_samples(spark, monkeypatch):
+    """Equal healing samples are one row of their weight in the boosting, and the model is that of MLlib over all rows."""
+    monkeypatch.setitem(ML.BOOSTING, "maxIter", 5)
+    names = ML.HEALING_FEATURES
+    rows = [(int(i % 7 < 3 + i % 2), float(i % 2), float(i % 5 * 40), 0.0, float(i % 3), 1.0) for i in range(600)]
+    samples = spark.createDataFrame(rows, "label int, " + ", ".join(f"{f} double" for f in names))
+    weights = []
+    fit = GBTClassifier.fit
+
+    def seen(self, data, *more):
+        weights.extend(r.weight for r in data.select("weight").collect())
+        return fit(self, data, *more)
+    monkeypatch.setattr(GBTClassifier, "fit", seen)
+    model, decision = ML.train_healing_model(samples)
+    monkeypatch.undo()
+    assert decision["n_samples"] == 600 and len(weights) == len(set(rows)) < 100 and sum(weights) == 600
+    scaler = model.stages[1]
+    means = samples.agg(*[F.avg(f) for f in names]).first()
+    assert all(abs(a - b) < 1e-9 for a, b in zip(scaler.mean.toArray(), means))
+    ready = model.stages[1].transform(model.stages[0].transform(samples))
+    plain = GBTClassifier(featuresCol="features", labelCol="label", **{**ML.BOOSTING, "maxIter": 5}, **ML.LINEAGE).fit(ready)
+    a = [r.p for r in model.transform(samples).select(vector_to_array("probability")[1].alias("p")).collect()]
+    b = [r.p for r in plain.transform(ready).select(vector_to_array("probability")[1].alias("p")).collect()]
+    assert len(set(a)) > 1 and max(abs(x - y) for x, y in zip(a, b)) < 1e-9
+
+
+def test_both_models_are_fitted_at_once(spark, sf, monkeypatch):
+    """Neither fit waits for the other: each one here ends only when the other has begun."""
+    both = threading.Barrier(2, timeout=60)
+
+    def forest(train):
+        both.wait()
+        return "forest"
+
+    def boosting(samples):
+        both.wait()
+        return "boosting", {"decision": "train"}
+    monkeypatch.setattr(q_ml, "_MODELS", {})
+    monkeypatch.setattr(ML, "train_failure_model", forest)
+    monkeypatch.setattr(ML, "train_healing_model", boosting)
+    m = q_ml.models(spark, sf)
+    assert (m["failure"], m["healing"], m["decision"]) == ("forest", "boosting", {"decision": "train"})
